@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .plans.dashboard import DASHBOARD
 from .plans.eda import EDA
+from .plans.measures import MEASURES
 from .plans.findings import FINDINGS
 from .plans.star import STAR_BUILDERS
 from .sources.adapter import load_tables
@@ -48,6 +50,8 @@ def builders() -> dict[str, Callable[[Tables], DataFrame]]:
     out.update(STAR_BUILDERS)
     out.update(EDA)
     out.update(FINDINGS)
+    out.update(MEASURES)
+    out.update(DASHBOARD)
     return out
 
 
