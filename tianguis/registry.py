@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from .plans.dashboard import DASHBOARD
 from .plans.eda import EDA
 from .plans.measures import MEASURES
+from .plans.quality_reports import MODEL_REPORTS, RAW_REPORTS
 from .plans.findings import FINDINGS
 from .plans.star import STAR_BUILDERS
 from .sources.adapter import load_tables
@@ -45,6 +46,14 @@ def _table_query(builder: Callable[[Tables], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+def _raw_query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return publish(fn(spark, sf_dir))
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def builders() -> dict[str, Callable[[Tables], DataFrame]]:
     out: dict[str, Callable[[Tables], DataFrame]] = {}
     out.update(STAR_BUILDERS)
@@ -52,11 +61,14 @@ def builders() -> dict[str, Callable[[Tables], DataFrame]]:
     out.update(FINDINGS)
     out.update(MEASURES)
     out.update(DASHBOARD)
+    out.update(MODEL_REPORTS)
     return out
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _table_query(b) for name, b in builders().items()}
+    for name, fn in RAW_REPORTS.items():
+        out[name] = _raw_query(fn)
     return out
 
 
