@@ -38,9 +38,24 @@ def publish(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+_TABLES: dict[tuple[int, str], Tables] = {}
+
+
+def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
+    """The adapted relations of ``sf_dir``, defined once per session.
+
+    Only the lazy plans are reused (file listing and schema resolution happen
+    once); no data is cached, every query still scans the parquet files.
+    """
+    key = (id(spark._jsparkSession), sf_dir)
+    if key not in _TABLES:
+        _TABLES[key] = load_tables(spark, sf_dir)
+    return _TABLES[key]
+
+
 def _table_query(builder: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return publish(builder(load_tables(spark, sf_dir)))
+        return publish(builder(tables_for(spark, sf_dir)))
     run.__name__ = getattr(builder, "__name__", "query")
     run.__doc__ = builder.__doc__
     return run

@@ -67,13 +67,12 @@ def orders(o: DataFrame) -> DataFrame:
                       F.col("order_delivered_carrier_date")
                       + _hours(24 + (key * 13) % 480 + (F.col("o_custkey") % 5) * 24))
     return (o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-            .withColumn("order_status", status)
-            .withColumn("order_purchase_timestamp", pts)
-            .withColumn("order_approved_at", approved)
-            .withColumn("order_delivered_carrier_date", carrier)
-            .withColumn("order_delivered_customer_date", customer)
-            .withColumn("order_estimated_delivery_date",
-                        F.col("o_orderdate") + _days(18 + (key % 3) * 4))
+            .withColumns({"order_status": status, "order_purchase_timestamp": pts,
+                          "order_approved_at": approved})
+            .withColumns({"order_delivered_carrier_date": carrier})
+            .withColumns({"order_delivered_customer_date": customer,
+                          "order_estimated_delivery_date":
+                              F.col("o_orderdate") + _days(18 + (key % 3) * 4)})
             .select(key.cast("string").alias("order_id"),
                     F.col("o_custkey").cast("string").alias("customer_id"),
                     "order_status", "order_purchase_timestamp", "order_approved_at",
@@ -177,8 +176,12 @@ def order_reviews(adapted_orders: DataFrame) -> DataFrame:
 
 
 def translation_inserts(spark: SparkSession) -> DataFrame:
-    from .schemas import CATEGORY_TRANSLATION
-    return spark.createDataFrame(INSERTED_TRANSLATIONS, CATEGORY_TRANSLATION)
+    """The literal rows of the insert, as a JVM-side local relation."""
+    rows = F.inline(F.array(*[
+        F.struct(F.lit(a).alias("product_category_name"),
+                 F.lit(b).alias("product_category_name_english"))
+        for a, b in INSERTED_TRANSLATIONS]))
+    return spark.range(1).select(rows)
 
 
 def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
