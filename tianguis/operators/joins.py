@@ -10,8 +10,9 @@ carry a third of all items). A plain left outer join cannot have its skewed
     parent LEFT ANTI JOIN keys(child)  -- parents without children, NULL child columns
 
 ``keys(child)`` is a distinct projection: the partial aggregate collapses a hot
-key to one row per map task before the shuffle. Both branches shuffle the parent
-the same way, so Spark can reuse that exchange.
+key to one row per map task before the shuffle. Both branches shuffle the same
+NULL-free parent the same way, so Spark reuses that exchange; parents with a
+NULL key (which can never match) are appended as they are.
 """
 
 from __future__ import annotations
@@ -23,9 +24,13 @@ from pyspark.sql import functions as F
 def keep_parents_join(parent: DataFrame, child: DataFrame, key: str) -> DataFrame:
     """Rows of ``parent LEFT JOIN child USING (key)``; parent columns first."""
     child_cols = [c for c in child.columns if c != key]
-    matched = child.join(parent, key, "inner")
-    orphans = parent.join(child.select(key).distinct(), key, "left_anti")
-    orphans = orphans.select(
-        "*", *[F.lit(None).cast(child.schema[c].dataType).alias(c) for c in child_cols])
+    nulls = [F.lit(None).cast(child.schema[c].dataType).alias(c) for c in child_cols]
     cols = parent.columns + child_cols
-    return matched.select(*cols).unionByName(orphans.select(*cols))
+    # Both branches read the same filtered parent, so its shuffle is reused.
+    keyed = parent.where(F.col(key).isNotNull())
+    matched = child.join(keyed, key, "inner")
+    orphans = keyed.join(child.select(key).distinct(), key, "left_anti")
+    unkeyed = parent.where(F.col(key).isNull())  # never match; kept as in a left join
+    return (matched.select(*cols)
+            .unionByName(orphans.select("*", *nulls).select(*cols))
+            .unionByName(unkeyed.select("*", *nulls).select(*cols)))

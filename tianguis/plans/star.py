@@ -66,9 +66,13 @@ def dim_calendar(t: Tables) -> DataFrame:
 
 
 def _order_side(t: Tables) -> DataFrame:
-    return t.orders.select(
-        "order_id", "customer_id", "order_status",
-        F.col("order_purchase_timestamp").alias("purchase_date"), *_ORDER_DATES)
+    # renamed to purchase_date only after the join, so that both branches of
+    # keep_parents_join read an identical parent plan (one shared exchange)
+    return t.orders.select("order_id", "customer_id", "order_status",
+                           "order_purchase_timestamp", *_ORDER_DATES)
+
+
+_PURCHASE = "order_purchase_timestamp"
 
 
 def fact_order_items(t: Tables) -> DataFrame:
@@ -78,10 +82,10 @@ def fact_order_items(t: Tables) -> DataFrame:
     j = keep_parents_join(_order_side(t), items, "order_id")
     return j.select(
         "order_id", "order_item_id", "customer_id", "product_id", "seller_id", "order_status",
-        "purchase_date", "order_approved_at", "shipping_limit_date",
+        F.col(_PURCHASE).alias("purchase_date"), "order_approved_at", "shipping_limit_date",
         "order_delivered_carrier_date", "order_delivered_customer_date",
         "order_estimated_delivery_date",
-        day_diff("purchase_date", "order_delivered_customer_date").alias("delivery_days"),
+        day_diff(_PURCHASE, "order_delivered_customer_date").alias("delivery_days"),
         day_diff("order_approved_at", "order_delivered_carrier_date")
         .alias("seller_to_courier_delivery_days"),
         day_diff("order_delivered_carrier_date", "order_delivered_customer_date")
@@ -100,8 +104,8 @@ def fact_order_payments(t: Tables) -> DataFrame:
                                    "payment_installments", "payment_value")
     j = keep_parents_join(_order_side(t), pays, "order_id")
     return j.select("order_id", "payment_sequential", "payment_type", "payment_installments",
-                    "payment_value", "customer_id", "order_status", "purchase_date",
-                    *_ORDER_DATES)
+                    "payment_value", "customer_id", "order_status",
+                    F.col(_PURCHASE).alias("purchase_date"), *_ORDER_DATES)
 
 
 def sellers_per_order(t: Tables) -> DataFrame:
@@ -120,8 +124,8 @@ def fact_order_reviews(t: Tables) -> DataFrame:
     return j.select(
         "review_id", "order_id", "customer_id", "review_score", "review_comment_title",
         "review_comment_message", "review_creation_date", "review_answer_timestamp",
-        "order_status", "purchase_date", *_ORDER_DATES,
-        day_diff("purchase_date", "order_delivered_customer_date").alias("delivery_days"),
+        "order_status", F.col(_PURCHASE).alias("purchase_date"), *_ORDER_DATES,
+        day_diff(_PURCHASE, "order_delivered_customer_date").alias("delivery_days"),
         yes_no(is_late("order_delivered_customer_date", "order_estimated_delivery_date"))
         .alias("is_late"),
         delay_days("order_delivered_customer_date", "order_estimated_delivery_date")

@@ -114,19 +114,27 @@ def sellers(supplier: DataFrame, nation: DataFrame) -> DataFrame:
 
 def order_items(lineitem: DataFrame) -> DataFrame:
     """Line items; order_item_id numbers the lines of an order (driver line
-    numbers repeat, so the number comes from a deterministic row order)."""
-    w = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
-        "l_discount", "l_tax", "l_shipdate")
+    numbers repeat, so the number comes from a deterministic row order).
+
+    The window partitions by the projected ``order_id`` so its exchange is the
+    one the fact join on ``order_id`` needs; plans that do not read
+    ``order_item_id`` drop the window altogether (column pruning).
+    """
+    order_cols = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
+                  "l_discount", "l_tax", "l_shipdate"]
     price = F.col("l_extendedprice").cast(dec(10, 2))
-    return lineitem.select(
+    base = lineitem.select(
         F.col("l_orderkey").cast("string").alias("order_id"),
-        F.row_number().over(w).cast("int").alias("order_item_id"),
         F.col("l_partkey").cast("string").alias("product_id"),
         F.col("l_suppkey").cast("string").alias("seller_id"),
         F.col("l_shipdate").alias("shipping_limit_date"),
         price.alias("price"),
-        (price * F.col("l_tax").cast(dec(4, 2))).cast(dec(10, 2)).alias("freight_value"))
+        (price * F.col("l_tax").cast(dec(4, 2))).cast(dec(10, 2)).alias("freight_value"),
+        *order_cols)
+    w = Window.partitionBy("order_id").orderBy(*order_cols)
+    return base.select(
+        "order_id", F.row_number().over(w).cast("int").alias("order_item_id"),
+        "product_id", "seller_id", "shipping_limit_date", "price", "freight_value")
 
 
 def order_payments(o: DataFrame) -> DataFrame:
