@@ -45,7 +45,7 @@ def _domain_report() -> str:
             if n is None:
                 continue
             parts.append(f"""
-SELECT '{name}' AS tabla, '{c}' AS columna, {n} AS limite,
+SELECT '{name}' AS tabla, '{c}' AS columna, CAST({n} AS BIGINT) AS limite,
        COUNT(*) FILTER (WHERE length({c}) > {n}) AS valores_excedidos FROM {_ALIAS[name]}""")
     return "\nUNION ALL".join(parts)
 
