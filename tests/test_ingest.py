@@ -142,3 +142,36 @@ def test_mart_roundtrip(spark, make_tables):
     back = spark.read.option("header", True).csv(os.path.join(root, "csv"))
     assert back.count() == t.sellers.count()
     assert back.where(F.col("seller_zip_code_prefix") == "01000").count() == 1
+
+
+def test_unparseable_typed_value_is_quarantined(spark):
+    d = _scratch()
+    text = ("order_id,payment_sequential,payment_type,payment_installments,payment_value\n"
+            "o1,1,credit_card,2,72.19\n"
+            "o2,1,credit_card,two,10.00\n")
+    good, bad = split_quarantine(read_csv_table(spark, _write(d, "p.csv", text), "order_payments"))
+    assert [r["order_id"] for r in good.collect()] == ["o1"]
+    assert [r["order_id"] for r in bad.collect()] == ["o2"]
+
+
+def test_staging_insert_casts_to_target(spark):
+    from tianguis.sources.csv_ingest import stage_and_insert
+    from tianguis.sources.schemas import ORDER_REVIEWS
+    staging = spark.createDataFrame(
+        [("r1", "o1", "5", "t", "m", "2018-01-18 00:00:00", "2018-01-18 21:46:59", "extra")],
+        "review_id string, order_id string, review_score string, review_comment_title string, "
+        "review_comment_message string, review_creation_date string, "
+        "review_answer_timestamp string, other string")
+    out = stage_and_insert(staging, [f.name for f in ORDER_REVIEWS.fields], ORDER_REVIEWS)
+    assert out.schema == ORDER_REVIEWS
+    assert out.first()["review_score"] == 5
+
+
+def test_row_count_check_against_expected(spark, make_tables):
+    from tianguis.operators.quality import row_count_check
+    from tests_support import tiny_tables
+    t = tiny_tables(make_tables)
+    rep = {r["tabla"]: r for r in row_count_check(
+        t.as_dict(), {"orders": 2, "order_items": 5, "geolocation": 10}).collect()}
+    assert rep["orders"]["coincide"] and not rep["order_items"]["coincide"]
+    assert rep["geolocation"]["registros"] is None and not rep["geolocation"]["coincide"]

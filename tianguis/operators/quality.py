@@ -94,6 +94,15 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
                    for name, df in tables.items()])
 
 
+def row_count_check(tables: Mapping[str, DataFrame], expected: Mapping[str, int]) -> DataFrame:
+    """Row counts next to the expected counts of the load verification box."""
+    counts = row_counts(tables)
+    exp = counts.sparkSession.createDataFrame(
+        [(k, int(v)) for k, v in expected.items()], "tabla string, esperado long")
+    return (counts.join(exp, "tabla", "full")
+            .withColumn("coincide", F.coalesce(F.col("registros") == F.col("esperado"), F.lit(False))))
+
+
 def untranslated_categories(products: DataFrame, translation: DataFrame) -> DataFrame:
     """Categories used by products but absent from the translation table."""
     cats = (products.select("product_category_name")

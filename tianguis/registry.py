@@ -38,7 +38,15 @@ def publish(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-_TABLES: dict[tuple[int, str], Tables] = {}
+_TABLES: dict[tuple[object, str], Tables] = {}
+
+
+def _session_key(spark: SparkSession) -> object:
+    """Identity of a live session: a restarted session never reuses cached plans."""
+    sid = getattr(spark, "session_id", None)  # Spark Connect
+    if sid:
+        return ("connect", sid)
+    return ("classic", spark.sparkContext.applicationId, id(spark))
 
 
 def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
@@ -47,7 +55,7 @@ def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
     Only the lazy plans are reused (file listing and schema resolution happen
     once); no data is cached, every query still scans the parquet files.
     """
-    key = (id(spark._jsparkSession), sf_dir)
+    key = (_session_key(spark), sf_dir)
     if key not in _TABLES:
         _TABLES[key] = load_tables(spark, sf_dir)
     return _TABLES[key]

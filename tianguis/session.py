@@ -47,11 +47,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     only when the session has none (local tests)."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        # only reached in local tests: a cluster names its shared folder
         current = tempfile.mkdtemp(prefix="tianguis-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(current)
+    try:
+        sc = spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(current)
+    except Exception:  # noqa: BLE001 - no SparkContext on a Connect session
+        pass
     return current
 
 
