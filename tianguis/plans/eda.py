@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (NEGATIVE_SCORE_MAX, TREND_DOWN, TREND_FLAT, TREND_UP, dec,
+from ..functions.exprs import (TREND_DOWN, TREND_FLAT, TREND_UP, dec,
                                ratio, share_pct)
 from ..sources.tables import Tables
 from .common import item_totals_by_order, purchase_month, review_stats_by_order

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import (CREDIT_CARD, DELIVERED, LATE_DELIVERY, ON_TIME_DELIVERY,
-                               SINGLE_SELLER, SPLIT_SHIPMENT, YES, installment_range, is_late,
+                               SINGLE_SELLER, SPLIT_SHIPMENT, YES, installment_range,
                                ratio, share_pct, yes_no)
 from ..sources.tables import Tables
 from .common import order_logistics, review_stats_by_order

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.clean import replace_commas, strip_quotes
 from ..operators.quality import (comma_report, domain_report, fk_report, pk_report,
                                  pk_violations, row_counts, untranslated_categories)
-from ..sources.adapter import load_tables, read_driver
+from ..sources.adapter import read_driver
 from ..sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS, VARCHAR_LIMITS
 from ..sources.tables import Tables
 from .common import order_logistics
@@ -124,5 +124,3 @@ MODEL_REPORTS = {
     "w5_month_rank": w5_month_rank,
     "f9_latest_milestone": f9_latest_milestone,
 }
-
-__all__ = ["RAW_REPORTS", "MODEL_REPORTS", "load_tables"]
