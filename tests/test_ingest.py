@@ -175,3 +175,16 @@ def test_row_count_check_against_expected(spark, make_tables):
         t.as_dict(), {"orders": 2, "order_items": 5, "geolocation": 10}).collect()}
     assert rep["orders"]["coincide"] and not rep["order_items"]["coincide"]
     assert rep["geolocation"]["registros"] is None and not rep["geolocation"]["coincide"]
+
+
+def test_batch_job_writes_outputs(spark):
+    from tianguis.jobs import run
+    d = _scratch()
+    _landing(os.path.join(d, "landing")) if os.makedirs(os.path.join(d, "landing")) is None else None
+    out = os.path.join(d, "out")
+    run(spark, out, landing=os.path.join(d, "landing"),
+        reports=["h3_transit_days_by_lateness", "q01_orders_by_status"])
+    assert spark.read.parquet(os.path.join(out, "reports", "q01_orders_by_status")).count() == 1
+    assert spark.read.parquet(os.path.join(out, "quality", "row_counts")).count() == 8
+    assert spark.read.parquet(os.path.join(out, "mart", "fact_order_items")).count() == 1
+    assert os.path.isdir(os.path.join(out, "quarantine", "sellers"))

@@ -8,8 +8,8 @@
   embedded commas shift fields are caught by the quarantine.
 * ``multiline=True``  - long free-text files whose quoted fields hold newlines
   (the review comments); a trailing ``\\r`` from mixed line endings is trimmed.
-* ``load_landing``    - all tables of a landing folder -> (clean ``Tables``,
-  quarantined rows per table).
+* ``load_landing``    - all tables of a landing folder -> typed Parquet staging
+  tables -> (clean ``Tables``, quarantined rows per table).
 
 Plain CSV splits by byte range across tasks; a multi-line file is read one
 task per file, so large multi-line sources should arrive as many files.
@@ -77,18 +77,36 @@ class Landing:
     quarantine: dict[str, DataFrame]
 
 
+def stage(spark: SparkSession, parsed: DataFrame, path: str) -> DataFrame:
+    """Write the parsed rows (with ``_corrupt``) once as a typed Parquet staging
+    table and read it back: later queries get a columnar source, any column
+    subset is allowed (a count no longer prunes to the corrupt-record column
+    alone), and the lineage back to the CSV parse is cut."""
+    parsed.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def load_landing(spark: SparkSession, folder: str, files: dict[str, str] | None = None,
-                 raw_compat: bool = False) -> Landing:
+                 raw_compat: bool = False, staging: str | None = None) -> Landing:
     """Load every table file found in ``folder`` and apply the load-time cleaning:
     literal quotes stripped from id/text columns, geolocation city commas
-    rewritten. Missing optional files (geolocation) are skipped."""
+    rewritten. Missing optional files (geolocation) are skipped.
+
+    Parsed rows are staged as Parquet under ``staging`` (default: the shared
+    folder named by ``spark.checkpoint.dir``)."""
+    import hashlib
+
+    from ..session import shared_dir
     files = files or SOURCE_FILES
+    tag = hashlib.sha1(os.path.abspath(folder).encode()).hexdigest()[:16]
+    staging = staging or shared_dir(spark, os.path.join("staging", tag))
     clean, quarantine = {}, {}
     for name, fname in files.items():
         path = os.path.join(folder, fname)
         if not os.path.exists(path):
             continue
-        good, bad = split_quarantine(read_csv_table(spark, path, name, raw_compat=raw_compat))
+        parsed = read_csv_table(spark, path, name, raw_compat=raw_compat)
+        good, bad = split_quarantine(stage(spark, parsed, os.path.join(staging, name)))
         good = clean_table(name, good)
         if name == "geolocation":
             good = replace_commas(good, "geolocation_city")
