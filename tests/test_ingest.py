@@ -180,7 +180,8 @@ def test_row_count_check_against_expected(spark, make_tables):
 def test_batch_job_writes_outputs(spark):
     from tianguis.jobs import run
     d = _scratch()
-    _landing(os.path.join(d, "landing")) if os.makedirs(os.path.join(d, "landing")) is None else None
+    os.makedirs(os.path.join(d, "landing"))
+    _landing(os.path.join(d, "landing"))
     out = os.path.join(d, "out")
     run(spark, out, landing=os.path.join(d, "landing"),
         reports=["h3_transit_days_by_lateness", "q01_orders_by_status"])
