@@ -5,6 +5,11 @@ are derived deterministically with expressions DuckDB can evaluate identically
 (the oracle in ``tianguis.oracle.sql`` holds the same mapping in SQL). Every
 derived relation is a lazy projection of a scan, so predicates and column
 pruning of later queries reach the parquet readers.
+
+The key-modulo rules below *synthesise* the model's variety (order statuses,
+1-3 payments per order, a few unpaid and unreviewed orders, second reviews,
+missing dates); they are part of the data derivation, never a way to thin the
+input - every driver row is used.
 """
 
 from __future__ import annotations
