@@ -1,8 +1,10 @@
 """Dashboard datasets V1-V17: one DataFrame per visual.
 
-KPI strips are returned in long format (``kpi``, ``valor``): each single-row
-measure becomes one row and the strip is their UNION ALL, so no single-row
-frames are ever cross-joined.
+KPI strips are returned in long format (``kpi``, ``valor``). Each strip is
+computed in one pass - the child tables are collapsed to order grain, joined
+1:1 to the orders on the shared ``order_id`` partitioning, and reduced by one
+global aggregate whose columns are then exploded into rows - so a strip scans
+each table once and no single-row frames are ever cross-joined.
 """
 
 from __future__ import annotations
@@ -15,13 +17,9 @@ from pyspark.sql import functions as F
 from ..functions.exprs import (CREDIT_CARD, DELIVERED, INSTALLMENT_RANGES, NEGATIVE_SCORE_MAX,
                                ratio, share_pct, yes_no)
 from ..sources.tables import Tables
-from .common import order_logistics, purchase_month, review_stats_by_order
+from .common import item_totals_by_order, order_logistics, purchase_month, review_stats_by_order
 from .findings import (b1_score_by_category, b4_revenue_by_category, h3_transit_days_by_lateness,
                        h4_sellers_by_late_rate, h5_ticket_by_installments, order_mean_score)
-from .measures import (m01_score_per_order, m02_late_rate, m03_mean_installments,
-                       m06_total_revenue, m07_total_orders, m08_average_ticket,
-                       m09_dissatisfaction_rate, m10_delivery_rate, m11_logistics_days,
-                       m12_payments)
 from .star import dim_customer, dim_seller
 
 # Transit stage labels of the stacked bar.
@@ -29,25 +27,41 @@ STAGE_SELLER = "Vendedor → Courier"
 STAGE_COURIER = "Courier → Cliente"
 
 
-def kpi_strip(items: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
-    """UNION ALL of (label, value) rows taken from single-row measure frames."""
-    rows = [df.select(F.lit(label).alias("kpi"), F.col(c).cast("double").alias("valor"))
-            for label, df, c in items]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+def kpi_rows(agg: DataFrame, items: Sequence[tuple[str, str]]) -> DataFrame:
+    """Long format of a one-row aggregate: one (kpi, valor) row per column."""
+    return agg.select(F.explode(F.array(*[
+        F.struct(F.lit(label).alias("kpi"), F.col(c).cast("double").alias("valor"))
+        for label, c in items])).alias("k")).select("k.*")
 
 
 def v01_kpis_overview(t: Tables) -> DataFrame:
-    return kpi_strip([
-        ("total_ingresos", m06_total_revenue(t), "total_ingresos"),
-        ("total_pedidos", m07_total_orders(t), "total_pedidos"),
-        ("ticket_promedio", m08_average_ticket(t), "ticket_promedio"),
-        ("score_promedio", m01_score_per_order(t), "score_promedio_por_orden"),
-        ("tasa_insatisfaccion", m09_dissatisfaction_rate(t), "tasa_insatisfaccion"),
-        ("tasa_entrega", m10_delivery_rate(t), "tasa_entrega"),
-    ])
+    """M6-M10 and M1 in one pass: orders LEFT JOIN per-order item totals and
+    per-order review stats (both 1:1 on the already-partitioned order_id),
+    then a single global aggregate."""
+    items = item_totals_by_order(t).select("order_id", "n_items", "sum_price")
+    reviews = review_stats_by_order(t).select("order_id", "sum_score", "n_scored")
+    j = (t.orders.select("order_id", "order_status")
+         .join(items, "order_id", "left").join(reviews, "order_id", "left"))
+    mean = ratio("sum_score", "n_scored", 6)  # per-order mean, NULL when unscored
+    scored = F.coalesce(F.col("n_scored") > 0, F.lit(False))
+    low = scored & (F.col("sum_score") <= F.col("n_scored") * NEGATIVE_SCORE_MAX)
+    a = j.agg(
+        F.sum("sum_price").alias("total_ingresos"),
+        F.count_distinct("order_id").alias("total_pedidos"),
+        F.count_distinct(F.when(F.col("n_items").isNotNull(), F.col("order_id"))).alias("_ci"),
+        F.sum(mean).alias("_ms"), F.count(mean).alias("_mn"),
+        F.count_if(low).alias("_low"), F.count_if(scored).alias("_scored"),
+        F.count_if(F.col("order_status") == DELIVERED).alias("_del"),
+        F.count(F.lit(1)).alias("_all"))
+    a = a.select(
+        "total_ingresos", "total_pedidos",
+        ratio("total_ingresos", "_ci", 2, num_scale=2).alias("ticket_promedio"),
+        ratio("_ms", "_mn", 2, num_scale=6).alias("score_promedio"),
+        share_pct("_low", "_scored").alias("tasa_insatisfaccion"),
+        share_pct("_del", "_all").alias("tasa_entrega"))
+    return kpi_rows(a, [(c, c) for c in ("total_ingresos", "total_pedidos", "ticket_promedio",
+                                         "score_promedio", "tasa_insatisfaccion",
+                                         "tasa_entrega")])
 
 
 def v02_monthly_revenue(t: Tables) -> DataFrame:
@@ -98,37 +112,49 @@ def v07_worst_categories(t: Tables, n: int = 20) -> DataFrame:
 
 
 def v08_category_detail(t: Tables) -> DataFrame:
-    """Per category: order-product pairs, mean score, late rate, inverse score
-    (5 - score) and inefficiency rate (share of pairs late or with an order
-    mean score of at most 2)."""
-    score = order_mean_score(t)
-    pairs = (t.order_items.select("order_id", "product_id").distinct()
-             .join(order_logistics(t).select("order_id", "late"), "order_id")
-             .join(score, "order_id", "left")
-             .join(t.products.select("product_id", "product_category_name")
-                   .join(t.category_translation, "product_category_name"), "product_id"))
-    bad = F.col("late") | F.coalesce(F.col("avg_review_score") <= NEGATIVE_SCORE_MAX, F.lit(False))
-    g = pairs.groupBy(F.col("product_category_name_english").alias("categoria")).agg(
+    """Per category: order-product pairs, mean score (B1), late rate (B2),
+    inverse score (5 - score) and inefficiency rate (share of pairs late or with
+    an order mean score of at most 2) - B1 and B2 in one pass over the
+    (order, product, item count) aggregate."""
+    per = (t.order_items.groupBy("order_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
+           .join(order_logistics(t).select("order_id", "late"), "order_id")
+           .join(order_mean_score(t), "order_id", "left")
+           .join(t.products.select("product_id", "product_category_name")
+                 .join(t.category_translation, "product_category_name"), "product_id"))
+    s = F.col("avg_review_score")
+    bad = F.col("late") | F.coalesce(s <= NEGATIVE_SCORE_MAX, F.lit(False))
+    g = per.groupBy(F.col("product_category_name_english").alias("categoria")).agg(
         F.count(F.lit(1)).alias("total_pedidos"),
         F.count_if("late").alias("_late"),
-        F.count_if(bad).alias("_bad"))
-    b1 = b1_score_by_category(t)
-    j = g.join(b1, "categoria", "left")
-    return j.select("categoria", "total_pedidos", "score_promedio",
+        F.count_if(bad).alias("_bad"),
+        F.sum(F.when(s.isNotNull(), F.col("n") * s)).alias("_s"),
+        F.sum(F.when(s.isNotNull(), F.col("n"))).alias("_n"))
+    score = ratio("_s", "_n", 2, num_scale=6)
+    return g.select("categoria", "total_pedidos", score.alias("score_promedio"),
                     share_pct("_late", "total_pedidos").alias("tasa_retraso"),
-                    (F.lit(5) - F.col("score_promedio")).alias("score_inverso"),
+                    (F.lit(5) - score).alias("score_inverso"),
                     share_pct("_bad", "total_pedidos").alias("tasa_ineficiencia"))
 
 
 def v09_kpis_logistics(t: Tables) -> DataFrame:
-    d = m11_logistics_days(t)
-    return kpi_strip([
-        ("dias_vendedor_courier", d, "dias_vendedor_courier"),
-        ("dias_courier_cliente", d, "dias_courier_cliente"),
-        ("dias_entrega", d, "dias_entrega"),
-        ("dias_retraso", d, "dias_retraso"),
-        ("tasa_retraso", m02_late_rate(t), "tasa_retraso"),
-    ])
+    """M11 and M2 in one pass over the orders."""
+    o = order_logistics(t)
+
+    def avg(c, cond=None):
+        x = F.col(c) if cond is None else F.when(cond, F.col(c))
+        return ratio(F.sum(x), F.count(x), 2)
+
+    late_n = F.count_distinct(F.when(F.col("late"), F.col("order_id")))
+    deliv_n = F.count_distinct(F.when(F.col("delivery_days").isNotNull(), F.col("order_id")))
+    a = o.agg(
+        avg("seller_to_courier_delivery_days").alias("dias_vendedor_courier"),
+        avg("courier_to_customer_delivery_days").alias("dias_courier_cliente"),
+        avg("delivery_days").alias("dias_entrega"),
+        avg("delay_days", F.col("late")).alias("dias_retraso"),
+        F.coalesce(share_pct(late_n, deliv_n), F.lit(0).cast("decimal(38,2)"))
+        .alias("tasa_retraso"))
+    return kpi_rows(a, [(c, c) for c in ("dias_vendedor_courier", "dias_courier_cliente",
+                                         "dias_entrega", "dias_retraso", "tasa_retraso")])
 
 
 def v10_transit_stages(t: Tables) -> DataFrame:
@@ -161,16 +187,33 @@ def v12_worst_sellers(t: Tables) -> DataFrame:
 
 
 def v13_kpis_payments(t: Tables) -> DataFrame:
-    p = m12_payments(t)
-    card = t.order_payments.agg(
-        share_pct(F.count_if(F.col("payment_type") == CREDIT_CARD), F.count(F.lit(1)))
-        .alias("v"))
-    return kpi_strip([
-        ("total_pagado", p, "total_pagado"),
-        ("cuotas_promedio", m03_mean_installments(t), "cuotas_promedio"),
-        ("pago_promedio", p, "pago_promedio"),
-        ("participacion_tarjeta", card, "v"),
-    ])
+    """M12, M3 and the credit-card share of payment rows in one pass: payments
+    collapsed per order, flagged by the existence of the order, one aggregate."""
+    p = t.order_payments
+    cc = F.col("payment_type") == CREDIT_CARD
+    per = p.groupBy("order_id").agg(
+        F.sum("payment_value").alias("pv"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(cc).alias("cc_rows"),
+        F.sum(F.when(cc, F.col("payment_installments") * F.col("payment_value"))).alias("cc_w"),
+        F.sum(F.when(cc, F.col("payment_value"))).alias("cc_v"))
+    known = t.orders.select("order_id", F.lit(True).alias("_o"))
+    j = per.join(known, "order_id", "left")
+    o = F.coalesce(F.col("_o"), F.lit(False))
+    has_cc = o & (F.col("cc_rows") > 0)
+    cuotas = F.coalesce(ratio("cc_w", "cc_v", 6, num_scale=2, den_scale=2),
+                        F.lit(0).cast("decimal(38,6)"))
+    a = j.agg(
+        F.sum(F.when(o, F.col("pv"))).alias("total_pagado"),
+        F.count_if(o).alias("_paid"),
+        F.sum(F.when(has_cc, cuotas)).alias("_cs"), F.count_if(has_cc).alias("_cn"),
+        F.sum("cc_rows").alias("_cc"), F.sum("n_rows").alias("_rows"))
+    a = a.select("total_pagado",
+                 ratio("_cs", "_cn", 2, num_scale=6).alias("cuotas_promedio"),
+                 ratio("total_pagado", "_paid", 2, num_scale=2).alias("pago_promedio"),
+                 share_pct("_cc", "_rows").alias("participacion_tarjeta"))
+    return kpi_rows(a, [(c, c) for c in ("total_pagado", "cuotas_promedio", "pago_promedio",
+                                         "participacion_tarjeta")])
 
 
 def v14_payment_donut(t: Tables) -> DataFrame:
