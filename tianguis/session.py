@@ -43,11 +43,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder, creating a scratch one
-    only when the session has none (local tests)."""
+    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+
+    Only a local-mode session without one gets a scratch folder; on a cluster a
+    machine-local folder would not survive the loss of an executor, so a
+    missing setting is an error there."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        # only reached in local tests: a cluster names its shared folder
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         current = tempfile.mkdtemp(prefix="tianguis-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
     try:
