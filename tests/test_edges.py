@@ -196,3 +196,17 @@ def test_m08_ticket_over_orders_with_items(t):
     r = measures.m08_average_ticket(t).first()
     assert (r["total_ingresos"], r["pedidos_con_items"], r["ticket_promedio"]) == \
         (D("310.00"), 4, D("77.50"))
+
+
+def test_filter_context_slices_every_table(t):
+    from pyspark.sql import functions as F
+    from tianguis.plans.context import filter_context
+    sp = filter_context(t, customers=F.col("customer_state") == "SP")
+    # SP customers c1, c3 own orders o1, o3, o4
+    assert sorted(r[0] for r in sp.orders.select("order_id").collect()) == ["o1", "o3", "o4"]
+    assert measures.m06_total_revenue(sp).first()[0] == D("250.00")      # 100 + 50 + 80 + 20
+    assert sp.order_payments.count() == 5 and sp.order_reviews.count() == 4
+    beleza = filter_context(t, products=F.col("product_category_name") == "beleza")
+    # only orders holding a 'beleza' item, and only those items
+    assert measures.m06_total_revenue(beleza).first()[0] == D("130.00")  # o1 p1 100 + o2 p1 30
+    assert measures.m07_total_orders(beleza).first()[0] == 2

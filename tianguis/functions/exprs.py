@@ -49,43 +49,74 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _text(*xs) -> bool:
+    """True when every argument is SQL text (a column name or an expression).
+
+    Text arguments are turned into one ``F.expr`` call: each Column-building
+    call is a round trip to the JVM, so composing SQL text keeps plan
+    construction cheap on the driver. The resulting expressions are identical.
+    """
+    return all(isinstance(x, str) for x in xs)
+
+
+def sql_is_late(delivered: str, estimated: str) -> str:
+    return f"coalesce(to_date({delivered}) > to_date({estimated}), false)"
+
+
+def sql_yes_no(cond: str) -> str:
+    return f"CASE WHEN {cond} THEN '{YES}' ELSE '{NO}' END"
+
+
 def day_diff(start, end) -> Column:
     """Calendar days between two instants: midnights crossed (23:59 -> 00:01 is 1)."""
+    if _text(start, end):
+        return F.expr(f"datediff({end}, {start})")
     return F.datediff(col(end), col(start))
 
 
 def is_late(delivered, estimated) -> Column:
     """Boolean lateness on *dates*: delivered on the estimated day is on time.
     Undelivered orders are not late (False, never NULL)."""
+    if _text(delivered, estimated):
+        return F.expr(sql_is_late(delivered, estimated))
     return F.coalesce(F.to_date(col(delivered)) > F.to_date(col(estimated)), F.lit(False))
 
 
+def late_label(delivered: str, estimated: str) -> Column:
+    """The published text flag of ``is_late``."""
+    return F.expr(sql_yes_no(sql_is_late(delivered, estimated)))
+
+
 def delay_days(delivered, estimated) -> Column:
     """Days of delay, tested on raw timestamps; 0 when on time or undelivered."""
+    if _text(delivered, estimated):
+        return F.expr(f"CASE WHEN {delivered} > {estimated} "
+                      f"THEN datediff({delivered}, {estimated}) ELSE 0 END")
     d, e = col(delivered), col(estimated)
     return F.when(d > e, F.datediff(d, e)).otherwise(F.lit(0))
 
 
 def yes_no(flag) -> Column:
     """Publish a Boolean flag as the report's text flag."""
+    if _text(flag):
+        return F.expr(sql_yes_no(flag))
     return F.when(col(flag), F.lit(YES)).otherwise(F.lit(NO))
 
 
-def logistics_type(n_sellers) -> Column:
-    n = col(n_sellers)
-    return (F.when(n == 1, F.lit(SINGLE_SELLER))
-            .when(n > 1, F.lit(SPLIT_SHIPMENT))
-            .otherwise(F.lit(NO_SELLER)))
+def logistics_type(n_sellers: str) -> Column:
+    n = n_sellers
+    return F.expr(f"CASE WHEN {n} = 1 THEN '{SINGLE_SELLER}' WHEN {n} > 1 THEN '{SPLIT_SHIPMENT}' "
+                  f"ELSE '{NO_SELLER}' END")
 
 
-def installment_range(installments) -> Column:
+def installment_range(installments: str) -> Column:
     """Bucket of a credit-card installment count; 0 and NULL fall in the last bucket."""
-    n = col(installments)
-    out = None
-    for label, lo, hi in INSTALLMENT_RANGES:
-        cond = (n == lo) if lo == hi else ((n >= lo) & (n <= hi))
-        out = F.when(cond, F.lit(label)) if out is None else out.when(cond, F.lit(label))
-    return out.otherwise(F.lit(INSTALLMENT_OTHER))
+    n = installments
+    arms = " ".join(
+        f"WHEN {n} = {lo} THEN '{label}'" if lo == hi
+        else f"WHEN {n} >= {lo} AND {n} <= {hi} THEN '{label}'"
+        for label, lo, hi in INSTALLMENT_RANGES)
+    return F.expr(f"CASE {arms} ELSE '{INSTALLMENT_OTHER}' END")
 
 
 def dec(precision: int, scale: int) -> T.DecimalType:
@@ -98,7 +129,12 @@ def ratio(num, den, scale: int = 2, num_scale: int = 0, den_scale: int = 0,
 
     NULL when ``den`` is 0 or NULL (division by zero never raises).
     ``num_scale``/``den_scale`` are the decimal scales of the inputs (0 for counts).
+    ``num``/``den`` are SQL text (column names or aggregate expressions) or Columns.
     """
+    if _text(num, den):
+        n = f"({num}) * {factor}" if factor != 1 else f"({num})"
+        return F.expr(f"CAST(try_divide(CAST({n} AS DECIMAL(24,{num_scale})), "
+                      f"CAST(({den}) AS DECIMAL(20,{den_scale}))) AS DECIMAL(38,{scale}))")
     n = col(num)
     if factor != 1:
         n = n * F.lit(factor)
@@ -107,9 +143,9 @@ def ratio(num, den, scale: int = 2, num_scale: int = 0, den_scale: int = 0,
     return F.try_divide(n, d).cast(dec(38, scale))
 
 
-def avg_exact(x, scale: int = 2, x_scale: int = 0) -> Column:
+def avg_exact(x: str, scale: int = 2, x_scale: int = 0) -> Column:
     """Aggregate: mean of ``x`` (NULLs ignored) rounded HALF_UP once."""
-    return ratio(F.sum(col(x)), F.count(col(x)), scale, num_scale=x_scale)
+    return ratio(f"sum({x})", f"count({x})", scale, num_scale=x_scale)
 
 
 def share_pct(part, total, scale: int = 2, num_scale: int = 0, den_scale: int = 0) -> Column:

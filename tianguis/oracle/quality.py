@@ -110,9 +110,24 @@ FROM a_orders""",
 }
 
 
+def sliced_sql(body: str, states: list[str]) -> str:
+    """``body`` evaluated on the relations visible under a customer-state slicer."""
+    in_list = ", ".join("'" + st.replace("'", "''") + "'" for st in states)
+    ctes = f"""WITH s_customers AS (SELECT * FROM a_customers WHERE customer_state IN ({in_list})),
+s_orders AS (SELECT * FROM a_orders WHERE customer_id IN (SELECT customer_id FROM s_customers)),
+s_items AS (SELECT * FROM a_items WHERE order_id IN (SELECT order_id FROM s_orders)),
+s_reviews AS (SELECT * FROM a_reviews WHERE order_id IN (SELECT order_id FROM s_orders)),
+s_payments AS (SELECT * FROM a_payments WHERE order_id IN (SELECT order_id FROM s_orders))
+"""
+    for name in ("customers", "orders", "items", "reviews", "payments"):
+        body = body.replace(f"a_{name}", f"s_{name}")
+    return ctes + f"SELECT * FROM ({body}) sliced"
+
+
 def model_sql_with_slicer() -> dict[str, str]:
-    from .semantic import state_slicer_sql
+    from .semantic import DASHBOARD_SQL, state_slicer_sql
     from ..plans.quality_reports import SLICER_STATES
     out = dict(MODEL_SQL)
     out["p15_state_slicer"] = state_slicer_sql(SLICER_STATES)
+    out["p15_kpis_state_slicer"] = sliced_sql(DASHBOARD_SQL["v01_kpis_overview"], SLICER_STATES)
     return out

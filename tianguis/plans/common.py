@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import NEGATIVE_SCORE_MAX, day_diff, delay_days, is_late
-from ..sources.tables import Tables
+from ..sources.tables import Tables, shared_plan
 
 
+@shared_plan
 def item_totals_by_order(t: Tables) -> DataFrame:
     """Per order: item count, sum of price, freight and price+freight."""
     return t.order_items.groupBy("order_id").agg(
@@ -24,6 +25,7 @@ def item_totals_by_order(t: Tables) -> DataFrame:
         F.sum(F.col("price") + F.col("freight_value")).alias("sum_subtotal"))
 
 
+@shared_plan
 def review_stats_by_order(t: Tables) -> DataFrame:
     """Per order: review rows, scored rows, score sum and negative reviews."""
     s = F.col("review_score")
@@ -34,6 +36,7 @@ def review_stats_by_order(t: Tables) -> DataFrame:
         F.count_if(s <= NEGATIVE_SCORE_MAX).alias("n_negative"))
 
 
+@shared_plan
 def order_logistics(t: Tables) -> DataFrame:
     """One row per order with the delivery metrics of the item fact.
 

@@ -141,8 +141,8 @@ def v09_kpis_logistics(t: Tables) -> DataFrame:
     o = order_logistics(t)
 
     def avg(c, cond=None):
-        x = F.col(c) if cond is None else F.when(cond, F.col(c))
-        return ratio(F.sum(x), F.count(x), 2)
+        x = c if cond is None else f"CASE WHEN {cond} THEN {c} END"
+        return ratio(f"sum({x})", f"count({x})", 2)
 
     late_n = F.count_distinct(F.when(F.col("late"), F.col("order_id")))
     deliv_n = F.count_distinct(F.when(F.col("delivery_days").isNotNull(), F.col("order_id")))
@@ -150,7 +150,7 @@ def v09_kpis_logistics(t: Tables) -> DataFrame:
         avg("seller_to_courier_delivery_days").alias("dias_vendedor_courier"),
         avg("courier_to_customer_delivery_days").alias("dias_courier_cliente"),
         avg("delivery_days").alias("dias_entrega"),
-        avg("delay_days", F.col("late")).alias("dias_retraso"),
+        avg("delay_days", "late").alias("dias_retraso"),
         F.coalesce(share_pct(late_n, deliv_n), F.lit(0).cast("decimal(38,2)"))
         .alias("tasa_retraso"))
     return kpi_rows(a, [(c, c) for c in ("dias_vendedor_courier", "dias_courier_cliente",

@@ -46,10 +46,10 @@ def q04_price_freight_stats(t: Tables) -> DataFrame:
     return i.agg(
         F.min("price").alias("precio_minimo"),
         F.max("price").alias("precio_maximo"),
-        ratio(F.sum("price"), F.count("price"), 2, num_scale=2).alias("precio_promedio"),
+        ratio("sum(price)", "count(price)", 2, num_scale=2).alias("precio_promedio"),
         F.min("freight_value").alias("flete_minimo"),
         F.max("freight_value").alias("flete_maximo"),
-        ratio(F.sum("freight_value"), F.count("freight_value"), 2, num_scale=2)
+        ratio("sum(freight_value)", "count(freight_value)", 2, num_scale=2)
         .alias("flete_promedio"))
 
 

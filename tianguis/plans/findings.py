@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from ..functions.exprs import (CREDIT_CARD, DELIVERED, LATE_DELIVERY, ON_TIME_DELIVERY,
                                SINGLE_SELLER, SPLIT_SHIPMENT, YES, installment_range,
                                ratio, share_pct, yes_no)
-from ..sources.tables import Tables
+from ..sources.tables import Tables, shared_plan
 from .common import order_logistics, review_stats_by_order
 from .star import fact_order_items, fact_order_payments, fact_order_reviews
 
 
+@shared_plan
 def order_mean_score(t: Tables) -> DataFrame:
     """Per-order mean review score, HALF_UP at 6 decimals (order grain)."""
     return review_stats_by_order(t).select(
@@ -57,17 +58,17 @@ def h2_score_by_shipment_type(t: Tables) -> DataFrame:
     f = fact_order_reviews(t).where(F.col("tipo_logistica").isin(SINGLE_SELLER, SPLIT_SHIPMENT))
     return (f.groupBy("tipo_logistica").agg(
         F.count("order_id").alias("volumen_ordenes"),
-        ratio(F.sum("review_score"), F.count("review_score"), 2).alias("score_promedio"))
+        ratio("sum(review_score)", "count(review_score)", 2).alias("score_promedio"))
         .orderBy("tipo_logistica"))
 
 
 def h3_transit_days_by_lateness(t: Tables) -> DataFrame:
     """Delivered orders: mean seller->courier and courier->customer days, by lateness."""
     o = order_logistics(t).where(F.col("order_status") == DELIVERED)
-    s2c, c2c = F.col("seller_to_courier_delivery_days"), F.col("courier_to_customer_delivery_days")
+    s2c, c2c = "seller_to_courier_delivery_days", "courier_to_customer_delivery_days"
     g = o.groupBy("late").agg(
-        ratio(F.sum(s2c), F.count(s2c), 2).alias("avg_seller_to_courier"),
-        ratio(F.sum(c2c), F.count(c2c), 2).alias("avg_courier_to_customer"))
+        ratio(f"sum({s2c})", f"count({s2c})", 2).alias("avg_seller_to_courier"),
+        ratio(f"sum({c2c})", f"count({c2c})", 2).alias("avg_courier_to_customer"))
     return g.select(yes_no("late").alias("is_late"), "avg_seller_to_courier",
                     "avg_courier_to_customer")
 
@@ -99,6 +100,7 @@ def _items_in_orders(t: Tables, extra: list[str] | None = None) -> DataFrame:
     return t.order_items.select(*cols).join(t.orders.select("order_id"), "order_id")
 
 
+@shared_plan
 def _translated_products(t: Tables) -> DataFrame:
     return (t.products.select("product_id", "product_category_name")
             .join(t.category_translation, "product_category_name"))
@@ -158,7 +160,7 @@ def h5_ticket_by_installments(t: Tables) -> DataFrame:
          .select(installment_range("payment_installments").alias("rango_cuotas"),
                  "payment_value"))
     g = p.groupBy("rango_cuotas").agg(
-        ratio(F.sum("payment_value"), F.count("payment_value"), 6, num_scale=2)
+        ratio("sum(payment_value)", "count(payment_value)", 6, num_scale=2)
         .alias("ticket_promedio"))
     return g.orderBy("ticket_promedio")
 

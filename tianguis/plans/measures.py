@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import (CREDIT_CARD, DELIVERED, NEGATIVE_SCORE_MAX, dec, ratio,
                                share_pct)
-from ..sources.tables import Tables
+from ..sources.tables import Tables, shared_plan
 from .common import order_logistics, review_stats_by_order
 from .findings import h3_transit_days_by_lateness, order_mean_score
 from .star import dim_calendar
@@ -35,7 +35,7 @@ def m01_score_per_order(t: Tables, by: Sequence[str] | None = None) -> DataFrame
     """Mean over orders of each order's mean score (orders without a score ignored)."""
     s = order_mean_score(t).join(t.orders.select("order_id", *_by(by)), "order_id")
     return _group(s, by).agg(
-        ratio(F.sum("avg_review_score"), F.count("avg_review_score"), 2, num_scale=6)
+        ratio("sum(avg_review_score)", "count(avg_review_score)", 2, num_scale=6)
         .alias("score_promedio_por_orden"))
 
 
@@ -61,10 +61,11 @@ def m03_mean_installments(t: Tables, by: Sequence[str] | None = None) -> DataFra
                                             F.lit(0).cast(dec(38, 6))).alias("cuotas_orden"))
     per = per.join(t.orders.select("order_id", *_by(by)), "order_id")
     return _group(per, by).agg(
-        ratio(F.sum("cuotas_orden"), F.count("cuotas_orden"), 2, num_scale=6)
+        ratio("sum(cuotas_orden)", "count(cuotas_orden)", 2, num_scale=6)
         .alias("cuotas_promedio"))
 
 
+@shared_plan
 def monthly_revenue_calendar(t: Tables) -> DataFrame:
     """Item revenue (price) per calendar month over the gap-free calendar;
     months without sales carry a NULL revenue."""
@@ -143,14 +144,14 @@ def m11_logistics_days(t: Tables, by: Sequence[str] | None = None) -> DataFrame:
     o = order_logistics(t)
 
     def avg(c, cond=None):
-        x = F.col(c) if cond is None else F.when(cond, F.col(c))
-        return ratio(F.sum(x), F.count(x), 2)
+        x = c if cond is None else f"CASE WHEN {cond} THEN {c} END"
+        return ratio(f"sum({x})", f"count({x})", 2)
 
     return _group(o, by).agg(
         avg("seller_to_courier_delivery_days").alias("dias_vendedor_courier"),
         avg("courier_to_customer_delivery_days").alias("dias_courier_cliente"),
         avg("delivery_days").alias("dias_entrega"),
-        avg("delay_days", F.col("late")).alias("dias_retraso"))
+        avg("delay_days", "late").alias("dias_retraso"))
 
 
 def m12_payments(t: Tables, by: Sequence[str] | None = None) -> DataFrame:

@@ -105,6 +105,14 @@ def p15_state_slicer(t: Tables) -> DataFrame:
     return v11_late_rate_by_state(t, states=SLICER_STATES)
 
 
+def p15_kpis_state_slicer(t: Tables) -> DataFrame:
+    """The overview KPI strip (V1) under the state slicer: the filter on the
+    customer dimension reaches orders, items and reviews (filter context)."""
+    from .context import filter_context
+    from .dashboard import v01_kpis_overview
+    return v01_kpis_overview(filter_context(t, customers=F.col("customer_state").isin(SLICER_STATES)))
+
+
 RAW_REPORTS = {
     "c1_strip_quotes": c1_strip_quotes,
     "c2_replace_commas": c2_replace_commas,
@@ -121,6 +129,7 @@ MODEL_REPORTS = {
     "c9_orders_without_items": c9_orders_without_items,
     "p14_customers_with_late_orders": p14_customers_with_late_orders,
     "p15_state_slicer": p15_state_slicer,
+    "p15_kpis_state_slicer": p15_kpis_state_slicer,
     "w5_month_rank": w5_month_rank,
     "f9_latest_milestone": f9_latest_milestone,
 }

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import day_diff, delay_days, is_late, logistics_type, yes_no
+from ..functions.exprs import day_diff, delay_days, late_label, logistics_type
 from ..operators.joins import keep_parents_join
-from ..sources.tables import Tables
+from ..sources.tables import Tables, shared_plan
 
 # English month and weekday names of the calendar dimension.
 MONTH_NAMES = ["January", "February", "March", "April", "May", "June", "July",
@@ -23,11 +23,13 @@ _ORDER_DATES = ["order_approved_at", "order_delivered_carrier_date",
                 "order_delivered_customer_date", "order_estimated_delivery_date"]
 
 
+@shared_plan
 def dim_customer(t: Tables) -> DataFrame:
     return t.customers.select("customer_id", "customer_unique_id", "customer_zip_code_prefix",
                               "customer_city", "customer_state")
 
 
+@shared_plan
 def dim_product(t: Tables) -> DataFrame:
     """Products with their English category; uncategorised products are kept."""
     p = t.products
@@ -38,10 +40,12 @@ def dim_product(t: Tables) -> DataFrame:
                     "product_width_cm"))
 
 
+@shared_plan
 def dim_seller(t: Tables) -> DataFrame:
     return t.sellers.select("seller_id", "seller_zip_code_prefix", "seller_city", "seller_state")
 
 
+@shared_plan
 def dim_calendar(t: Tables) -> DataFrame:
     """One row per day between the first and last purchase date (gap-free).
 
@@ -65,6 +69,7 @@ def dim_calendar(t: Tables) -> DataFrame:
         F.element_at(day_names, F.weekday(d) + 1).alias("day_name"))
 
 
+@shared_plan
 def _order_side(t: Tables) -> DataFrame:
     # renamed to purchase_date only after the join, so that both branches of
     # keep_parents_join read an identical parent plan (one shared exchange)
@@ -75,6 +80,7 @@ def _order_side(t: Tables) -> DataFrame:
 _PURCHASE = "order_purchase_timestamp"
 
 
+@shared_plan
 def fact_order_items(t: Tables) -> DataFrame:
     """Item grain plus one all-NULL-item row per order without items."""
     items = t.order_items.select("order_id", "order_item_id", "product_id", "seller_id",
@@ -90,7 +96,7 @@ def fact_order_items(t: Tables) -> DataFrame:
         .alias("seller_to_courier_delivery_days"),
         day_diff("order_delivered_carrier_date", "order_delivered_customer_date")
         .alias("courier_to_customer_delivery_days"),
-        yes_no(is_late("order_delivered_customer_date", "order_estimated_delivery_date"))
+        late_label("order_delivered_customer_date", "order_estimated_delivery_date")
         .alias("is_late"),
         delay_days("order_delivered_customer_date", "order_estimated_delivery_date")
         .alias("delay_days"),
@@ -98,6 +104,7 @@ def fact_order_items(t: Tables) -> DataFrame:
         (F.col("price") + F.col("freight_value")).alias("subtotal"))
 
 
+@shared_plan
 def fact_order_payments(t: Tables) -> DataFrame:
     """Payment grain plus one NULL-payment row per unpaid order."""
     pays = t.order_payments.select("order_id", "payment_sequential", "payment_type",
@@ -108,12 +115,14 @@ def fact_order_payments(t: Tables) -> DataFrame:
                     F.col(_PURCHASE).alias("purchase_date"), *_ORDER_DATES)
 
 
+@shared_plan
 def sellers_per_order(t: Tables) -> DataFrame:
     """Distinct sellers per order (a two-phase distinct aggregate, skew-safe)."""
     return (t.order_items.groupBy("order_id")
             .agg(F.count_distinct("seller_id").alias("cantidad_vendedores")))
 
 
+@shared_plan
 def fact_order_reviews(t: Tables) -> DataFrame:
     """Review grain plus one row per unreviewed order, with the shipment type."""
     orders = _order_side(t).join(sellers_per_order(t), "order_id", "left")
@@ -126,7 +135,7 @@ def fact_order_reviews(t: Tables) -> DataFrame:
         "review_comment_message", "review_creation_date", "review_answer_timestamp",
         "order_status", F.col(_PURCHASE).alias("purchase_date"), *_ORDER_DATES,
         day_diff(_PURCHASE, "order_delivered_customer_date").alias("delivery_days"),
-        yes_no(is_late("order_delivered_customer_date", "order_estimated_delivery_date"))
+        late_label("order_delivered_customer_date", "order_estimated_delivery_date")
         .alias("is_late"),
         delay_days("order_delivered_customer_date", "order_estimated_delivery_date")
         .alias("delay_days"),

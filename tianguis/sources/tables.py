@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import weakref
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
@@ -27,3 +29,27 @@ class Tables:
         """Expose every relation to ``spark.sql`` (session-scoped temp views)."""
         for name, df in self.as_dict().items():
             df.createOrReplaceTempView(f"{prefix}{name}")
+
+
+_SHARED: "weakref.WeakKeyDictionary[Tables, dict]" = weakref.WeakKeyDictionary()
+
+
+def shared_plan(fn):
+    """Memoise a ``Tables -> DataFrame`` builder per ``Tables`` bundle.
+
+    Only the lazy plan object is reused (DataFrames are immutable); nothing is
+    cached in memory and every action still reads the sources. Sub-plans used
+    by many reports (order-grain aggregates, facts, dimensions) are then
+    defined once, which saves the driver the JVM round trips of rebuilding
+    their expressions for every report.
+    """
+    @functools.wraps(fn)
+    def wrapper(t: Tables, *args, **kwargs):
+        if args or kwargs:
+            return fn(t, *args, **kwargs)
+        memo = _SHARED.setdefault(t, {})
+        key = fn.__module__ + "." + fn.__qualname__
+        if key not in memo:
+            memo[key] = fn(t)
+        return memo[key]
+    return wrapper
