@@ -33,24 +33,22 @@ def pk_report(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]]
     for name, key in keys.items():
         if name not in tables:
             continue
-        counted = tables[name].groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-        any_null = F.lit(False)
-        for k in key:
-            any_null = any_null | F.col(k).isNull()
-        parts.append(counted.agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("filas"),
-            F.count_if(F.col("n") > 1).alias("claves_duplicadas"),
-            F.coalesce(F.sum(F.when(any_null, F.col("n")).otherwise(0)), F.lit(0))
-            .alias("claves_nulas"))
-            .select(F.lit(name).alias("tabla"), F.lit(", ".join(key)).alias("clave"), "*"))
+        counted = tables[name].groupBy(*key).agg(F.expr("count(1) AS n"))
+        any_null = " OR ".join(f"`{k}` IS NULL" for k in key)
+        # a select holding only aggregates and literals is one global aggregate
+        parts.append(counted.selectExpr(
+            f"'{name}' AS tabla", f"'{', '.join(key)}' AS clave",
+            "coalesce(sum(n), 0) AS filas",
+            "count_if(n > 1) AS claves_duplicadas",
+            f"coalesce(sum(CASE WHEN {any_null} THEN n ELSE 0 END), 0) AS claves_nulas"))
     return _union(parts)
 
 
 def orphan_rows(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str) -> DataFrame:
     """Child rows whose non-NULL reference has no parent, counted per key first."""
-    per_key = (child.where(F.col(child_col).isNotNull())
-               .groupBy(F.col(child_col).alias("_k")).agg(F.count(F.lit(1)).alias("n")))
-    keys = parent.select(F.col(parent_col).alias("_k")).distinct()
+    per_key = (child.selectExpr(f"`{child_col}` AS _k").where("_k IS NOT NULL")
+               .groupBy("_k").agg(F.expr("count(1) AS n")))
+    keys = parent.selectExpr(f"`{parent_col}` AS _k").distinct()
     return per_key.join(keys, "_k", "left_anti")
 
 
@@ -62,9 +60,9 @@ def fk_report(tables: Mapping[str, DataFrame],
         if child not in tables or parent not in tables:
             continue
         o = orphan_rows(tables[child], ccol, tables[parent], pcol)
-        parts.append(o.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("filas_huerfanas"))
-                     .select(F.lit(child).alias("hijo"), F.lit(ccol).alias("columna"),
-                             F.lit(parent).alias("padre"), "filas_huerfanas"))
+        parts.append(o.selectExpr(f"'{child}' AS hijo", f"'{ccol}' AS columna",
+                                  f"'{parent}' AS padre",
+                                  "CAST(coalesce(sum(n), 0) AS BIGINT) AS filas_huerfanas"))
     return _union(parts)
 
 
@@ -79,18 +77,18 @@ def domain_report(tables: Mapping[str, DataFrame],
         bounded = [(c, n) for c, n in cols.items() if n is not None and c in df.columns]
         if not bounded:
             continue
-        agg = df.agg(*[F.count_if(F.length(c) > n).alias(c) for c, n in bounded])
-        stacked = agg.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("columna"), F.lit(n).alias("limite"),
-                     F.col(c).alias("valores_excedidos")) for c, n in bounded])).alias("s"))
-        parts.append(stacked.select(F.lit(name).alias("tabla"), "s.*"))
+        # one pass per table; the per-column counts are unpivoted with stack()
+        agg = df.selectExpr(*[f"count_if(length(`{c}`) > {n}) AS `{c}`" for c, n in bounded])
+        stack = ", ".join(f"'{c}', {n}, `{c}`" for c, n in bounded)
+        parts.append(agg.selectExpr(
+            f"'{name}' AS tabla",
+            f"stack({len(bounded)}, {stack}) AS (columna, limite, valores_excedidos)"))
     return _union(parts)
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """``SELECT 'name', COUNT(*) ... UNION ALL`` over all tables."""
-    return _union([df.agg(F.count(F.lit(1)).alias("registros"))
-                   .select(F.lit(name).alias("tabla"), "registros")
+    return _union([df.selectExpr(f"'{name}' AS tabla", "count(1) AS registros")
                    for name, df in tables.items()])
 
 

@@ -27,15 +27,17 @@ _INTS = (T.ByteType, T.ShortType, T.IntegerType)
 
 
 def publish(df: DataFrame) -> DataFrame:
+    """Integers -> BIGINT, decimals -> DOUBLE (after their one exact rounding)."""
     cols = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        name = f"`{f.name}`"
         if isinstance(f.dataType, _INTS):
-            c = c.cast("bigint")
+            cols.append(f"CAST({name} AS BIGINT) AS {name}")
         elif isinstance(f.dataType, T.DecimalType):
-            c = c.cast("double")
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+            cols.append(f"CAST({name} AS DOUBLE) AS {name}")
+        else:
+            cols.append(name)
+    return df.selectExpr(*cols)
 
 
 _TABLES: dict[tuple[object, str], Tables] = {}
