@@ -210,3 +210,19 @@ def test_filter_context_slices_every_table(t):
     # only orders holding a 'beleza' item, and only those items
     assert measures.m06_total_revenue(beleza).first()[0] == D("130.00")  # o1 p1 100 + o2 p1 30
     assert measures.m07_total_orders(beleza).first()[0] == 2
+
+
+def test_kpi_strips_by_hand(t):
+    from tianguis.plans import dashboard
+    kpi = lambda df: {r["kpi"]: r["valor"] for r in df.collect()}
+    assert kpi(dashboard.v01_kpis_overview(t)) == {
+        "total_ingresos": 310.0, "total_pedidos": 5.0, "ticket_promedio": 77.5,
+        "score_promedio": 3.13,          # (2.5 + 1 + 5 + 4) / 4 = 3.125, half-up
+        "tasa_insatisfaccion": 25.0,     # o2 of the four reviewed orders
+        "tasa_entrega": 60.0}            # o1, o2, o3 of five
+    assert kpi(dashboard.v13_kpis_payments(t)) == {
+        "total_pagado": 341.0, "cuotas_promedio": 0.67, "pago_promedio": 85.25,
+        "participacion_tarjeta": 50.0}   # 3 of 6 payment rows
+    assert kpi(dashboard.v09_kpis_logistics(t)) == {
+        "dias_vendedor_courier": 1.0, "dias_courier_cliente": 6.67, "dias_entrega": 8.33,
+        "dias_retraso": 5.0, "tasa_retraso": 33.33}
