@@ -1,10 +1,10 @@
 """Semantic-layer measures M1-M15 as DataFrame functions.
 
 A measure is "an aggregate evaluated in a filter context": every function takes
-the tables plus optional ``by`` columns (the report's slicers / axes) and
-returns one row per group - a global value when ``by`` is empty. Filters are
-applied by the caller on the inputs (``Tables`` of filtered DataFrames) or via
-the ``where`` hooks, so Catalyst pushes them to the scans.
+the tables plus optional ``by`` keys (the report's axes: column names or
+expressions over the orders) and returns one row per group - a global value
+when ``by`` is empty. Filters (slicers) are applied to the inputs with
+``plans.context.filter_context``, so Catalyst pushes them to the scans.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import (CREDIT_CARD, DELIVERED, NEGATIVE_SCORE_MAX, dec, ratio,
@@ -23,34 +23,50 @@ from .findings import h3_transit_days_by_lateness, order_mean_score
 from .star import dim_calendar
 
 
-def _by(by: Sequence[str] | None) -> list[str]:
-    return list(by or [])
+Slicer = Sequence["str | Column"] | None
 
 
-def _group(df: DataFrame, by: Sequence[str] | None):
-    return df.groupBy(*_by(by))
+def _measure(df: DataFrame, t: Tables, by: Slicer, *aggs: Column,
+             orders_only: bool = True) -> DataFrame:
+    """Aggregate ``df`` (which has ``order_id``) in the filter context ``by``.
 
+    ``by`` holds column names or expressions over the orders table, e.g.
+    ``["order_status"]`` or ``[F.year("order_purchase_timestamp").alias("anio")]``.
+    The keys are evaluated on the orders and joined on ``order_id`` under
+    private names (so they never collide with the measure's own columns); with
+    ``orders_only`` the join also restricts ``df`` to existing orders even when
+    there are no keys.
+    """
+    by = list(by or [])
+    if not by and not orders_only:
+        return df.agg(*aggs)
+    keys = t.orders.select("order_id", *by)
+    names = keys.columns[1:]
+    private = [f"__by{i}" for i in range(len(names))]
+    joined = df.join(keys.toDF("order_id", *private), "order_id")
+    g = joined.groupBy(*private).agg(*aggs)
+    return g.withColumnsRenamed(dict(zip(private, names))) if names else g
 
-def m01_score_per_order(t: Tables, by: Sequence[str] | None = None) -> DataFrame:
+
+def m01_score_per_order(t: Tables, by: Slicer = None) -> DataFrame:
     """Mean over orders of each order's mean score (orders without a score ignored)."""
-    s = order_mean_score(t).join(t.orders.select("order_id", *_by(by)), "order_id")
-    return _group(s, by).agg(
-        ratio("sum(avg_review_score)", "count(avg_review_score)", 2, num_scale=6)
-        .alias("score_promedio_por_orden"))
+    return _measure(order_mean_score(t), t, by,
+                    ratio("sum(avg_review_score)", "count(avg_review_score)", 2, num_scale=6)
+                    .alias("score_promedio_por_orden"))
 
 
-def m02_late_rate(t: Tables, by: Sequence[str] | None = None) -> DataFrame:
+def m02_late_rate(t: Tables, by: Slicer = None) -> DataFrame:
     """100 x distinct late orders / distinct orders with a delivery, 0 when none."""
-    o = order_logistics(t)
-    g = _group(o, by).agg(
-        F.count_distinct(F.when(F.col("late"), F.col("order_id"))).alias("pedidos_con_retraso"),
-        F.count_distinct(F.when(F.col("delivery_days").isNotNull(), F.col("order_id")))
-        .alias("pedidos_entregados"))
+    g = _measure(order_logistics(t), t, by,
+                 F.expr("count(DISTINCT CASE WHEN late THEN order_id END) AS pedidos_con_retraso"),
+                 F.expr("count(DISTINCT CASE WHEN delivery_days IS NOT NULL THEN order_id END) "
+                        "AS pedidos_entregados"),
+                 orders_only=False)
     return g.withColumn("tasa_retraso", F.coalesce(
         share_pct("pedidos_con_retraso", "pedidos_entregados"), F.lit(0).cast(dec(38, 2))))
 
 
-def m03_mean_installments(t: Tables, by: Sequence[str] | None = None) -> DataFrame:
+def m03_mean_installments(t: Tables, by: Slicer = None) -> DataFrame:
     """Credit card only: per order the value-weighted installments (0 when the
     order's value is 0), then the plain mean over orders."""
     p = t.order_payments.where(F.col("payment_type") == CREDIT_CARD)
@@ -59,10 +75,8 @@ def m03_mean_installments(t: Tables, by: Sequence[str] | None = None) -> DataFra
         F.sum("payment_value").alias("_v"))
     per = per.select("order_id", F.coalesce(ratio("_w", "_v", 6, num_scale=2, den_scale=2),
                                             F.lit(0).cast(dec(38, 6))).alias("cuotas_orden"))
-    per = per.join(t.orders.select("order_id", *_by(by)), "order_id")
-    return _group(per, by).agg(
-        ratio("sum(cuotas_orden)", "count(cuotas_orden)", 2, num_scale=6)
-        .alias("cuotas_promedio"))
+    return _measure(per, t, by, ratio("sum(cuotas_orden)", "count(cuotas_orden)", 2, num_scale=6)
+                    .alias("cuotas_promedio"))
 
 
 @shared_plan
@@ -99,47 +113,46 @@ def m05_revenue_ytd(t: Tables) -> DataFrame:
     return m.select("anio", "mes", "ingreso", F.sum("ingreso").over(w).alias("ingreso_acumulado_ytd"))
 
 
-def m06_total_revenue(t: Tables, by: Sequence[str] | None = None) -> DataFrame:
+def m06_total_revenue(t: Tables, by: Slicer = None) -> DataFrame:
     """Sum of item price (no freight) over items of existing orders."""
-    i = t.order_items.select("order_id", "price").join(
-        t.orders.select("order_id", *_by(by)), "order_id")
-    return _group(i, by).agg(F.sum("price").alias("total_ingresos"))
+    return _measure(t.order_items.select("order_id", "price"), t, by,
+                    F.expr("sum(price) AS total_ingresos"))
 
 
-def m07_total_orders(t: Tables, by: Sequence[str] | None = None) -> DataFrame:
-    return _group(t.orders, by).agg(F.count_distinct("order_id").alias("total_pedidos"))
+def m07_total_orders(t: Tables, by: Slicer = None) -> DataFrame:
+    return _measure(t.orders.select("order_id"), t, by,
+                    F.expr("count(DISTINCT order_id) AS total_pedidos"), orders_only=False)
 
 
-def m08_average_ticket(t: Tables, by: Sequence[str] | None = None) -> DataFrame:
+def m08_average_ticket(t: Tables, by: Slicer = None) -> DataFrame:
     """Sum of price / orders having at least one item."""
-    per = (t.order_items.groupBy("order_id").agg(F.sum("price").alias("sp"))
-           .join(t.orders.select("order_id", *_by(by)), "order_id"))
-    g = _group(per, by).agg(F.sum("sp").alias("total_ingresos"),
-                            F.count_distinct("order_id").alias("pedidos_con_items"))
+    per = t.order_items.groupBy("order_id").agg(F.sum("price").alias("sp"))
+    g = _measure(per, t, by, F.expr("sum(sp) AS total_ingresos"),
+                 F.expr("count(DISTINCT order_id) AS pedidos_con_items"))
     return g.withColumn("ticket_promedio",
                         ratio("total_ingresos", "pedidos_con_items", 2, num_scale=2))
 
 
-def m09_dissatisfaction_rate(t: Tables, by: Sequence[str] | None = None) -> DataFrame:
+def m09_dissatisfaction_rate(t: Tables, by: Slicer = None) -> DataFrame:
     """Share (%) of reviewed orders whose mean score is at most 2."""
-    s = review_stats_by_order(t).where(F.col("n_scored") > 0)
-    low = F.col("sum_score") <= F.col("n_scored") * NEGATIVE_SCORE_MAX
-    s = s.join(t.orders.select("order_id", *_by(by)), "order_id")
-    g = _group(s, by).agg(F.count_if(low).alias("ordenes_insatisfechas"),
-                          F.count(F.lit(1)).alias("ordenes_con_review"))
+    s = review_stats_by_order(t).where("n_scored > 0")
+    g = _measure(s, t, by,
+                 F.expr(f"count_if(sum_score <= n_scored * {NEGATIVE_SCORE_MAX}) "
+                        "AS ordenes_insatisfechas"),
+                 F.expr("count(1) AS ordenes_con_review"))
     return g.withColumn("tasa_insatisfaccion",
                         share_pct("ordenes_insatisfechas", "ordenes_con_review"))
 
 
-def m10_delivery_rate(t: Tables, by: Sequence[str] | None = None) -> DataFrame:
+def m10_delivery_rate(t: Tables, by: Slicer = None) -> DataFrame:
     """Share (%) of orders with status delivered."""
-    g = _group(t.orders, by).agg(
-        F.count_if(F.col("order_status") == DELIVERED).alias("pedidos_entregados"),
-        F.count(F.lit(1)).alias("total_pedidos"))
+    g = _measure(t.orders.select("order_id", "order_status"), t, by,
+                 F.expr(f"count_if(order_status = '{DELIVERED}') AS pedidos_entregados"),
+                 F.expr("count(1) AS total_pedidos"), orders_only=False)
     return g.withColumn("tasa_entrega", share_pct("pedidos_entregados", "total_pedidos"))
 
 
-def m11_logistics_days(t: Tables, by: Sequence[str] | None = None) -> DataFrame:
+def m11_logistics_days(t: Tables, by: Slicer = None) -> DataFrame:
     """Order-grain means of the transit-day columns; delay over late orders only."""
     o = order_logistics(t)
 
@@ -147,19 +160,18 @@ def m11_logistics_days(t: Tables, by: Sequence[str] | None = None) -> DataFrame:
         x = c if cond is None else f"CASE WHEN {cond} THEN {c} END"
         return ratio(f"sum({x})", f"count({x})", 2)
 
-    return _group(o, by).agg(
-        avg("seller_to_courier_delivery_days").alias("dias_vendedor_courier"),
-        avg("courier_to_customer_delivery_days").alias("dias_courier_cliente"),
-        avg("delivery_days").alias("dias_entrega"),
-        avg("delay_days", "late").alias("dias_retraso"))
+    return _measure(o, t, by,
+                    avg("seller_to_courier_delivery_days").alias("dias_vendedor_courier"),
+                    avg("courier_to_customer_delivery_days").alias("dias_courier_cliente"),
+                    avg("delivery_days").alias("dias_entrega"),
+                    avg("delay_days", "late").alias("dias_retraso"), orders_only=False)
 
 
-def m12_payments(t: Tables, by: Sequence[str] | None = None) -> DataFrame:
+def m12_payments(t: Tables, by: Slicer = None) -> DataFrame:
     """Total paid and mean paid per paying order."""
     per = t.order_payments.groupBy("order_id").agg(F.sum("payment_value").alias("pv"))
-    per = per.join(t.orders.select("order_id", *_by(by)), "order_id")
-    g = _group(per, by).agg(F.sum("pv").alias("total_pagado"),
-                            F.count(F.lit(1)).alias("ordenes_pagadas"))
+    g = _measure(per, t, by, F.expr("sum(pv) AS total_pagado"),
+                 F.expr("count(1) AS ordenes_pagadas"))
     return g.withColumn("pago_promedio", ratio("total_pagado", "ordenes_pagadas", 2, num_scale=2))
 
 
