@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
-                  app: str = "tianguis") -> SparkSession:
+                  app: str = "tianguis", extra: dict[str, str] | None = None) -> SparkSession:
     """A local session configured like the cluster profile we target.
 
     AQE is on so that small dimensions become broadcast joins only after their
@@ -36,6 +36,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    for key, value in (extra or {}).items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
