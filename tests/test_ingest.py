@@ -138,6 +138,13 @@ def test_mart_roundtrip(spark, make_tables):
     mart = read_mart(spark, paths)
     assert mart["fact_order_items"].count() == t.order_items.count() + 1
     assert "purchase_month" in mart["fact_order_items"].columns
+    from tianguis.sources.sinks import publish_mart
+    names = publish_mart(spark, paths, database="tianguis_test_mart",
+                         location=os.path.join(root, "db"))
+    assert "tianguis_test_mart.fact_order_items" in names
+    n = spark.sql("SELECT count(*) FROM tianguis_test_mart.fact_order_items "
+                  "WHERE purchase_year = 2018 AND purchase_month = 1").first()[0]
+    assert n == 1
     write_csv(mart["dim_seller"], os.path.join(root, "csv"))
     back = spark.read.option("header", True).csv(os.path.join(root, "csv"))
     assert back.count() == t.sellers.count()

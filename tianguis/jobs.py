@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 from .operators.quality import domain_report, fk_report, pk_report, row_counts
 from .registry import builders, publish
 from .sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS, VARCHAR_LIMITS
-from .sources.sinks import write_mart
+from .sources.sinks import publish_mart, write_mart
 from .sources.tables import Tables
 
 
@@ -41,7 +41,8 @@ def write_reports(t: Tables, out: str, names: list[str] | None = None) -> list[s
 
 
 def run(spark: SparkSession, out: str, landing: str | None = None, sf_dir: str | None = None,
-        reports: list[str] | None = None, mart: bool = True) -> None:
+        reports: list[str] | None = None, mart: bool = True,
+        publish: str | None = None) -> None:
     if landing:
         from .sources.csv_ingest import load_landing
         land = load_landing(spark, landing, staging=os.path.join(out, "staging"))
@@ -55,7 +56,10 @@ def run(spark: SparkSession, out: str, landing: str | None = None, sf_dir: str |
         raise ValueError("give --landing or --sf-dir")
     write_quality(t, out)
     if mart:
-        write_mart(spark, t, root=os.path.join(out, "mart"))
+        paths = write_mart(spark, t, root=os.path.join(out, "mart"))
+        if publish:
+            publish_mart(spark, paths, database=publish,
+                         location=os.path.join(out, f"{publish}.db"))
     write_reports(t, out, reports)
 
 
@@ -67,9 +71,12 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--out", required=True, help="shared output folder")
     ap.add_argument("--reports", nargs="*", help="report names (default: all)")
     ap.add_argument("--no-mart", action="store_true")
+    ap.add_argument("--publish", metavar="DATABASE",
+                    help="register the mart as external tables in this catalog database")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName("tianguis").getOrCreate()
-    run(spark, a.out, landing=a.landing, sf_dir=a.sf_dir, reports=a.reports, mart=not a.no_mart)
+    run(spark, a.out, landing=a.landing, sf_dir=a.sf_dir, reports=a.reports, mart=not a.no_mart,
+        publish=a.publish)
 
 
 if __name__ == "__main__":

@@ -58,3 +58,24 @@ def write_mart(spark: SparkSession, t: Tables, root: str | None = None,
 
 def read_mart(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(p) for name, p in paths.items()}
+
+
+def publish_mart(spark: SparkSession, paths: dict[str, str], database: str = "analytics",
+                 location: str | None = None) -> list[str]:
+    """Register the written mart as external Parquet tables ``database.name``.
+
+    The database lives in the shared folder (never a machine-local warehouse
+    directory); partitioned facts get their year/month partitions recovered so
+    that partition pruning works through the catalog.
+    """
+    location = location or shared_dir(spark, f"{database}.db")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{location}'")
+    names = []
+    for name, path in paths.items():
+        full = f"`{database}`.`{name}`"
+        spark.sql(f"DROP TABLE IF EXISTS {full}")  # external: the files stay
+        spark.catalog.createTable(f"{database}.{name}", path=path, source="parquet")
+        if name in FACTS:
+            spark.catalog.recoverPartitions(f"{database}.{name}")
+        names.append(f"{database}.{name}")
+    return names
