@@ -15,6 +15,10 @@ from conftest import SF_SMALL
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
+# Spark published type -> DuckDB result type
+TYPE_MAP = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+            "timestamp_ntz": "TIMESTAMP", "date": "DATE", "int": "INTEGER"}
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="driver tables absent")
 
 
@@ -55,10 +59,13 @@ def test_every_query_has_an_oracle():
 def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF_SMALL)
     srows = df.collect()
-    cur = duck.execute(ORACLE[name])
-    drows = cur.fetchall()
-    dnames = [d[0] for d in cur.description]
+    rel = duck.sql(ORACLE[name])
+    dnames, dtypes = rel.columns, [str(t) for t in rel.types]
+    drows = rel.fetchall()
     assert sorted(df.columns) == sorted(dnames)
+    stypes = {f.name: TYPE_MAP.get(f.dataType.simpleString(), f.dataType.simpleString())
+              for f in df.schema.fields}
+    assert stypes == dict(zip(dnames, dtypes))
     assert _canon(df.columns, srows) == _canon(dnames, drows)
 
 
