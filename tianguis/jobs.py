@@ -52,7 +52,7 @@ def run(spark: SparkSession, out: str, landing: str | None = None, sf_dir: str |
             bad.write.mode("overwrite").parquet(os.path.join(out, "quarantine", name))
     elif sf_dir:
         from .sources.adapter import load_tables
-        t = load_tables(spark, sf_dir)
+        t = load_tables(spark, sf_dir, skew_safe_items=mart)
     else:
         raise ValueError("give --landing or --sf-dir")
     write_quality(t, out)

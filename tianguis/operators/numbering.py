@@ -1,0 +1,57 @@
+"""Row numbers within groups that may be huge (``ROW_NUMBER() OVER (PARTITION
+BY g ORDER BY k)`` without putting a hot group into one task).
+
+A window partitioned by ``g`` sorts and numbers each group in a single task, so
+a group holding a third of all rows becomes a third of the job on one core.
+Here the rows are range-partitioned on ``(g, k...)`` instead: the range bounds
+cut a hot group into many partitions, each sorted locally.
+
+1. ``repartitionByRange(n, g, k...)`` + ``sortWithinPartitions(g, k...)``; the
+   explicit ``n`` keeps AQE from coalescing, so partition ids are stable.
+2. Each row gets its partition id and ``monotonically_increasing_id`` (consecutive
+   inside a partition, and the rows are sorted there): the position inside its
+   (partition, group) run is ``id - first id of the run``.
+3. Per (partition, group): first id and row count - at most ``n`` rows for a
+   hot group. A window over those small rows gives each run the number of rows
+   of the same group in earlier partitions (its offset).
+4. Join the offsets back on (partition, group) - the hot group is spread over
+   ``n`` keys - and add.
+
+The result equals ``row_number()`` over the same order (rows that tie on every
+order key are interchangeable). Range bounds are sampled per plan and depend on
+which columns each branch carries, so the ranged rows (with their partition ids
+and positions) are written once with a reliable ``checkpoint()`` into the
+cluster's shared checkpoint folder: both branches read the same rows, and a
+lost executor cannot change the numbering. This is an eager step, meant for
+jobs that materialise the ids.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..session import ensure_checkpoint_dir
+
+
+def number_within_groups(df: DataFrame, group: str, order: Sequence[str], out: str,
+                         partitions: int | None = None) -> DataFrame:
+    """``df`` plus ``out`` = 1, 2, ... inside each ``group`` in ``order``."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [group, *order]
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+              .withColumns({"_pid": F.spark_partition_id(),
+                            "_mono": F.monotonically_increasing_id()})
+              .checkpoint(eager=True))
+    runs = ranged.groupBy("_pid", group).agg(F.min("_mono").alias("_first"),
+                                             F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("_pid", F.col(group).alias("_g"), "_first",
+                       F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    cond = (ranged["_pid"] == runs["_pid"]) & ranged[group].eqNullSafe(runs["_g"])
+    numbered = ranged.join(runs, cond).select(
+        ranged["*"], (F.col("_off") + F.col("_mono") - F.col("_first") + 1).alias(out))
+    return numbered.drop("_pid", "_mono")

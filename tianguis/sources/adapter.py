@@ -117,13 +117,15 @@ def sellers(supplier: DataFrame, nation: DataFrame) -> DataFrame:
                     F.col("n_name").alias("seller_state")))
 
 
-def order_items(lineitem: DataFrame) -> DataFrame:
+def order_items(lineitem: DataFrame, skew_safe: bool = False) -> DataFrame:
     """Line items; order_item_id numbers the lines of an order (driver line
     numbers repeat, so the number comes from a deterministic row order).
 
-    The window partitions by the projected ``order_id`` so its exchange is the
-    one the fact join on ``order_id`` needs; plans that do not read
-    ``order_item_id`` drop the window altogether (column pruning).
+    Default: a window partitioned by the projected ``order_id``, whose exchange
+    is the one the fact join on ``order_id`` needs, and which plans that do not
+    read ``order_item_id`` drop altogether (column pruning). ``skew_safe``:
+    ``operators.numbering.number_within_groups`` - the same numbers without
+    numbering a hot order in one task (used when the ids are materialised).
     """
     order_cols = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
                   "l_discount", "l_tax", "l_shipdate"]
@@ -136,10 +138,14 @@ def order_items(lineitem: DataFrame) -> DataFrame:
         price.alias("price"),
         (price * F.col("l_tax").cast(dec(4, 2))).cast(dec(10, 2)).alias("freight_value"),
         *order_cols)
+    cols = ["order_id", "order_item_id", "product_id", "seller_id", "shipping_limit_date",
+            "price", "freight_value"]
+    if skew_safe:
+        from ..operators.numbering import number_within_groups
+        numbered = number_within_groups(base, "order_id", order_cols, "_rn")
+        return numbered.withColumn("order_item_id", F.col("_rn").cast("int")).select(*cols)
     w = Window.partitionBy("order_id").orderBy(*order_cols)
-    return base.select(
-        "order_id", F.row_number().over(w).cast("int").alias("order_item_id"),
-        "product_id", "seller_id", "shipping_limit_date", "price", "freight_value")
+    return base.withColumn("order_item_id", F.row_number().over(w).cast("int")).select(*cols)
 
 
 def order_payments(o: DataFrame) -> DataFrame:
@@ -197,8 +203,12 @@ def translation_inserts(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(rows)
 
 
-def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """All marketplace relations over the driver tables in ``sf_dir`` (lazy)."""
+def load_tables(spark: SparkSession, sf_dir: str, skew_safe_items: bool = False) -> Tables:
+    """All marketplace relations over the driver tables in ``sf_dir`` (lazy).
+
+    ``skew_safe_items`` numbers item lines with the skew-safe operator (for jobs
+    that materialise the ids, e.g. the mart); the default keeps the prunable
+    window for ad-hoc reports."""
     from ..operators.clean import insert_missing  # local import: avoids a cycle
 
     r = lambda n: read_driver(spark, sf_dir, n)
@@ -211,7 +221,7 @@ def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
         orders=adapted_orders,
         products=products(part),
         sellers=sellers(r("supplier"), nation),
-        order_items=order_items(r("lineitem")),
+        order_items=order_items(r("lineitem"), skew_safe=skew_safe_items),
         order_payments=order_payments(o),
         order_reviews=order_reviews(adapted_orders),
         category_translation=insert_missing(category_translation_file(part),
