@@ -102,6 +102,11 @@ def _landing(folder: str) -> None:
            "r1,o1,4,,,2018-01-21 00:00:00,\n")
     _write(folder, "category_translation.csv",
            "product_category_name,product_category_name_english\nbeleza,health_beauty\n")
+    _write(folder, "geolocation.csv",
+           "geolocation_zip_code_prefix,geolocation_lat,geolocation_lng,geolocation_city,"
+           "geolocation_state\n"
+           '01037,-23.54562128115268,-46.63929204800168,"rio de janeiro, rio de janeiro, brasil",RJ\n'
+           "01046,-23.546081127035535,-46.64482029837157,sao paulo,SP\n")
 
 
 def test_load_landing_builds_tables(spark):
@@ -111,6 +116,9 @@ def test_load_landing_builds_tables(spark):
     t = land.tables
     assert t.order_items.first()["price"] == Decimal("58.90")
     assert len(land.quarantine["sellers"].collect()) == 1
+    geo = {r["geolocation_zip_code_prefix"]: r for r in t.geolocation.collect()}
+    assert geo["01037"]["geolocation_city"] == "rio de janeiro - rio de janeiro - brasil"
+    assert geo["01046"]["geolocation_lat"] == -23.546081127035535
     from tianguis.plans.findings import h3_transit_days_by_lateness
     assert h3_transit_days_by_lateness(t).count() == 1
 
