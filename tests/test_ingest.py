@@ -201,6 +201,6 @@ def test_batch_job_writes_outputs(spark):
     run(spark, out, landing=os.path.join(d, "landing"),
         reports=["h3_transit_days_by_lateness", "q01_orders_by_status"])
     assert spark.read.parquet(os.path.join(out, "reports", "q01_orders_by_status")).count() == 1
-    assert spark.read.parquet(os.path.join(out, "quality", "row_counts")).count() == 8
+    assert spark.read.parquet(os.path.join(out, "quality", "row_counts")).count() == 9  # incl. geolocation
     assert spark.read.parquet(os.path.join(out, "mart", "fact_order_items")).count() == 1
     assert os.path.isdir(os.path.join(out, "quarantine", "sellers"))
