@@ -20,20 +20,22 @@ cut a hot group into many partitions, each sorted locally.
 The result equals ``row_number()`` over the same order (rows that tie on every
 order key are interchangeable). Range bounds are sampled per plan and depend on
 which columns each branch carries, so the ranged rows (with their partition ids
-and positions) are written once with a reliable ``checkpoint()`` into the
-cluster's shared checkpoint folder: both branches read the same rows, and a
-lost executor cannot change the numbering. This is an eager step, meant for
-jobs that materialise the ids.
+and positions) are written once as a Parquet table in the cluster's shared
+checkpoint folder and read back: both branches read the same rows, a lost
+executor cannot change the numbering, and the read is columnar (one job; a
+``checkpoint()`` would compute the rows twice). This is an eager step, meant
+for queries and jobs that materialise the ids.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import shared_dir
 
 
 def number_within_groups(df: DataFrame, group: str, order: Sequence[str], out: str,
@@ -41,11 +43,13 @@ def number_within_groups(df: DataFrame, group: str, order: Sequence[str], out: s
     """``df`` plus ``out`` = 1, 2, ... inside each ``group`` in ``order``."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [group, *order]
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumns({"_pid": F.spark_partition_id(),
-                            "_mono": F.monotonically_increasing_id()})
-              .checkpoint(eager=True))
+    spark = df.sparkSession
+    path = shared_dir(spark, os.path.join(
+        "numbering", f"{df.semanticHash() & 0xFFFFFFFF:08x}-{group}-{n}"))
+    (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+     .withColumns({"_pid": F.spark_partition_id(), "_mono": F.monotonically_increasing_id()})
+     .write.mode("overwrite").parquet(path))
+    ranged = spark.read.parquet(path)
     runs = ranged.groupBy("_pid", group).agg(F.min("_mono").alias("_first"),
                                              F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
