@@ -33,13 +33,13 @@ def _count(pattern: str, plan: str) -> int:
     return len(re.findall(pattern, plan))
 
 
-def summary_table(reg, t) -> str:
+def summary_table(reg, tables) -> str:
     """One row per registered query, from its initial physical plan."""
     rows = ["| query | shuffles | sort-merge joins | broadcast joins | windows | "
             "single-partition exchanges | scans |",
             "|---|---|---|---|---|---|---|"]
     for name in sorted(reg):
-        plan = reg[name](t)._jdf.queryExecution().executedPlan().toString()
+        plan = reg[name](tables(name))._jdf.queryExecution().executedPlan().toString()
         rows.append(
             f"| {name} | {_count(r'Exchange (hashpartitioning|rangepartitioning|SinglePartition)', plan)}"
             f" | {_count(r'SortMergeJoin', plan)} | {_count(r'BroadcastHashJoin', plan)}"
@@ -59,19 +59,22 @@ def main() -> None:
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
 
-    from tianguis.registry import builders, tables_for
+    from tianguis.registry import ITEM_ID_QUERIES, builders, tables_for
     from tianguis.session import local_session
     spark = local_session(shuffle_partitions=8)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    t = tables_for(spark, a.sf_dir)
     reg = builders()
+
+    def tables(name):  # the same table bundle the registered query uses
+        return tables_for(spark, a.sf_dir, name in ITEM_ID_QUERIES)
+
     parts = ["# Physical plans of key queries\n",
              "Generated by `tools/plans.py` on the driver tables with broadcast joins "
              "disabled (the large-cluster shape). Final adaptive plans after execution; "
              "expression ids removed.\n"]
-    parts.append(summary_table(reg, t))
+    parts.append(summary_table(reg, tables))
     for name in a.names or DEFAULT:
-        df = reg[name](t)
+        df = reg[name](tables(name))
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString()
         doc = (reg[name].__doc__ or "").strip().splitlines()
