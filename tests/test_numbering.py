@@ -37,3 +37,12 @@ def test_skew_safe_item_ids_equal_window_ids(spark):
     a = load_tables(spark, SF_SMALL).order_items
     b = load_tables(spark, SF_SMALL, skew_safe_items=True).order_items
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_hot_rows_split_matches_row_number(spark):
+    df = spark.range(30000).select(
+        F.when(F.col("id") % 3 != 0, F.lit(7)).otherwise(F.col("id") % 50).alias("g"),
+        ((F.col("id") * 7919) % 10007).alias("k"))
+    got = number_within_groups(df, "g", ["k"], "rn", partitions=8, hot_rows=1000)
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k")))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

@@ -39,8 +39,25 @@ from ..session import shared_dir
 
 
 def number_within_groups(df: DataFrame, group: str, order: Sequence[str], out: str,
-                         partitions: int | None = None) -> DataFrame:
-    """``df`` plus ``out`` = 1, 2, ... inside each ``group`` in ``order``."""
+                         partitions: int | None = None,
+                         hot_rows: int | None = None) -> DataFrame:
+    """``df`` plus ``out`` = 1, 2, ... inside each ``group`` in ``order``.
+
+    With ``hot_rows``, only groups larger than that go through the range split;
+    the others (each at most ``hot_rows`` rows, so bounded per task) are
+    numbered by a plain window. The group sizes come from a partial aggregate,
+    and the join that tags rows with them is an inner equi-join whose skewed
+    partitions AQE splits.
+    """
+    if hot_rows is not None:
+        sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+        tagged = df.join(sizes.withColumnRenamed(group, "_sg"),
+                         df[group].eqNullSafe(F.col("_sg"))).drop("_sg")
+        small = tagged.where(F.col("_size") <= hot_rows).drop("_size")
+        big = tagged.where(F.col("_size") > hot_rows).drop("_size")
+        w = Window.partitionBy(group).orderBy(*order)
+        return (small.withColumn(out, F.row_number().over(w).cast("long"))
+                .unionByName(number_within_groups(big, group, order, out, partitions)))
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [group, *order]
     spark = df.sparkSession

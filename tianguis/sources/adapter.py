@@ -32,6 +32,8 @@ PAYMENT_WEIGHTS = ["0.50", "0.30", "0.20"]
 # plus one translation no product uses.
 UNTRANSLATED_BRANDS = ["Brand#24", "Brand#25"]
 INSERTED_TRANSLATIONS = [("brand#24", "BRAND#24"), ("sin_ventas", "NO_SALES")]
+# Orders with more item lines than this are numbered by the range-split path.
+HOT_ORDER_ROWS = 100_000
 
 
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,7 +144,8 @@ def order_items(lineitem: DataFrame, skew_safe: bool = False) -> DataFrame:
             "price", "freight_value"]
     if skew_safe:
         from ..operators.numbering import number_within_groups
-        numbered = number_within_groups(base, "order_id", order_cols, "_rn")
+        numbered = number_within_groups(base, "order_id", order_cols, "_rn",
+                                        hot_rows=HOT_ORDER_ROWS)
         return numbered.withColumn("order_item_id", F.col("_rn").cast("int")).select(*cols)
     w = Window.partitionBy("order_id").orderBy(*order_cols)
     return base.withColumn("order_item_id", F.row_number().over(w).cast("int")).select(*cols)
