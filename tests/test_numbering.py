@@ -46,3 +46,15 @@ def test_hot_rows_split_matches_row_number(spark):
     got = number_within_groups(df, "g", ["k"], "rn", partitions=8, hot_rows=1000)
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k")))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="driver tables absent")
+def test_registered_item_id_queries_use_the_skew_safe_path(spark):
+    import __spark_entry__ as e
+    qs = e.queries()
+    plan = lambda name: qs[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    # the range-split path reads its staged rows back (columns _pid, _mono)
+    assert "_mono" in plan("fact_order_items")
+    assert "_mono" in plan("c5_pk_report")
+    h4 = plan("h4_sellers_by_late_rate")
+    assert "_mono" not in h4 and "row_number" not in h4   # id unused: numbering pruned
