@@ -4,16 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii
+from . import bpe, pii
 from .common import read_table
 
 
+def tokenizer_path() -> str:
+    """The public word-BPE file of the driver's contract."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every whole text, as digests."""
+    docs, path = read_table(spark, sf_dir, "documents"), tokenizer_path()
+    return bpe.digests(docs, path, bpe.build_lexicon(docs, path))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text, by anchor expansion."""
     return pii.report(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op6_bpe": op6_bpe,
     "op9_pii": op9_pii,
 }
 
