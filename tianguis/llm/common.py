@@ -12,6 +12,8 @@ from ..session import shared_dir
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; also sees to it that executors can import the package."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -84,3 +86,28 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     if mapping is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return mapping
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors' Python as a zip file, once per application
+    (what ``--py-files`` does for a submitted job); workers import the operators from it."""
+    import os
+    import tempfile
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    path = os.path.join(tempfile.mkdtemp(prefix="tianguis-zip-"), "tianguis_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(os.path.join(top, "tianguis")):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, top))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)

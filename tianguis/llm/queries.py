@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii
+from . import bpe, decontaminate, minhash, pii
 from .common import read_table
 
 
@@ -21,14 +21,26 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, path, bpe.build_lexicon(docs, path))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items found in every whole text, with their edits."""
+    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text, by anchor expansion."""
     return pii.report(read_table(spark, sf_dir, "documents"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicates over 2-word shingles."""
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=2).drop("text_key")
+
+
 QUERIES = {
     "op6_bpe": op6_bpe,
+    "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
