@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, minhash, pii
+from . import bpe, decontaminate, minhash, pii, quality
 from .common import read_table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity, threshold and decision of every document."""
+    return quality.classified(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("text_key")
+
+
 def tokenizer_path() -> str:
     """The public word-BPE file of the driver's contract."""
     import public_tokenizers
@@ -37,6 +42,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op6_bpe": op6_bpe,
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
