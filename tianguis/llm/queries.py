@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, minhash, pii, quality
+from . import bpe, decontaminate, licences, minhash, pii, quality
 from .common import read_table
 
 
@@ -26,6 +26,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, path, bpe.build_lexicon(docs, path))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every whole text by sentence rules."""
+    return licences.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test items found in every whole text, with their edits."""
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -44,9 +49,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op6_bpe": op6_bpe,
+    "op7_licences": op7_licences,
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
     "op10_minhash": op10_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_licences": licences.oracle(),
+}
