@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licences, minhash, pii, quality
+from . import bpe, decontaminate, licences, minhash, pii, pq, quality
 from .common import read_table
 
 
@@ -20,6 +20,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.95."""
+    return pq.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every whole text, as digests."""
     docs, path = read_table(spark, sf_dir, "documents"), tokenizer_path()
@@ -48,6 +53,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op5_pq": op5_pq,
     "op6_bpe": op6_bpe,
     "op7_licences": op7_licences,
     "op8_decontaminate": op8_decontaminate,
