@@ -4,18 +4,20 @@ Pass 1 reads every whole text once: distinct word shingles as 64-bit hashes, 240
 minima, 40 band keys of 6 minima each, and one low bit of every minimum packed into
 four longs. Texts with equal shingle sets form a class; all later steps see classes.
 
-Candidates come from bands without listing the pairs of a bucket: each bucket has
-one pivot (its smallest class) and every member is paired with it. A pair whose
-b-bit estimate, corrected for chance agreement, is far below the threshold goes (five
-standard deviations; at 0.8 a band set misses a link with probability 5e-6 and the
-estimate another with 3e-7). The others are confirmed on full shingle sets: first
-the two best pivots of a class, then what still joins different components.
-
-What a pivot cannot show is a link between two other members. For buckets whose
-non-pivot members ended in different components an exact prefix-filter join over
-full sets finds those: two sets with similarity of at least t share a shingle among
-the rarest (1 - t) n + 1 of each. Copies and large groups thus cost linear work,
-and no link between bucket members is dropped.
+Candidates come from bands without listing the pairs of a bucket. In a bucket the
+classes elect leaders: a class is a leader unless it is near an earlier one, where near
+means that sizes fit and that the b-bit estimate, corrected for chance agreement, is not
+far below the threshold (five standard deviations; at 0.8 the bands miss a link with
+probability 5e-6 and the estimate another with 3e-7). Every class is paired with the
+leaders it is near. Buckets of more than HOT classes are split at random and their parts'
+leaders meet in a second round. Pairs are confirmed on full shingle sets: first the two
+best leaders of a class, then what still joins different components.
+
+What leaders cannot show is a link between two classes that are not leaders. Where
+those of a bucket ended in different components, an exact prefix-filter join over full
+sets finds the rest: two sets with similarity of at least t share a shingle among
+the rarest (1 - t) n + 1 of each, and shingles that no other set has cannot be common.
+Copies and large groups thus cost about linear work, and no link is dropped.
 
 Shingle hashes are 64 bits wide: two sets that differ count as different unless
 hashes collide (for one pair of 500-shingle sets about 1e-14). Class keys too: a
@@ -46,6 +48,7 @@ BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
 LONGS = (HASHES + 63) // 64
 SIGMAS = 5
+HOT = 4096       # classes of a bucket that one task holds
 BLOOM_BITS = 26  # of the filter over texts that need their full set (8 MB)
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -154,7 +157,7 @@ def described(docs: DataFrame, width: int) -> DataFrame:
         known: set[int] = set()
         for batch in batches:
             at = 0
-            for part in slices(batch["text"].tolist()):
+            for part in slices(batch["text"].tolist(), 1_000_000):
                 rows = []
                 for hashes in shingle_sets(part, width):
                     if not len(hashes):
@@ -194,7 +197,7 @@ def full_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             h = batch["text_key"].to_numpy(dtype=np.int64) & mask
             batch = batch[(bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1]
-            for part in slices(batch["text"].tolist()):
+            for part in slices(batch["text"].tolist(), 1_000_000):
                 rows = []
                 for hashes in shingle_sets(part, width):
                     node = class_key(hashes) if len(hashes) else None
@@ -223,14 +226,92 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> Data
     return materialise(pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(run, "a long, b long"), tag)
 
 
-def _similar_enough(percent: int) -> str:
-    """SQL over bits_a, bits_b, n_a, n_b: sizes fit and the corrected estimate is near the threshold."""
+def most_differing(percent: int) -> int:
+    """Differing bits up to which a pair may still reach the similarity."""
     t = percent / 100
     agree = (1 + t) / 2
     least = t - SIGMAS * 2 * (agree * (1 - agree) / HASHES) ** 0.5
-    most = int(HASHES * (1 - least) / 2)
-    differ = " + ".join(f"bit_count(bits_a[{k}] ^ bits_b[{k}])" for k in range(LONGS))
-    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {differ} <= {most}"
+    return int(HASHES * (1 - least) / 2)
+
+
+def leaders(node: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(leader mask, class, leader it is near, differing bits) of one bucket's classes, as positions."""
+    most = most_differing(percent)
+
+    def near(k: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        differ = np.bitwise_count(bits[others] ^ bits[k]).sum(axis=1)
+        return (differ <= most) & (100 * np.minimum(n[others], n[k]) >= percent * np.maximum(n[others], n[k])), differ
+
+    left, lead = np.arange(len(node)), []
+    while len(left):
+        k, left = left[0], left[1:]
+        lead.append(k)
+        left = left[~near(k, left)[0]]
+    mask = np.zeros(len(node), dtype=bool)
+    mask[lead] = True
+    rest = np.flatnonzero(~mask)
+    found = [(rest[hit], np.full(int(hit.sum()), k), differ[hit]) for k in lead for hit, differ in (near(k, rest),)] if len(rest) else []
+    return (mask, *(np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(3)))
+
+
+PAIRS = "key long, a long, b long, differ int, n long, bits array<long>"
+
+
+def bucket_pairs(rows: DataFrame, percent: int, split: bool) -> DataFrame:
+    """Near (class a, leader b) pairs of all buckets of ``rows(key, salt, node, n, bits)``. With ``split``,
+    leaders of a split bucket are returned too, as rows without b."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            if rest is not None:
+                batch = pd.concat([rest, batch], ignore_index=True)
+            key, salt = batch["key"].to_numpy(np.int64), batch["salt"].to_numpy(np.int64)
+            start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]))
+            rest = batch.iloc[start[-1]:]
+            yield from pairs_of(batch, key, salt, start)
+        if rest is not None and len(rest):
+            yield from pairs_of(rest, rest["key"].to_numpy(np.int64), rest["salt"].to_numpy(np.int64), np.array([0, len(rest)]))
+
+    def pairs_of(batch: pd.DataFrame, key: np.ndarray, salt: np.ndarray, start: np.ndarray) -> Iterator[pd.DataFrame]:
+        size = np.diff(start)
+        used = np.flatnonzero((size > 1) | (salt[start[:-1]] > 0) if split else size > 1)
+        if not len(used):
+            return
+        node, n = batch["node"].to_numpy(np.int64), batch["n"].to_numpy(np.int64)
+        out: list[tuple] = []
+        for k in used.tolist():
+            a, b = start[k], start[k] + size[k]
+            bits = np.stack(batch["bits"].iloc[a:b].to_numpy()).view(np.uint64)
+            lead, x, y, differ = leaders(node[a:b], n[a:b], bits, percent)
+            out += zip([int(key[a])] * len(x), node[a + x].tolist(), node[a + y].tolist(), differ.tolist(), [0] * len(x), [None] * len(x))
+            if split and salt[a] > 0:
+                out += [(int(key[a]), int(node[a + j]), None, 0, int(n[a + j]), bits[j].view(np.int64)) for j in np.flatnonzero(lead).tolist()]
+            if len(out) > 20_000:
+                yield _pair_frame(out)
+                out = []
+        if out:
+            yield _pair_frame(out)
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInPandas(run, PAIRS)
+
+
+def _pair_frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["key", "a", "b", "differ", "n", "bits"])
+    out["b"] = out["b"].astype("Int64")
+    return out
+
+
+def candidate_pairs(classes: DataFrame, percent: int) -> DataFrame:
+    """(key, a, b, differ): class a is near leader b of bucket key."""
+    bands = classes.select(F.explode("bands").alias("key"), "node", "n", "bits")
+    hot = materialise(bands.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > HOT), "mh-hot")
+    if hot.isEmpty():
+        return materialise(bucket_pairs(bands.withColumn("salt", F.lit(0)), percent, False).select("key", "a", "b", "differ"), "mh-pairs")
+    parts = F.ceil(2 * F.col("size") / HOT)
+    salted = bands.join(hot, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node"), parts) + 1, F.lit(0))).drop("size")
+    first = materialise(bucket_pairs(salted, percent, True), "mh-split")
+    again = first.where("b is null").select("key", F.lit(0).alias("salt"), F.col("a").alias("node"), "n", "bits")
+    second = bucket_pairs(again, percent, False).select("key", "a", "b", "differ")
+    return materialise(first.where("b is not null").select("key", "a", "b", "differ").unionByName(second), "mh-pairs")
 
 
 def _rooted(df: DataFrame, roots: DataFrame | None, column: str, name: str) -> DataFrame:
@@ -247,20 +328,11 @@ def linked_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame
     classes = materialise(
         rows.where("bands is not null").groupBy("node").agg(
             F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.min("text_key").alias("text_key")), "mh-classes")
-    bands = classes.select("node", F.explode("bands").alias("key"))
-    buckets = materialise(bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1"), "mh-buckets")
-    members = materialise(bands.join(buckets, "key").select("key", "node", "pivot", "size"), "mh-members")
-    facts = classes.select("node", "n", "bits")
-    facts_a, facts_b = facts.toDF("a", "n_a", "bits_a"), facts.toDF("b", "n_b", "bits_b")
-    near = _similar_enough(percent)
+    near = candidate_pairs(classes, percent)
     best = Window.partitionBy("a").orderBy("differ", "b")
-    pairs = materialise(
-        members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        .join(facts_a, "a").join(facts_b, "b").where(near)
-        .withColumn("differ", F.expr(" + ".join(f"bit_count(bits_a[{k}] ^ bits_b[{k}])" for k in range(LONGS))))
-        .withColumn("place", F.row_number().over(best)).select("a", "b", "place"), "mh-pairs")
-    inner = members.where("node <> pivot and size > 2")
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(inner.select("node")).distinct()
+    pairs = materialise(near.groupBy("a", "b").agg(F.min("differ").alias("differ"))
+                        .withColumn("place", F.row_number().over(best)).select("a", "b", "place"), "mh-ranked")
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = materialise(classes.select("node", "text_key").join(need, "node"), "mh-wanted")
     sets = materialise(full_sets(docs, width, wanted.select("text_key")).join(wanted.select("node"), "node")
                        .groupBy("node").agg(F.first("hashes").alias("hashes")), "mh-sets")
@@ -271,15 +343,14 @@ def linked_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame
     if not more.isEmpty():
         edges = edges.union(more)
         roots = materialise(components(edges), "mh-roots")
-    rest = _between_members(inner, roots, sets, facts_a, facts_b, near, percent)
+    rest = _between_members(near.select("key", F.col("a").alias("node")).distinct(), roots, sets, percent)
     if rest is not None and not rest.isEmpty():
         roots = components(edges.union(rest))
     return rows, classes, roots
 
 
-def _between_members(inner: DataFrame, roots: DataFrame, sets: DataFrame, facts_a: DataFrame, facts_b: DataFrame,
-                     near: str, percent: int) -> DataFrame | None:
-    """Links between non-pivot members of a bucket that lie in different components."""
+def _between_members(inner: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links between classes of a bucket that are not leaders and lie in different components."""
     placed = materialise(_rooted(inner.select("key", "node"), roots, "node", "root"), "mh-placed")
     by_root = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
     main = materialise(by_root.groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("roots"))
@@ -299,14 +370,16 @@ def _between_members(inner: DataFrame, roots: DataFrame, sets: DataFrame, facts_
     shared = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     rare = each.join(shared, "token").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("df", "token")))
     # shingles of one class alone come first in the order; they use up places without matching
-    alone = each.groupBy("node").agg(F.first("n").alias("n")).join(
-        each.join(shared, "token").groupBy("node").agg(F.count("*").alias("common")), "node").selectExpr("node", "n", "n - common as alone")
+    known = each.groupBy("node").agg(F.first("n").alias("n"))
+    common = rare.groupBy("node").agg(F.count("*").alias("common")).join(known, "node").join(side, "node")
     prefix = materialise(
-        rare.select("node", "token", "place").join(alone, "node")
-        .where(f"place + alone <= n - int(ceil({percent} * n / 100.0)) + 1").join(side, "node").select("node", "token", "root", "minor"), "mh-prefix")
-    a = prefix.where("minor").select("token", F.col("node").alias("a"), F.col("root").alias("ra"))
-    b = prefix.select("token", F.col("node").alias("b"), F.col("root").alias("rb"))
-    pairs = a.join(facts_a, "a").join(b.join(facts_b, "b"), "token").where(f"ra <> rb and {near}").select("a", "b").distinct()
+        rare.select("node", "token", "place").join(common, "node")
+        .where(f"place + n - common <= n - int(ceil({percent} * n / 100.0)) + 1"), "mh-prefix")
+    a = prefix.where("minor").select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("n_a"), F.col("common").alias("c_a"))
+    b = prefix.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("n_b"), F.col("common").alias("c_b"))
+    # an intersection is no larger than what either set shares with any other
+    fits = f"ra <> rb and {100 + percent} * least(c_a, c_b) >= {percent} * (n_a + n_b)"
+    pairs = a.join(b, "token").where(fits).select("a", "b").distinct()
     return confirmed(materialise(pairs, "mh-rest"), sets, percent, "mh-links")
 
 
