@@ -424,7 +424,7 @@ class Encoder:
         if len(self.seen) > CACHE_WORDS:
             self._forget()
         split = [self.words(t) for t in texts]
-        missing = set().union(*split) - self.seen.keys() if split else set()
+        missing = [w for w in set().union(*split) if w not in self.seen]
         if missing:
             self._learn(sorted(missing))
         out, get = [], self.seen.__getitem__

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licences, minhash, pii, pq, quality
+from . import bpe, decontaminate, licences, minhash, pii, pq, quality, toxicity
 from .common import read_table
 
 
@@ -20,6 +20,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every whole text."""
+    return toxicity.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at a cosine of 0.95."""
     return pq.near_duplicates(read_table(spark, sf_dir, "embeddings"))
@@ -53,6 +58,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_toxicity": op3_toxicity,
     "op5_pq": op5_pq,
     "op6_bpe": op6_bpe,
     "op7_licences": op7_licences,
