@@ -36,7 +36,7 @@ from .bpe import slices
 WINDOW, STRIDE = 32, 16
 BUCKETS, WIDTH, HIDDEN = 131_072, 8, 8
 TRAIN_EACH, TRAIN_WORDS = 2_500, 1_500
-EPOCHS, BATCH, RATE, SEED = 5, 256, 0.01, 5
+EPOCHS, STEPS, BATCH, RATE, SEED = 5, 120, 256, 0.01, 5  # at least so many epochs and steps
 REMEMBER = 200_000  # words whose projections a task keeps
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -283,8 +283,9 @@ def train(texts: list[str], toxic: np.ndarray) -> Network:
     step = 0
     weight = np.where(toxic > 0, 0.5 / max(toxic.mean(), 1e-3), 0.5 / max(1 - toxic.mean(), 1e-3)).astype(np.float32)
     top = None
-    for epoch in range(EPOCHS):
-        if epoch in (0, 1, 3):
+    epochs = max(EPOCHS, -(-STEPS * BATCH // (2 * len(rows))))
+    for epoch in range(epochs):
+        if epoch in (0, 1, epochs // 2, epochs * 3 // 4):
             if epoch == 0:  # the window whose words have the highest starting log-odds
                 first = net.inputs(word, chars, owner)[:, 0]
                 value = (first[all_word] * all_mask).max(axis=1) * 10 + (first[all_word] * all_mask).mean(axis=1)
