@@ -381,6 +381,15 @@ class Encoder:
         self.lexicon = lexicon
         self._forget()
 
+    @staticmethod
+    def shared(path: str, lexicon: bytes | None = None) -> Encoder:
+        """The encoder of this worker: what it has learnt serves its later tasks, too."""
+        key = (path, hashlib.sha256(lexicon or b"").hexdigest())
+        if key not in _ENCODERS:
+            _ENCODERS.clear()
+            _ENCODERS[key] = Encoder(path, open_lexicon(lexicon))
+        return _ENCODERS[key]
+
     def _forget(self) -> None:
         self.seen: dict[str, int] = {}
         self.flat = np.zeros(0, np.int64)
@@ -444,6 +453,9 @@ class Encoder:
         return " ".join(map(self.vocab.strings.__getitem__, ids.tolist()))
 
 
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
 def slices(texts: list, chars: int = 4_000_000) -> Iterator[list]:
     """Runs of a batch of about so many characters."""
     part, size = [], 0
@@ -488,7 +500,7 @@ def encoded(docs: DataFrame, path: str, lexicon: bytes | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path, open_lexicon(shared.value))
+        encoder = Encoder.shared(path, shared.value)
         for batch in batches:
             at = 0
             for part in slices(batch["text"].tolist()):
@@ -504,7 +516,7 @@ def digests(docs: DataFrame, path: str, lexicon: bytes | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path, open_lexicon(shared.value))
+        encoder = Encoder.shared(path, shared.value)
         for batch in batches:
             at = 0
             for part in slices(batch["text"].tolist()):

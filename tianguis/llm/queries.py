@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licences, minhash, pii, pq, quality, toxicity
+from . import bpe, decontaminate, licences, minhash, order, pii, pq, quality, toxicity
 from .common import read_table
 
 
@@ -25,6 +25,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sequences in training order, read back from the written shards."""
+    path = tokenizer_path()
+    end_id = bpe.vocabulary(path).special["<|endoftext|>"]
+    return order.manifest(order.shards(read_table(spark, sf_dir, "documents"), path, end_id))
+
+
 def op5_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at a cosine of 0.95."""
     return pq.near_duplicates(read_table(spark, sf_dir, "embeddings"))
@@ -59,6 +66,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_toxicity": op3_toxicity,
+    "op4_order": op4_order,
     "op5_pq": op5_pq,
     "op6_bpe": op6_bpe,
     "op7_licences": op7_licences,
