@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licences, minhash, order, pii, pq, quality, toxicity
+from . import bpe, decontaminate, licences, masked_lm, minhash, order, pii, pq, quality, toxicity
 from .common import read_table
 
 
@@ -20,6 +20,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every whole text under a network trained on all of them."""
+    return masked_lm.scores(read_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every whole text."""
     return toxicity.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -63,8 +68,16 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=2).drop("text_key")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py over documents."""
+    import corpus_pipeline  # at the repository top; it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_masked_lm": op2_masked_lm,
     "op3_toxicity": op3_toxicity,
     "op4_order": op4_order,
     "op5_pq": op5_pq,
@@ -73,6 +86,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
     "op10_minhash": op10_minhash,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
