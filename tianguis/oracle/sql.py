@@ -117,9 +117,7 @@ a_sellers AS (
   FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey),
 a_items AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS order_id,
-         CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey,
-              l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS BIGINT)
-              AS order_item_id,
+         CAST(l_linenumber AS BIGINT) AS order_item_id,
          CAST(l_partkey AS VARCHAR) AS product_id,
          CAST(l_suppkey AS VARCHAR) AS seller_id,
          l_shipdate AS shipping_limit_date,

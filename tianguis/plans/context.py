@@ -2,11 +2,13 @@
 
 A dashboard slicer (e.g. buyer state) filters a dimension, and the model's
 relationships carry the filter to the facts. Here the same happens with
-predicates pushed to the dimension scans and LEFT SEMI joins on the keys:
-customers -> orders -> items / payments / reviews; products and sellers ->
-items -> orders. Any report or measure then runs unchanged on the sliced
-``Tables``. Semi joins never duplicate rows, and a sliced dimension is usually
-small enough for AQE to broadcast it.
+predicates pushed to the dimension scans and LEFT SEMI joins on distinct keys:
+customers -> orders -> items / payments / reviews. Products and sellers are
+dimensions of the item fact alone, so their slicers reach the items only;
+``both_directions`` carries them on to the orders that hold such an item and to
+everything of these orders. Any report or measure then runs unchanged on the
+sliced ``Tables``. Semi joins never duplicate rows, their right sides hold one
+row per key, and a sliced dimension is usually small enough for AQE to broadcast.
 """
 
 from __future__ import annotations
@@ -19,17 +21,13 @@ from ..sources.tables import Tables
 
 
 def _semi(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return df.join(keys, key, "left_semi")
+    return df.join(keys.distinct(), key, "left_semi")
 
 
 def filter_context(t: Tables, customers: Column | None = None, orders: Column | None = None,
-                   products: Column | None = None, sellers: Column | None = None) -> Tables:
-    """Restrict the model to the rows visible under the given predicates.
-
-    ``products`` / ``sellers`` slicers keep the orders that contain a matching
-    item (and, of those orders, only the matching items), like a
-    dimension-to-fact relationship with single-direction filtering.
-    """
+                   products: Column | None = None, sellers: Column | None = None,
+                   both_directions: bool = False) -> Tables:
+    """Restrict the model to the rows visible under the given predicates."""
     c, o, items = t.customers, t.orders, t.order_items
     p, s = t.products, t.sellers
     if customers is not None:
@@ -43,10 +41,12 @@ def filter_context(t: Tables, customers: Column | None = None, orders: Column |
     if sellers is not None:
         s = s.where(sellers)
         items = _semi(items, s.select("seller_id"), "seller_id")
-    if products is not None or sellers is not None:
+    if both_directions and (products is not None or sellers is not None):
         o = _semi(o, items.select("order_id"), "order_id")
     if all(x is None for x in (customers, orders, products, sellers)):
         return t
+    if customers is None and orders is None and not both_directions:
+        return replace(t, products=p, sellers=s, order_items=items)
     keys = o.select("order_id")
     return replace(t, customers=c, orders=o, products=p, sellers=s,
                    order_items=_semi(items, keys, "order_id"),

@@ -30,7 +30,7 @@ STAGE_COURIER = "Courier → Cliente"
 def kpi_rows(agg: DataFrame, items: Sequence[tuple[str, str]]) -> DataFrame:
     """Long format of a one-row aggregate: one (kpi, valor) row per column."""
     return agg.select(F.explode(F.array(*[
-        F.struct(F.lit(label).alias("kpi"), F.col(c).cast("double").alias("valor"))
+        F.struct(F.lit(label).alias("kpi"), F.col(c).cast("decimal(38,6)").alias("valor"))
         for label, c in items])).alias("k")).select("k.*")
 
 
@@ -77,7 +77,8 @@ def v03_revenue_by_category(t: Tables) -> DataFrame:
     b4 = b4_revenue_by_category(t)
     return b4.select("categoria", "ingreso",
                      share_pct("ingreso", F.sum("ingreso").over(Window.partitionBy()),
-                               num_scale=2, den_scale=2).alias("porcentaje"))
+                               num_scale=2, den_scale=2).alias("porcentaje")
+                     ).orderBy(F.desc("ingreso"), "categoria")
 
 
 def v04_top_states_by_revenue(t: Tables, n: int = 10) -> DataFrame:
@@ -118,22 +119,25 @@ def v08_category_detail(t: Tables) -> DataFrame:
     (order, product, item count) aggregate."""
     per = (t.order_items.groupBy("order_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
            .join(order_logistics(t).select("order_id", "late"), "order_id")
-           .join(order_mean_score(t), "order_id", "left")
-           .join(t.products.select("product_id", "product_category_name")
-                 .join(t.category_translation, "product_category_name"), "product_id"))
+           .join(order_mean_score(t), "order_id", "left"))
     s = F.col("avg_review_score")
     bad = F.col("late") | F.coalesce(s <= NEGATIVE_SCORE_MAX, F.lit(False))
-    g = per.groupBy(F.col("product_category_name_english").alias("categoria")).agg(
+    per = per.groupBy("product_id").agg(
         F.count(F.lit(1)).alias("total_pedidos"),
         F.count_if("late").alias("_late"),
         F.count_if(bad).alias("_bad"),
         F.sum(F.when(s.isNotNull(), F.col("n") * s)).alias("_s"),
         F.sum(F.when(s.isNotNull(), F.col("n"))).alias("_n"))
+    named = per.join(t.products.select("product_id", "product_category_name")
+                     .join(t.category_translation, "product_category_name"), "product_id")
+    g = named.groupBy(F.col("product_category_name_english").alias("categoria")).agg(
+        *[F.sum(c).alias(c) for c in ("total_pedidos", "_late", "_bad", "_s", "_n")])
     score = ratio("_s", "_n", 2, num_scale=6)
     return g.select("categoria", "total_pedidos", score.alias("score_promedio"),
                     share_pct("_late", "total_pedidos").alias("tasa_retraso"),
                     (F.lit(5) - score).alias("score_inverso"),
-                    share_pct("_bad", "total_pedidos").alias("tasa_ineficiencia"))
+                    share_pct("_bad", "total_pedidos").alias("tasa_ineficiencia")
+                    ).orderBy(F.desc("tasa_ineficiencia"), "categoria")
 
 
 def v09_kpis_logistics(t: Tables) -> DataFrame:
@@ -176,14 +180,15 @@ def v11_late_rate_by_state(t: Tables, states: Sequence[str] | None = None) -> Da
     g = (o.join(c, "customer_id").groupBy("customer_state").agg(
         F.count_if(F.col("delivery_days").isNotNull()).alias("pedidos_entregados"),
         F.count_if("late").alias("pedidos_con_retraso")))
-    return g.withColumn("tasa_retraso", share_pct("pedidos_con_retraso", "pedidos_entregados"))
+    return (g.withColumn("tasa_retraso", share_pct("pedidos_con_retraso", "pedidos_entregados"))
+            .orderBy(F.desc("tasa_retraso"), "customer_state"))
 
 
 def v12_worst_sellers(t: Tables) -> DataFrame:
     """H4 with the seller's location for the table visual."""
     return h4_sellers_by_late_rate(t).join(dim_seller(t), "seller_id", "left").select(
         "seller_id", "seller_city", "seller_state", "total_pedidos", "pedidos_con_retraso",
-        "tasa_retraso", "dias_promedio_retraso")
+        "tasa_retraso", "dias_promedio_retraso").orderBy(F.desc("tasa_retraso"), "seller_id")
 
 
 def v13_kpis_payments(t: Tables) -> DataFrame:

@@ -131,14 +131,16 @@ def q09_dissatisfied_categories(t: Tables, min_reviews: int = 50) -> DataFrame:
     items = t.order_items.groupBy("order_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
     r = review_stats_by_order(t)
     per = (r.join(t.orders.select("order_id"), "order_id")
-           .join(items, "order_id")
-           .join(t.products.select("product_id", "product_category_name"), "product_id"))
+           .join(items, "order_id"))
     n = F.col("n")
-    by_cat = per.groupBy("product_category_name").agg(
+    by_product = per.groupBy("product_id").agg(
         F.sum(n * F.col("n_reviews")).alias("rows"),
         F.sum(n * F.col("n_scored")).alias("scored"),
         F.sum(n * F.col("sum_score")).alias("score_sum"),
         F.sum(n * F.col("n_negative")).alias("neg"))
+    by_cat = (by_product.join(t.products.select("product_id", "product_category_name"), "product_id")
+              .groupBy("product_category_name").agg(
+                  *[F.sum(c).alias(c) for c in ("rows", "scored", "score_sum", "neg")]))
     tr = t.category_translation.select(
         F.col("product_category_name").alias("tr_name"), "product_category_name_english")
     j = by_cat.join(tr, by_cat.product_category_name == tr.tr_name, "full")
@@ -192,23 +194,21 @@ def q11_ytd_cumulative(t: Tables) -> DataFrame:
 
 
 def q12_priciest_product_per_customer(t: Tables) -> DataFrame:
-    """Products at each customer's top (customer, product) max price; ties kept.
+    """Products ranked 1 by (customer, product) max price within their customer; ties kept.
 
-    ``DENSE_RANK() = 1`` is exactly "price equals the customer's maximum", so
-    the rank is computed as a join to the per-customer maximum: two partial
-    aggregates and an equi-join on (customer, price) instead of sorting a
-    whole customer partition (one customer may own a third of the rows).
+    A DENSE_RANK window with a filter on it: Spark cuts each task's share of a
+    customer to its top rank before the exchange, so a hot customer shrinks
+    before it meets in one task.
     """
     per_order = (t.order_items.groupBy("order_id", "product_id")
                  .agg(F.max("price").alias("precio")))
     cp = (per_order.join(t.orders.select("order_id", "customer_id"), "order_id")
           .groupBy("customer_id", "product_id").agg(F.max("precio").alias("precio")))
-    top = cp.groupBy("customer_id").agg(F.max("precio").alias("top"))
-    top = top.select(F.col("customer_id").alias("top_customer"), "top")
-    j = cp.join(top, cp.customer_id.eqNullSafe(top.top_customer) & cp.precio.eqNullSafe(top.top))
-    return (j.select(F.col("customer_id").alias("cliente"),
-                     F.col("product_id").alias("producto_comprado"),
-                     "precio", F.lit(1).cast("bigint").alias("ranking"))
+    rank = F.dense_rank().over(Window.partitionBy("customer_id").orderBy(F.desc("precio")))
+    return (cp.withColumn("ranking", rank).where(F.col("ranking") == 1)
+            .select(F.col("customer_id").alias("cliente"),
+                    F.col("product_id").alias("producto_comprado"),
+                    "precio", F.col("ranking").cast("bigint").alias("ranking"))
             .orderBy(F.desc("precio")))
 
 

@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import (CREDIT_CARD, DELIVERED, LATE_DELIVERY, ON_TIME_DELIVERY,
-                               SINGLE_SELLER, SPLIT_SHIPMENT, YES, installment_range,
+                               SINGLE_SELLER, SPLIT_SHIPMENT, installment_range,
                                ratio, share_pct, yes_no)
 from ..sources.tables import Tables, shared_plan
 from .common import order_logistics, review_stats_by_order
-from .star import fact_order_items, fact_order_payments, fact_order_reviews
+from .star import fact_order_payments
 
 
 @shared_plan
@@ -55,10 +55,14 @@ def h2_score_by_shipment_type(t: Tables) -> DataFrame:
     counts twice and an unreviewed order counts once. Orders without sellers
     are excluded.
     """
-    f = fact_order_reviews(t).where(F.col("tipo_logistica").isin(SINGLE_SELLER, SPLIT_SHIPMENT))
-    return (f.groupBy("tipo_logistica").agg(
-        F.count("order_id").alias("volumen_ordenes"),
-        ratio("sum(review_score)", "count(review_score)", 2).alias("score_promedio"))
+    sellers = t.order_items.groupBy("order_id").agg(
+        F.min("seller_id").alias("_lo"), F.max("seller_id").alias("_hi")).where("_lo is not null")
+    per = (t.orders.select("order_id").join(sellers, "order_id")
+           .join(review_stats_by_order(t), "order_id", "left"))
+    kind = F.when(F.col("_lo") == F.col("_hi"), F.lit(SINGLE_SELLER)).otherwise(F.lit(SPLIT_SHIPMENT))
+    return (per.groupBy(kind.alias("tipo_logistica")).agg(
+        F.sum(F.coalesce("n_reviews", F.lit(1))).alias("volumen_ordenes"),
+        ratio("sum(sum_score)", "sum(n_scored)", 2).alias("score_promedio"))
         .orderBy("tipo_logistica"))
 
 
@@ -78,9 +82,9 @@ def h4_sellers_by_late_rate(t: Tables, min_orders: int = 30) -> DataFrame:
 
     Delivered orders without items form a NULL-seller row, as in the item fact.
     """
-    f = fact_order_items(t).where(F.col("order_status") == DELIVERED)
-    pairs = f.groupBy("order_id", "seller_id").agg(
-        F.max(F.col("is_late") == YES).alias("late"), F.max("delay_days").alias("delay_days"))
+    o = (order_logistics(t).where(F.col("order_status") == DELIVERED)
+         .select("order_id", "late", "delay_days"))
+    pairs = o.join(t.order_items.select("order_id", "seller_id").distinct(), "order_id", "left")
     late = F.col("late")
     g = pairs.groupBy("seller_id").agg(
         F.count(F.lit(1)).alias("total_pedidos"),
@@ -94,12 +98,6 @@ def h4_sellers_by_late_rate(t: Tables, min_orders: int = 30) -> DataFrame:
             .orderBy(F.desc("tasa_retraso")))
 
 
-def _items_in_orders(t: Tables, extra: list[str] | None = None) -> DataFrame:
-    """Items whose order exists (the item fact without its item-less rows)."""
-    cols = ["order_id", "product_id"] + (extra or [])
-    return t.order_items.select(*cols).join(t.orders.select("order_id"), "order_id")
-
-
 @shared_plan
 def _translated_products(t: Tables) -> DataFrame:
     return (t.products.select("product_id", "product_category_name")
@@ -111,9 +109,11 @@ def b1_score_by_category(t: Tables) -> DataFrame:
     items = (t.order_items.groupBy("order_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
              .join(t.orders.select("order_id"), "order_id"))
     per = (items.join(order_mean_score(t).where(F.col("avg_review_score").isNotNull()), "order_id")
+           .groupBy("product_id").agg(
+               F.sum(F.col("n") * F.col("avg_review_score")).alias("_s"), F.sum("n").alias("_n"))
            .join(_translated_products(t), "product_id"))
     g = per.groupBy(F.col("product_category_name_english").alias("categoria")).agg(
-        F.sum(F.col("n") * F.col("avg_review_score")).alias("_s"), F.sum("n").alias("_n"))
+        F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
     return (g.select("categoria", ratio("_s", "_n", 2, num_scale=6).alias("score_promedio"))
             .orderBy("score_promedio"))
 
@@ -122,9 +122,10 @@ def b2_late_rate_by_category(t: Tables) -> DataFrame:
     """Grain (order, product): ``total_pedidos`` counts order-product pairs."""
     pairs = (t.order_items.select("order_id", "product_id").distinct()
              .join(order_logistics(t).select("order_id", "late"), "order_id"))
-    j = pairs.join(_translated_products(t), "product_id")
+    per = pairs.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if("late").alias("_l"))
+    j = per.join(_translated_products(t), "product_id")
     g = j.groupBy(F.col("product_category_name_english").alias("categoria")).agg(
-        F.count(F.lit(1)).alias("total_pedidos"), F.count_if("late").alias("pedidos_con_retraso"))
+        F.sum("_n").alias("total_pedidos"), F.sum("_l").alias("pedidos_con_retraso"))
     return (g.select("categoria", "total_pedidos", "pedidos_con_retraso",
                      share_pct("pedidos_con_retraso", "total_pedidos").alias("tasa_retraso"))
             .orderBy(F.desc("tasa_retraso")))
@@ -146,8 +147,9 @@ def b3_late_rate_by_state(t: Tables) -> DataFrame:
 
 def b4_revenue_by_category(t: Tables) -> DataFrame:
     """Item price per English category (no freight, uncategorised dropped)."""
-    per_product = (_items_in_orders(t, ["price"]).groupBy("product_id")
-                   .agg(F.sum("price").alias("sp")))
+    per_pair = t.order_items.groupBy("order_id", "product_id").agg(F.sum("price").alias("sp"))
+    per_product = (per_pair.join(t.orders.select("order_id"), "order_id")
+                   .groupBy("product_id").agg(F.sum("sp").alias("sp")))
     j = per_product.join(_translated_products(t), "product_id")
     return (j.groupBy(F.col("product_category_name_english").alias("categoria"))
             .agg(F.sum("sp").alias("ingreso")).orderBy(F.desc("ingreso")))
@@ -167,9 +169,9 @@ def h5_ticket_by_installments(t: Tables) -> DataFrame:
 
 def b5_payment_type_distribution(t: Tables) -> DataFrame:
     """(order, type) pairs per payment type; unpaid orders form a NULL type."""
-    f = fact_order_payments(t).select("order_id", "payment_type")
-    return (f.distinct()
-            .groupBy("payment_type").agg(F.count(F.lit(1)).alias("total_ordenes"))
+    kinds = t.order_payments.select("order_id", "payment_type").distinct()
+    f = t.orders.select("order_id").distinct().join(kinds, "order_id", "left")
+    return (f.groupBy("payment_type").agg(F.count(F.lit(1)).alias("total_ordenes"))
             .orderBy(F.desc("total_ordenes")))
 
 

@@ -72,8 +72,9 @@ def c9_orders_without_items(t: Tables) -> DataFrame:
 
 def p14_customers_with_late_orders(t: Tables) -> DataFrame:
     """``WHERE customer_id IN (SELECT customer_id FROM orders WHERE late)`` as a
-    left semi join (the subquery side is de-duplicated by the join itself)."""
-    late = order_logistics(t).where(F.col("late")).select("customer_id")
+    left semi join. The subquery side is made distinct first (partial aggregates): a
+    semi join's right side is never split, so it must not carry a hot customer's rows."""
+    late = order_logistics(t).where(F.col("late")).select("customer_id").distinct()
     return t.customers.join(late, "customer_id", "left_semi")
 
 

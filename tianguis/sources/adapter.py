@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import DELIVERED, dec, is_late
@@ -32,8 +32,6 @@ PAYMENT_WEIGHTS = ["0.50", "0.30", "0.20"]
 # plus one translation no product uses.
 UNTRANSLATED_BRANDS = ["Brand#24", "Brand#25"]
 INSERTED_TRANSLATIONS = [("brand#24", "BRAND#24"), ("sin_ventas", "NO_SALES")]
-# Orders with more item lines than this are numbered by the range-split path.
-HOT_ORDER_ROWS = 100_000
 
 
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,36 +117,18 @@ def sellers(supplier: DataFrame, nation: DataFrame) -> DataFrame:
                     F.col("n_name").alias("seller_state")))
 
 
-def order_items(lineitem: DataFrame, skew_safe: bool = False) -> DataFrame:
-    """Line items; order_item_id numbers the lines of an order (driver line
-    numbers repeat, so the number comes from a deterministic row order).
-
-    Default: a window partitioned by the projected ``order_id``, whose exchange
-    is the one the fact join on ``order_id`` needs, and which plans that do not
-    read ``order_item_id`` drop altogether (column pruning). ``skew_safe``:
-    ``operators.numbering.number_within_groups`` - the same numbers without
-    numbering a hot order in one task (used when the ids are materialised).
-    """
-    order_cols = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
-                  "l_discount", "l_tax", "l_shipdate"]
+def order_items(lineitem: DataFrame) -> DataFrame:
+    """Line items; ``order_item_id`` is the line number of the source (it may repeat
+    within an order, which the key report shows)."""
     price = F.col("l_extendedprice").cast(dec(10, 2))
-    base = lineitem.select(
+    return lineitem.select(
         F.col("l_orderkey").cast("string").alias("order_id"),
+        F.col("l_linenumber").cast("int").alias("order_item_id"),
         F.col("l_partkey").cast("string").alias("product_id"),
         F.col("l_suppkey").cast("string").alias("seller_id"),
         F.col("l_shipdate").alias("shipping_limit_date"),
         price.alias("price"),
-        (price * F.col("l_tax").cast(dec(4, 2))).cast(dec(10, 2)).alias("freight_value"),
-        *order_cols)
-    cols = ["order_id", "order_item_id", "product_id", "seller_id", "shipping_limit_date",
-            "price", "freight_value"]
-    if skew_safe:
-        from ..operators.numbering import number_within_groups
-        numbered = number_within_groups(base, "order_id", order_cols, "_rn",
-                                        hot_rows=HOT_ORDER_ROWS)
-        return numbered.withColumn("order_item_id", F.col("_rn").cast("int")).select(*cols)
-    w = Window.partitionBy("order_id").orderBy(*order_cols)
-    return base.withColumn("order_item_id", F.row_number().over(w).cast("int")).select(*cols)
+        (price * F.col("l_tax").cast(dec(4, 2))).cast(dec(10, 2)).alias("freight_value"))
 
 
 def order_payments(o: DataFrame) -> DataFrame:
@@ -206,12 +186,8 @@ def translation_inserts(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(rows)
 
 
-def load_tables(spark: SparkSession, sf_dir: str, skew_safe_items: bool = False) -> Tables:
-    """All marketplace relations over the driver tables in ``sf_dir`` (lazy).
-
-    ``skew_safe_items`` numbers item lines with the skew-safe operator (for jobs
-    that materialise the ids, e.g. the mart); the default keeps the prunable
-    window for ad-hoc reports."""
+def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """All marketplace relations over the driver tables in ``sf_dir`` (lazy)."""
     from ..operators.clean import insert_missing  # local import: avoids a cycle
 
     r = lambda n: read_driver(spark, sf_dir, n)
@@ -224,7 +200,7 @@ def load_tables(spark: SparkSession, sf_dir: str, skew_safe_items: bool = False)
         orders=adapted_orders,
         products=products(part),
         sellers=sellers(r("supplier"), nation),
-        order_items=order_items(r("lineitem"), skew_safe=skew_safe_items),
+        order_items=order_items(r("lineitem")),
         order_payments=order_payments(o),
         order_reviews=order_reviews(adapted_orders),
         category_translation=insert_missing(category_translation_file(part),

@@ -59,14 +59,14 @@ def main() -> None:
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
 
-    from tianguis.registry import ITEM_ID_QUERIES, builders, tables_for
+    from tianguis.registry import builders, tables_for
     from tianguis.session import local_session
     spark = local_session(shuffle_partitions=8)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     reg = builders()
 
     def tables(name):  # the same table bundle the registered query uses
-        return tables_for(spark, a.sf_dir, name in ITEM_ID_QUERIES)
+        return tables_for(spark, a.sf_dir)
 
     parts = ["# Physical plans of key queries\n",
              "Generated by `tools/plans.py` on the driver tables with broadcast joins "
