@@ -10,6 +10,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from tianguis.operators.clean import insert_missing, replace_commas, strip_quotes
+from tianguis.sources.schemas import SOURCE_FILES
 from tianguis.sources.csv_ingest import load_landing, read_csv_table, split_quarantine
 from tianguis.sources.schemas import CATEGORY_TRANSLATION
 
@@ -123,18 +124,27 @@ def test_load_landing_builds_tables(spark):
     assert h3_transit_days_by_lateness(t).count() == 1
 
 
-def test_incremental_landing_load(spark):
-    from tianguis.streaming.landing import incremental_load
-    root = _scratch()
-    landing = os.path.join(root, "landing")
-    os.makedirs(landing)
-    _write(landing, "part1.csv", SELLERS)
-    q = incremental_load(spark, "sellers", landing, os.path.join(root, "sellers"),
-                         checkpoint=os.path.join(root, "ckpt"))
-    q.awaitTermination(120)
-    out = spark.read.parquet(os.path.join(root, "sellers"))
-    assert sorted(r["seller_id"] for r in out.collect()) == ["s1", "s2"]
-    assert spark.read.parquet(os.path.join(root, "sellers_quarantine")).count() == 1
+def test_landing_by_uri_folder_tables_and_two_loads(spark):
+    d = _scratch()
+    _landing(d)
+    first = load_landing(spark, "file://" + d)
+    n = first.tables.order_items.count()
+    folder = os.path.join(d, "parts")
+    os.makedirs(folder)
+    _write(folder, "a.csv", SELLERS)
+    files = {**SOURCE_FILES, "sellers": "parts"}
+    second = load_landing(spark, d, files=files)
+    assert {r["seller_id"] for r in second.tables.sellers.collect()} == {"s1", "s2"}
+    assert first.tables.order_items.count() == n == second.tables.order_items.count()
+
+
+def test_review_with_a_newline_loads(spark):
+    d = _scratch()
+    _write(d, "r.csv", "review_id,order_id,review_score,review_comment_title,review_comment_message,"
+           "review_creation_date,review_answer_timestamp\n"
+           'r1,o1,5,,"two\nlines",2020-01-01 00:00:00,\n')
+    good, bad = split_quarantine(read_csv_table(spark, os.path.join(d, "r.csv"), "order_reviews").cache())
+    assert [r["review_comment_message"] for r in good.collect()] == ["two\nlines"] and not bad.collect()
 
 
 def test_mart_roundtrip(spark, make_tables):

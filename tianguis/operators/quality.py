@@ -86,6 +86,25 @@ def domain_report(tables: Mapping[str, DataFrame],
     return _union(parts)
 
 
+def numeric_report(tables: Mapping[str, DataFrame],
+                   rules: Mapping[str, Mapping[str, tuple[int, int]]]) -> DataFrame:
+    """Per number column with a declared DECIMAL(p, s) (INT: s = 0): values too large for
+    it and values with more decimals than it keeps. One pass per table."""
+    parts = []
+    for name, cols in rules.items():
+        if name not in tables:
+            continue
+        exact = {c: f"CAST(`{c}` AS DECIMAL(24, 6))" for c in cols}
+        agg = tables[name].selectExpr(
+            *[f"count_if(abs({exact[c]}) >= {10 ** (p - s)}) AS `{c}_r`" for c, (p, s) in cols.items()],
+            *[f"count_if({exact[c]} <> round({exact[c]}, {s})) AS `{c}_s`" for c, (p, s) in cols.items()])
+        stack = ", ".join(f"'{c}', {p}, {s}, `{c}_r`, `{c}_s`" for c, (p, s) in cols.items())
+        parts.append(agg.selectExpr(
+            f"'{name}' AS tabla",
+            f"stack({len(cols)}, {stack}) AS (columna, digitos, decimales, fuera_de_rango, exceso_decimales)"))
+    return _union(parts)
+
+
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """``SELECT 'name', COUNT(*) ... UNION ALL`` over all tables."""
     return _union([df.selectExpr(f"'{name}' AS tabla", "count(1) AS registros")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..plans.quality_reports import (EXPECTED_COUNTS, LABEL_EDGES, NUMERIC_RULES, RAW_WIDTHS,
+                                     SLICER_CATEGORY)
 from ..sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS, VARCHAR_LIMITS
 
 _ALIAS = {"customers": "a_customers", "orders": "a_orders", "products": "a_products",
@@ -56,8 +58,39 @@ def _row_counts() -> str:
         for name, alias in _ALIAS.items())
 
 
+def _label_orphans() -> str:
+    return "\nUNION ALL".join(f"""
+SELECT '{c}' AS hijo, '{k}' AS columna, '{p}' AS padre,
+       (SELECT COUNT(*) FROM {c} WHERE {k} IS NOT NULL) - (SELECT COUNT(*) FROM {c} WHERE {k} IN (SELECT {pk} FROM {p}))
+           AS filas_huerfanas""" for c, k, p, pk in LABEL_EDGES)
+
+
+def _raw_widths() -> str:
+    return "\nUNION ALL".join(f"""
+SELECT '{t}' AS tabla, '{c}' AS columna, CAST({n} AS BIGINT) AS limite, SUM(CAST(length({c}) > {n} AS BIGINT))::BIGINT AS valores_excedidos
+FROM {t}""" for t, cols in RAW_WIDTHS.items() for c, n in cols.items())
+
+
+def _numeric_rules() -> str:
+    return "\nUNION ALL".join(f"""
+SELECT '{t}' AS tabla, '{c}' AS columna, CAST({p} AS BIGINT) AS digitos, CAST({s} AS BIGINT) AS decimales,
+       COUNT(CASE WHEN x >= {10 ** (p - s)} OR x <= -{10 ** (p - s)} THEN 1 END) AS fuera_de_rango,
+       COUNT(CASE WHEN (x * {10 ** s}) % 1 <> 0 THEN 1 END) AS exceso_decimales
+FROM (SELECT CAST({c} AS DECIMAL(24, 6)) AS x FROM {t})""" for t, cols in NUMERIC_RULES.items() for c, (p, s) in cols.items())
+
+
+def _expected_counts() -> str:
+    rows = "\nUNION ALL".join(f" SELECT '{t}' AS tabla, COUNT(*) AS registros, CAST({n} AS BIGINT) AS esperado FROM {t}"
+                              for t, n in EXPECTED_COUNTS.items())
+    return f"SELECT *, registros = esperado AS coincide FROM ({rows}) c"
+
+
 # Raw-table reports do not need the model prefix.
 RAW_SQL = {
+    "c5b_label_orphans": _label_orphans(),
+    "c6_text_widths": _raw_widths(),
+    "c6_numeric_rules": _numeric_rules(),
+    "c7_expected_counts": _expected_counts(),
     "c1_strip_quotes": "SELECT event_id, replace(props, '\"', '') AS props FROM events",
     "c2_replace_commas": "SELECT doc_id, replace(text, ',', ' -') AS text FROM documents",
     "c4_offending_rows": """
@@ -85,6 +118,15 @@ WHERE NOT EXISTS (SELECT 1 FROM a_items i WHERE i.order_id = o.order_id)""",
     "p14_customers_with_late_orders": f"""
 SELECT * FROM a_customers
 WHERE customer_id IN (SELECT customer_id FROM a_orders WHERE {_LATE_O})""",
+    "s1_csv_round_trip": """
+SELECT order_id, payment_sequential, payment_type, payment_installments, CAST(payment_value AS DOUBLE) AS payment_value
+FROM a_payments""",
+    "p15_category_slicer": f"""
+SELECT (SELECT CAST(SUM(l.price) AS DOUBLE) FROM a_items l
+        WHERE EXISTS (FROM a_products p WHERE p.product_id = l.product_id AND p.product_category_name = '{SLICER_CATEGORY}')
+          AND EXISTS (FROM a_orders o WHERE o.order_id = l.order_id)) AS total_ingresos,
+       CAST(SUM(payment_value) AS DOUBLE) AS total_pagado, COUNT(DISTINCT order_id) AS ordenes_pagadas
+FROM a_payments WHERE order_id IN (SELECT order_id FROM a_orders)""",
     "w5_month_rank": """
 WITH cal_span AS (
   SELECT MIN(CAST(order_purchase_timestamp AS DATE)) AS lo,

@@ -13,10 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.clean import replace_commas, strip_quotes
-from ..operators.quality import (comma_report, domain_report, fk_report, pk_report,
-                                 pk_violations, row_counts, untranslated_categories)
-from ..sources.adapter import read_driver
-from ..sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS, VARCHAR_LIMITS
+from ..operators.quality import (comma_report, domain_report, fk_report, numeric_report,
+                                 pk_report, pk_violations, row_count_check, row_counts,
+                                 untranslated_categories)
+from ..sources.adapter import order_payments, read_driver
+from ..sources.csv_ingest import read_csv_table
+from ..sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, VARCHAR_LIMITS
+from ..sources.sinks import write_csv
+from ..session import shared_dir
 from ..sources.tables import Tables
 from .common import order_logistics
 from .measures import monthly_revenue_calendar
@@ -52,6 +56,40 @@ def c5b_fk_orphans(t: Tables) -> DataFrame:
     return fk_report(t.as_dict(), FOREIGN_KEYS)
 
 
+def c5b_label_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References that do find orphans: documents without a label row and the reverse."""
+    t = {n: read_driver(spark, sf_dir, n) for n in ("documents", "labels", "pages")}
+    return fk_report(t, LABEL_EDGES)
+
+
+def c6_text_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = {n: read_driver(spark, sf_dir, n) for n in RAW_WIDTHS}
+    return domain_report(t, RAW_WIDTHS)
+
+
+def c6_numeric_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DECIMAL(p, s) and INT rules on raw numbers; the narrow ones find values."""
+    t = {n: read_driver(spark, sf_dir, n) for n in NUMERIC_RULES}
+    return numeric_report(t, NUMERIC_RULES)
+
+
+def c7_expected_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row counts next to the expected ones; a missing or surplus row shows."""
+    t = {n: read_driver(spark, sf_dir, n) for n in EXPECTED_COUNTS}
+    return row_count_check(t, EXPECTED_COUNTS)
+
+
+def s1_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payments written as header CSV into the shared folder and loaded again with the
+    declared schema: the sink and the bulk load in one query."""
+    import uuid
+
+    schema = SCHEMAS["order_payments"]
+    path = shared_dir(spark, f"csv/order_payments-{uuid.uuid4().hex}")
+    write_csv(order_payments(read_driver(spark, sf_dir, "orders")).select(*schema.names), path)
+    return read_csv_table(spark, path, "order_payments").drop("_corrupt")
+
+
 def c6_domain_violations(t: Tables) -> DataFrame:
     return domain_report(t.as_dict(), VARCHAR_LIMITS)
 
@@ -114,7 +152,30 @@ def p15_kpis_state_slicer(t: Tables) -> DataFrame:
     return v01_kpis_overview(filter_context(t, customers=F.col("customer_state").isin(SLICER_STATES)))
 
 
+def p15_category_slicer(t: Tables) -> DataFrame:
+    """A product slicer reaches the item fact alone: revenue shrinks, payments do not."""
+    from .context import filter_context
+    from .measures import m06_total_revenue, m12_payments
+    s = filter_context(t, products=F.col("product_category_name") == SLICER_CATEGORY)
+    both = m06_total_revenue(s).unionByName(m12_payments(s).drop("pago_promedio"), allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
+# Instances on the raw tables that have something to find.
+SLICER_CATEGORY = "brand#13"
+LABEL_EDGES = [("documents", "doc_id", "labels", "doc_id"), ("labels", "doc_id", "documents", "doc_id"),
+               ("pages", "page_id", "labels", "doc_id")]
+RAW_WIDTHS = {"documents": {"text": 4000, "lang": 2}, "benchmark": {"text": 200}, "conversations": {"role": 4, "text": 255}}
+NUMERIC_RULES = {"lineitem": {"l_extendedprice": (6, 2), "l_quantity": (1, 0), "l_discount": (3, 1)},
+                 "orders": {"o_totalprice": (10, 2), "o_orderkey": (4, 0)}}
+EXPECTED_COUNTS = {"region": 5, "nation": 25, "supplier": 100, "customer": 1000, "benchmark": 40}
+
 RAW_REPORTS = {
+    "c5b_label_orphans": c5b_label_orphans,
+    "c6_text_widths": c6_text_widths,
+    "c6_numeric_rules": c6_numeric_rules,
+    "c7_expected_counts": c7_expected_counts,
+    "s1_csv_round_trip": s1_csv_round_trip,
     "c1_strip_quotes": c1_strip_quotes,
     "c2_replace_commas": c2_replace_commas,
     "c4_offending_rows": c4_offending_rows,
@@ -131,6 +192,7 @@ MODEL_REPORTS = {
     "p14_customers_with_late_orders": p14_customers_with_late_orders,
     "p15_state_slicer": p15_state_slicer,
     "p15_kpis_state_slicer": p15_kpis_state_slicer,
+    "p15_category_slicer": p15_category_slicer,
     "w5_month_rank": w5_month_rank,
     "f9_latest_milestone": f9_latest_milestone,
 }

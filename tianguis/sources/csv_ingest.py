@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +39,8 @@ def _with_corrupt(schema: T.StructType) -> T.StructType:
 
 def read_csv_table(spark: SparkSession, path: str, name: str, raw_compat: bool = False,
                    multiline: bool | None = None) -> DataFrame:
-    """Typed read of one table's CSV; adds the ``_corrupt`` column."""
+    """Typed read of one table's CSV (a file, or a folder of files that are read in
+    parallel); adds the ``_corrupt`` column."""
     schema = SCHEMAS[name]
     multiline = (name in MULTILINE_TABLES) if multiline is None else multiline
     reader = (spark.read.schema(_with_corrupt(schema))
@@ -86,24 +88,37 @@ def stage(spark: SparkSession, parsed: DataFrame, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _present(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's own readers find the path, in whatever store it names."""
+    try:
+        spark.read.format("binaryFile").load(path).select("path").isEmpty()
+        return True
+    except AnalysisException as ex:
+        if "PATH_NOT_FOUND" in str(ex):
+            return False
+        raise
+
+
 def load_landing(spark: SparkSession, folder: str, files: dict[str, str] | None = None,
                  raw_compat: bool = False, staging: str | None = None) -> Landing:
     """Load every table file found in ``folder`` and apply the load-time cleaning:
     literal quotes stripped from id/text columns, geolocation city commas
-    rewritten. Missing optional files (geolocation) are skipped.
+    rewritten. ``folder`` may be any path or URI that Spark reads; a table is a
+    file of its name, or a folder of files. Missing optional files (geolocation)
+    are skipped.
 
-    Parsed rows are staged as Parquet under ``staging`` (default: the shared
-    folder named by ``spark.checkpoint.dir``)."""
-    import hashlib
+    Parsed rows are staged as Parquet in a folder of this load's own under
+    ``staging`` (default: the shared folder named by ``spark.checkpoint.dir``), so
+    an earlier load keeps its rows."""
+    import uuid
 
     from ..session import shared_dir
     files = files or SOURCE_FILES
-    tag = hashlib.sha1(os.path.abspath(folder).encode()).hexdigest()[:16]
-    staging = staging or shared_dir(spark, os.path.join("staging", tag))
+    staging = os.path.join(staging or shared_dir(spark, "staging"), uuid.uuid4().hex)
     clean, quarantine = {}, {}
     for name, fname in files.items():
         path = os.path.join(folder, fname)
-        if not os.path.exists(path):
+        if not _present(spark, path):
             continue
         parsed = read_csv_table(spark, path, name, raw_compat=raw_compat)
         good, bad = split_quarantine(stage(spark, parsed, os.path.join(staging, name)))
@@ -118,7 +133,10 @@ def load_landing(spark: SparkSession, folder: str, files: dict[str, str] | None
     return Landing(Tables(**clean), quarantine)
 
 
-def stage_and_insert(staging: DataFrame, target_columns: list[str], schema: T.StructType) -> DataFrame:
-    """``INSERT INTO t (cols) SELECT cols FROM staging`` with casts to the target types."""
+def stage_and_insert(staging: DataFrame, target_columns: list[str], schema: T.StructType,
+                     target: DataFrame | None = None) -> DataFrame:
+    """``INSERT INTO t (cols) SELECT cols FROM staging`` with casts to the target types:
+    the rows of ``target`` (if given) and the new ones, columns not named being null."""
     types = {f.name: f.dataType for f in schema.fields}
-    return staging.select(*[F.col(c).cast(types[c]).alias(c) for c in target_columns])
+    new = staging.select(*[F.col(c).cast(types[c]).alias(c) for c in target_columns])
+    return new if target is None else target.unionByName(new, allowMissingColumns=True)
