@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,22 +47,49 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+FINISH_EDGES = 1_000_000  # a graph contracted to so few edges is finished by one task (16 MB)
+
+
+def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts = [(b["a"].to_numpy(np.int64), b["b"].to_numpy(np.int64)) for b in batches]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[:len(a)], at[len(a):], np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        for side in (x, y, label[x], label[y]):
+            np.minimum.at(new, side, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pd.DataFrame({"node": nodes, "root": nodes[label]})
+
+
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
-    """(node, root): smallest node reachable over undirected ``edges(a, b)``.
+    """(node, root): smallest node reachable over undirected ``edges(a, b)`` of long nodes.
 
     Rounds of hooking and contraction: each node points at its smallest
     neighbour, pointers are doubled until they reach roots, edges are rewritten
     to roots and those inside one tree dropped. Every round at least halves the
     nodes that still have edges, so rounds grow with the logarithm of the graph
-    whatever its diameter. Hot nodes only meet partial minimum aggregates and
-    inner joins whose hot side adaptive execution can split. Nodes without an
-    edge are not listed; self-loops and nulls are ignored; no edges: no rows."""
+    whatever its diameter; the last FINISH_EDGES edges are solved in one task.
+    Hot nodes only meet partial minimum aggregates and inner joins whose hot side
+    adaptive execution can split. Nodes without an edge are not listed; self-loops
+    and nulls are ignored; no edges: no rows."""
     e = materialise(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
         f"{tag}-edges")
     mapping = None
-    while not e.isEmpty():
+    while True:
+        if e.count() <= FINISH_EDGES:
+            parent = materialise(e.coalesce(1).mapInPandas(_solve, "node long, root long"), f"{tag}-last")
+            return parent if mapping is None else _mapped_on(mapping, parent, tag)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = materialise(
             both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
@@ -72,20 +101,18 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
             parent = parent.select("node", "root")
             if not moved:
                 break
-        if mapping is None:
-            mapping = parent
-        else:
-            up = parent.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            mapping = materialise(mapping.join(up, "root", "left")
-                                  .select("node", F.coalesce("up", "root").alias("root")), f"{tag}-map")
+        mapping = parent if mapping is None else _mapped_on(mapping, parent, tag)
         pa = parent.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         pb = parent.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         e = materialise(e.join(pa, "a").join(pb, "b").where("ra <> rb")
                         .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(),
                         f"{tag}-edges")
-    if mapping is None:
-        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return mapping
+
+
+def _mapped_on(mapping: DataFrame, parent: DataFrame, tag: str) -> DataFrame:
+    """``mapping`` with its roots replaced by their roots in ``parent``."""
+    up = parent.select(F.col("node").alias("root"), F.col("root").alias("up"))
+    return materialise(mapping.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), f"{tag}-map")
 
 
 _SHIPPED: set[str] = set()
