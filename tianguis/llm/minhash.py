@@ -16,7 +16,7 @@ best leaders of a class, then what still joins different components.
 What leaders cannot show is a link between two classes that are not leaders. Where
 those of a bucket ended in different components, an exact prefix-filter join over full
 sets finds the rest: two sets with similarity of at least t share a shingle among
-the rarest (1 - t) n + 1 of each, and shingles that no other set has cannot be common.
+the rarest (1 - t) n + 1 of each, and the intersection lies behind their first common one.
 Copies and large groups thus cost about linear work, and no link is dropped.
 
 Shingle hashes are 64 bits wide: two sets that differ count as different unless
@@ -373,12 +373,12 @@ def _between_members(inner: DataFrame, roots: DataFrame, sets: DataFrame, percen
     known = each.groupBy("node").agg(F.first("n").alias("n"))
     common = rare.groupBy("node").agg(F.count("*").alias("common")).join(known, "node").join(side, "node")
     prefix = materialise(
-        rare.select("node", "token", "place").join(common, "node")
-        .where(f"place + n - common <= n - int(ceil({percent} * n / 100.0)) + 1"), "mh-prefix")
-    a = prefix.where("minor").select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("n_a"), F.col("common").alias("c_a"))
-    b = prefix.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("n_b"), F.col("common").alias("c_b"))
-    # an intersection is no larger than what either set shares with any other
-    fits = f"ra <> rb and {100 + percent} * least(c_a, c_b) >= {percent} * (n_a + n_b)"
+        rare.select("node", "token", "place").join(common, "node").withColumn("place", F.expr("place + n - common"))
+        .where(f"place <= n - int(ceil({percent} * n / 100.0)) + 1"), "mh-prefix")
+    a = prefix.where("minor").select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("n_a"), F.col("place").alias("p_a"))
+    b = prefix.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("n_b"), F.col("place").alias("p_b"))
+    # nothing common stands before the first common shingle, so the intersection fits behind it
+    fits = f"ra <> rb and {100 + percent} * (1 + least(n_a - p_a, n_b - p_b)) >= {percent} * (n_a + n_b)"
     pairs = a.join(b, "token").where(fits).select("a", "b").distinct()
     return confirmed(materialise(pairs, "mh-rest"), sets, percent, "mh-links")
 
