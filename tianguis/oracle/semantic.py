@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .queries import CUOTAS, H1_ROWS, H2_ROWS, VENDEDORES, VENDEDORES_COLS
 from .sql import big, dbl, xq, xr
 
 _LATE_O = ("COALESCE(CAST(order_delivered_customer_date AS DATE) "
@@ -24,40 +25,18 @@ m AS (
   SELECT c.anio, c.mes, r.ingreso
   FROM cal_months c LEFT JOIN rev_month r ON c.anio = r.anio AND c.mes = r.mes)"""
 
-_H3_DD = """
-dd AS (
-  SELECT order_id, MAX(seller_to_courier_delivery_days) AS s,
-         MAX(courier_to_customer_delivery_days) AS c, MAX(is_late) AS is_late
-  FROM f_items WHERE order_status = 'delivered' GROUP BY order_id)"""
+# stage means of delivered orders in hundredths of a day
+_ETAPAS = f"""
+etapas AS (
+  SELECT tarde, {xq('SUM(d_vendedor)', 'COUNT(d_vendedor)', 2)} AS v, {xq('SUM(d_courier)', 'COUNT(d_courier)', 2)} AS c
+  FROM pedidos WHERE order_status = 'delivered' GROUP BY tarde)"""
 
-_REVIEW_U = f"""
-rt AS (
-  SELECT order_id, {xq('SUM(review_score)', 'COUNT(review_score)', 6)} AS u
-  FROM a_reviews GROUP BY order_id)"""
-
-_B1_Q = f"""
-b1 AS (
-  SELECT c.product_category_name_english AS categoria,
-         {xq('SUM(r.u)', 'COUNT(r.u) * 1000000', 2)} AS q
-  FROM f_items oi
-  LEFT JOIN rt r ON oi.order_id = r.order_id
-  INNER JOIN a_products p ON oi.product_id = p.product_id
-  INNER JOIN a_translation c ON p.product_category_name = c.product_category_name
-  WHERE r.u IS NOT NULL
-  GROUP BY c.product_category_name_english)"""
-
-_INSTALLMENT_RANGE = """
-  CASE WHEN payment_installments = 1 THEN '1 cuota (contado)'
-       WHEN payment_installments >= 2 AND payment_installments <= 3 THEN '2-3 cuotas'
-       WHEN payment_installments >= 4 AND payment_installments <= 6 THEN '4-6 cuotas'
-       WHEN payment_installments >= 7 AND payment_installments <= 10 THEN '7-10 cuotas'
-       ELSE '11+ cuotas' END"""
-
-_SO = """
-so AS (
-  SELECT order_id, seller_id, is_late, MAX(delay_days) AS delay_days
-  FROM f_items WHERE order_status = 'delivered' GROUP BY order_id, seller_id, is_late)"""
-_L1 = "CASE WHEN is_late = 'Sí' THEN 1 ELSE 0 END"
+# mean score per category in hundredths
+_NOTAS = f"""
+notas AS (
+  SELECT en AS categoria, {xq('SUM(u)', 'COUNT(u) * 1000000', 2)} AS q
+  FROM a_items JOIN nota USING (order_id) JOIN categoria USING (product_id)
+  WHERE u IS NOT NULL AND order_id IN (SELECT order_id FROM a_orders) GROUP BY ALL)"""
 
 MEASURES_SQL = {
     "m01_score_per_order": f"""
@@ -66,12 +45,9 @@ WITH rt AS (
   FROM a_reviews r JOIN a_orders o ON r.order_id = o.order_id GROUP BY r.order_id)
 SELECT {xr('SUM(u)', 'COUNT(u) * 1000000', 2)} AS score_promedio_por_orden FROM rt""",
     "m02_late_rate": f"""
-SELECT COUNT(DISTINCT CASE WHEN is_late = 'Sí' THEN order_id END) AS pedidos_con_retraso,
-       COUNT(DISTINCT CASE WHEN delivery_days IS NOT NULL THEN order_id END) AS pedidos_entregados,
-       COALESCE({xr("COUNT(DISTINCT CASE WHEN is_late = 'Sí' THEN order_id END)",
-                    "COUNT(DISTINCT CASE WHEN delivery_days IS NOT NULL THEN order_id END)",
-                    2, factor=100)}, 0) AS tasa_retraso
-FROM f_items""",
+SELECT COUNT(*) FILTER (tarde) AS pedidos_con_retraso, COUNT(d_total) AS pedidos_entregados,
+       COALESCE({xr('COUNT(*) FILTER (tarde)', 'COUNT(d_total)', 2, factor=100)}, 0) AS tasa_retraso
+FROM pedidos""",
     "m03_mean_installments": f"""
 WITH per AS (
   SELECT order_id,
@@ -119,17 +95,11 @@ SELECT COUNT(*) FILTER (WHERE order_status = 'delivered') AS pedidos_entregados,
            AS tasa_entrega
 FROM a_orders""",
     "m11_logistics_days": f"""
-WITH o AS (
-  SELECT order_id, MAX(seller_to_courier_delivery_days) AS s,
-         MAX(courier_to_customer_delivery_days) AS c, MAX(delivery_days) AS d,
-         MAX(is_late) AS l, MAX(delay_days) AS dl
-  FROM f_items GROUP BY order_id)
-SELECT {xr('SUM(s)', 'COUNT(s)', 2)} AS dias_vendedor_courier,
-       {xr('SUM(c)', 'COUNT(c)', 2)} AS dias_courier_cliente,
-       {xr('SUM(d)', 'COUNT(d)', 2)} AS dias_entrega,
-       {xr("SUM(CASE WHEN l = 'Sí' THEN dl END)", "COUNT(CASE WHEN l = 'Sí' THEN dl END)", 2)}
-           AS dias_retraso
-FROM o""",
+SELECT {xr('SUM(d_vendedor)', 'COUNT(d_vendedor)', 2)} AS dias_vendedor_courier,
+       {xr('SUM(d_courier)', 'COUNT(d_courier)', 2)} AS dias_courier_cliente,
+       {xr('SUM(d_total)', 'COUNT(d_total)', 2)} AS dias_entrega,
+       {xr('SUM(d_demora) FILTER (tarde)', 'COUNT(d_demora) FILTER (tarde)', 2)} AS dias_retraso
+FROM pedidos""",
     "m12_payments": f"""
 WITH per AS (
   SELECT p.order_id, SUM(p.payment_value) AS pv
@@ -138,41 +108,18 @@ SELECT {dbl('SUM(pv)')} AS total_pagado, COUNT(*) AS ordenes_pagadas,
        {xr('SUM(pv)', 'COUNT(*)', 2, 2)} AS pago_promedio
 FROM per""",
     "m13_courier_share_late": f"""
-WITH {_H3_DD.strip()},
-h AS (
-  SELECT {xq('SUM(s)', 'COUNT(s)', 2)} AS s2, {xq('SUM(c)', 'COUNT(c)', 2)} AS c2
-  FROM dd WHERE is_late = 'Sí' GROUP BY is_late)
-SELECT CAST(s2 AS DOUBLE) / 100 AS dias_vendedor_courier,
-       CAST(c2 AS DOUBLE) / 100 AS dias_courier_cliente,
-       CAST(s2 + c2 AS DOUBLE) / 100 AS dias_totales,
-       {xr('c2', 's2 + c2', 2, factor=100)} AS participacion_courier
-FROM h""",
+WITH {_ETAPAS.strip()}
+SELECT CAST(v AS DOUBLE) / 100 AS dias_vendedor_courier, CAST(c AS DOUBLE) / 100 AS dias_courier_cliente,
+       CAST(v + c AS DOUBLE) / 100 AS dias_totales, {xr('c', 'v + c', 2, factor=100)} AS participacion_courier
+FROM etapas WHERE tarde""",
     "m14_group_gaps": f"""
-WITH rt AS (
-  SELECT order_id, {xq('SUM(review_score)', 'COUNT(review_score)', 6)} AS u,
-         MAX(is_late) AS is_late
-  FROM f_reviews GROUP BY order_id),
-spo AS (SELECT order_id, COUNT(DISTINCT seller_id) AS n FROM f_items GROUP BY order_id),
-ce AS (
-  SELECT r.order_id, r.review_score,
-         CASE WHEN s.n = 1 THEN 'Envío Simple (1 Vendedor)'
-              WHEN s.n > 1 THEN 'Envío Dividido (+ de 1 Vendedor)' END AS tipo_logistica
-  FROM f_reviews r INNER JOIN spo s ON r.order_id = s.order_id),
-u AS (
-  SELECT 'H1' AS hallazgo, 'Entregas con Retraso' AS grupo,
-         {xq('SUM(u)', 'COUNT(u) * 1000000', 2)} AS q, FALSE AS base
-  FROM rt WHERE is_late = 'Sí'
-  UNION ALL
-  SELECT 'H1', 'Entregas sin Retraso', {xq('SUM(u)', 'COUNT(u) * 1000000', 2)}, TRUE
-  FROM rt WHERE is_late = 'No'
+WITH grupos AS (
+  SELECT 'H1' AS hallazgo, tipo AS grupo, q, 'Entregas sin Retraso' AS base FROM ({H1_ROWS})
   UNION ALL
-  SELECT 'H2', tipo_logistica, {xq('SUM(review_score)', 'COUNT(review_score)', 2)},
-         tipo_logistica = 'Envío Simple (1 Vendedor)'
-  FROM ce WHERE tipo_logistica IS NOT NULL GROUP BY tipo_logistica),
-b AS (SELECT *, MAX(CASE WHEN base THEN q END) OVER (PARTITION BY hallazgo) AS bq FROM u)
-SELECT hallazgo, grupo, CAST(q AS DOUBLE) / 100 AS score_promedio,
-       CAST(bq AS DOUBLE) / 100 AS score_base, CAST(q - bq AS DOUBLE) / 100 AS diferencia
-FROM b""",
+  SELECT 'H2', tipo, q, 'Envío Simple (1 Vendedor)' FROM ({H2_ROWS}))
+SELECT g.hallazgo, g.grupo, CAST(g.q AS DOUBLE) / 100 AS score_promedio, CAST(b.q AS DOUBLE) / 100 AS score_base,
+       CAST(g.q - b.q AS DOUBLE) / 100 AS diferencia
+FROM grupos g LEFT JOIN grupos b ON b.hallazgo = g.hallazgo AND b.grupo = g.base""",
     "m15_commission": f"""
 SELECT {dbl('SUM(oi.price)')} AS total_ingresos,
        CAST(CAST(0.10 AS DECIMAL(5, 4)) AS DOUBLE) AS tasa_comision,
@@ -205,12 +152,11 @@ SELECT YEAR(o.order_purchase_timestamp) AS anio, MONTH(o.order_purchase_timestam
        {dbl('SUM(oi.price)')} AS total_ingresos
 FROM a_items oi JOIN a_orders o ON oi.order_id = o.order_id GROUP BY 1, 2""",
     "v03_revenue_by_category": f"""
-SELECT c.product_category_name_english AS categoria, {dbl('SUM(oi.price)')} AS ingreso,
-       {xr('SUM(oi.price)', 'SUM(SUM(oi.price)) OVER ()', 2, 2, 2, 100)} AS porcentaje
-FROM f_items oi
-INNER JOIN a_products p ON oi.product_id = p.product_id
-INNER JOIN a_translation c ON p.product_category_name = c.product_category_name
-GROUP BY c.product_category_name_english""",
+WITH ventas AS (
+  SELECT en, price FROM a_items JOIN categoria USING (product_id) WHERE order_id IN (SELECT order_id FROM a_orders))
+SELECT en AS categoria, {dbl('SUM(price)')} AS ingreso,
+       {xr('SUM(price)', '(SELECT SUM(price) FROM ventas)', 2, 2, 2, 100)} AS porcentaje
+FROM ventas GROUP BY ALL""",
     "v04_top_states_by_revenue": f"""
 SELECT c.customer_state, {dbl('SUM(oi.price)')} AS total_ingresos
 FROM a_items oi JOIN a_orders o ON oi.order_id = o.order_id
@@ -231,30 +177,20 @@ SELECT CASE WHEN {_LATE_O} THEN 'Sí' ELSE 'No' END AS is_late, puntuacion,
        COUNT(*) AS total_ordenes
 FROM s JOIN a_orders o ON s.order_id = o.order_id GROUP BY 1, 2""",
     "v07_worst_categories": f"""
-WITH {_REVIEW_U.strip()}, {_B1_Q.strip()}
-SELECT categoria, CAST(q AS DOUBLE) / 100 AS score_promedio FROM b1
+WITH {_NOTAS.strip()}
+SELECT categoria, CAST(q AS DOUBLE) / 100 AS score_promedio FROM notas
 ORDER BY q ASC NULLS LAST, categoria ASC NULLS FIRST LIMIT 20""",
     "v08_category_detail": f"""
-WITH {_REVIEW_U.strip()}, {_B1_Q.strip()},
-pairs AS (SELECT DISTINCT order_id, product_id FROM a_items),
-pj AS (
-  SELECT c.product_category_name_english AS categoria,
-         {_LATE_O} AS late,
-         {_LATE_O} OR COALESCE(r.u <= 2000000, FALSE) AS bad
-  FROM pairs pr
-  JOIN a_orders o ON pr.order_id = o.order_id
-  LEFT JOIN rt r ON pr.order_id = r.order_id
-  JOIN a_products p ON pr.product_id = p.product_id
-  JOIN a_translation c ON p.product_category_name = c.product_category_name),
-g AS (
-  SELECT categoria, COUNT(*) AS total_pedidos, SUM(CASE WHEN late THEN 1 ELSE 0 END) AS nl,
-         SUM(CASE WHEN bad THEN 1 ELSE 0 END) AS nb
-  FROM pj GROUP BY categoria)
-SELECT g.categoria, g.total_pedidos, CAST(b1.q AS DOUBLE) / 100 AS score_promedio,
-       {xr('g.nl', 'g.total_pedidos', 2, factor=100)} AS tasa_retraso,
-       CAST(500 - b1.q AS DOUBLE) / 100 AS score_inverso,
-       {xr('g.nb', 'g.total_pedidos', 2, factor=100)} AS tasa_ineficiencia
-FROM g LEFT JOIN b1 ON g.categoria = b1.categoria""",
+WITH {_NOTAS.strip()},
+conteo AS (
+  SELECT en AS categoria, COUNT(*) AS total, COUNT(*) FILTER (tarde) AS tardes,
+         COUNT(*) FILTER (tarde OR u <= 2000000) AS malas
+  FROM (SELECT DISTINCT order_id, product_id FROM a_items)
+  JOIN pedidos USING (order_id) JOIN categoria USING (product_id) LEFT JOIN nota USING (order_id) GROUP BY ALL)
+SELECT categoria, total AS total_pedidos, CAST(q AS DOUBLE) / 100 AS score_promedio,
+       {xr('tardes', 'total', 2, factor=100)} AS tasa_retraso, CAST(500 - q AS DOUBLE) / 100 AS score_inverso,
+       {xr('malas', 'total', 2, factor=100)} AS tasa_ineficiencia
+FROM conteo LEFT JOIN notas USING (categoria)""",
     "v09_kpis_logistics": _kpis([
         ("dias_vendedor_courier", M["m11_logistics_days"], "dias_vendedor_courier"),
         ("dias_courier_cliente", M["m11_logistics_days"], "dias_courier_cliente"),
@@ -263,13 +199,10 @@ FROM g LEFT JOIN b1 ON g.categoria = b1.categoria""",
         ("tasa_retraso", M["m02_late_rate"], "tasa_retraso"),
     ]),
     "v10_transit_stages": f"""
-WITH {_H3_DD.strip()},
-h AS (
-  SELECT is_late, {xq('SUM(s)', 'COUNT(s)', 2)} AS s2, {xq('SUM(c)', 'COUNT(c)', 2)} AS c2
-  FROM dd GROUP BY is_late)
-SELECT is_late, 'Vendedor → Courier' AS etapa, CAST(s2 AS DOUBLE) / 100 AS dias FROM h
-UNION ALL
-SELECT is_late, 'Courier → Cliente', CAST(c2 AS DOUBLE) / 100 FROM h""",
+WITH {_ETAPAS.strip()}
+SELECT if(tarde, 'Sí', 'No') AS is_late, e.etapa, CAST(e.x AS DOUBLE) / 100 AS dias
+FROM (SELECT tarde, unnest([{{'etapa': 'Vendedor → Courier', 'x': v}}, {{'etapa': 'Courier → Cliente', 'x': c}}]) AS e
+      FROM etapas)""",
     "v11_late_rate_by_state": f"""
 WITH ol AS (
   SELECT customer_id, {_LATE_O} AS late,
@@ -283,17 +216,10 @@ SELECT c.customer_state,
 FROM ol JOIN a_customers c ON ol.customer_id = c.customer_id
 GROUP BY c.customer_state""",
     "v12_worst_sellers": f"""
-WITH {_SO.strip()},
-h4 AS (
-  SELECT seller_id, COUNT(*) AS total_pedidos,
-         {big(f'SUM({_L1})')} AS pedidos_con_retraso,
-         {xr(f'SUM({_L1})', 'COUNT(*)', 2, factor=100)} AS tasa_retraso,
-         {xr("SUM(CASE WHEN is_late = 'Sí' THEN delay_days END)",
-             "COUNT(CASE WHEN is_late = 'Sí' THEN delay_days END)", 2)} AS dias_promedio_retraso
-  FROM so GROUP BY seller_id HAVING COUNT(*) >= 30)
-SELECT h4.seller_id, s.seller_city, s.seller_state, h4.total_pedidos, h4.pedidos_con_retraso,
-       h4.tasa_retraso, h4.dias_promedio_retraso
-FROM h4 LEFT JOIN a_sellers s ON h4.seller_id = s.seller_id""",
+WITH {VENDEDORES.strip()},
+peores AS (SELECT {VENDEDORES_COLS} FROM entregas GROUP BY seller_id HAVING COUNT(*) >= 30)
+SELECT seller_id, seller_city, seller_state, total_pedidos, pedidos_con_retraso, tasa_retraso, dias_promedio_retraso
+FROM peores LEFT JOIN a_sellers USING (seller_id)""",
     "v13_kpis_payments": _kpis([
         ("total_pagado", M["m12_payments"], "total_pagado"),
         ("cuotas_promedio", M["m03_mean_installments"], "cuotas_promedio"),
@@ -301,24 +227,18 @@ FROM h4 LEFT JOIN a_sellers s ON h4.seller_id = s.seller_id""",
         ("participacion_tarjeta", _CARD_SHARE, "v"),
     ]),
     "v14_payment_donut": f"""
-WITH pt AS (
-  SELECT order_id, payment_type, SUM(payment_value) AS payment_value
-  FROM f_payments GROUP BY order_id, payment_type),
-g AS (SELECT payment_type, COUNT(*) AS total_ordenes FROM pt GROUP BY payment_type)
-SELECT payment_type, total_ordenes,
-       {xr('total_ordenes', 'SUM(total_ordenes) OVER ()', 2, factor=100)} AS porcentaje
-FROM g""",
+WITH tipos AS (
+  SELECT DISTINCT order_id, payment_type FROM a_orders LEFT JOIN a_payments USING (order_id))
+SELECT payment_type, COUNT(*) AS total_ordenes,
+       {xr('COUNT(*)', '(SELECT COUNT(*) FROM tipos)', 2, factor=100)} AS porcentaje
+FROM tipos GROUP BY ALL""",
     "v15_ticket_by_installments": f"""
-WITH pt AS (
-  SELECT payment_value, {_INSTALLMENT_RANGE.strip()} AS rango_cuotas
-  FROM f_payments WHERE payment_type = 'credit_card'),
-h AS (
-  SELECT rango_cuotas, {xq('SUM(payment_value)', 'COUNT(payment_value)', 6, 2)} AS q
-  FROM pt GROUP BY rango_cuotas),
-b AS (SELECT *, MAX(CASE WHEN rango_cuotas = '1 cuota (contado)' THEN q END) OVER () AS bq FROM h)
+WITH {CUOTAS.strip()},
+medias AS (
+  SELECT rango_cuotas, {xq('SUM(payment_value)', 'COUNT(payment_value)', 6, 2)} AS q FROM tarjeta GROUP BY ALL)
 SELECT rango_cuotas, CAST(q AS DOUBLE) / 1000000 AS ticket_promedio,
-       {xr('q', 'bq', 2)} AS multiplicador
-FROM b""",
+       {xr('q', "(SELECT q FROM medias WHERE rango_cuotas = '1 cuota (contado)')", 2)} AS multiplicador
+FROM medias""",
     "v16_ticket_by_month": f"""
 WITH per AS (SELECT order_id, SUM(price) AS sp FROM a_items GROUP BY order_id)
 SELECT YEAR(o.order_purchase_timestamp) AS anio, MONTH(o.order_purchase_timestamp) AS mes,
