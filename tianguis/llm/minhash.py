@@ -169,8 +169,9 @@ def described(docs: DataFrame, width: int) -> DataFrame:
                     else:
                         known.add(node)
                         rows.append((len(hashes), node, *signature(hashes)))
-                out = pd.DataFrame(rows, columns=["n", "node", "bits", "bands"])
-                out["n"], out["node"] = out["n"].astype("int64"), out["node"].astype("Int64")
+                n, node, bits, bands = zip(*rows)
+                # an inferred column of longs and nulls would become doubles and lose digits
+                out = pd.DataFrame({"n": n, "node": pd.array(node, dtype="Int64"), "bits": pd.Series(bits, dtype=object), "bands": pd.Series(bands, dtype=object)})
                 out.insert(0, "text_key", batch["text_key"].iloc[at:at + len(part)].to_numpy())
                 out.insert(0, "doc_id", batch["doc_id"].iloc[at:at + len(part)].to_numpy())
                 at += len(part)
@@ -295,9 +296,8 @@ def bucket_pairs(rows: DataFrame, percent: int, split: bool) -> DataFrame:
 
 
 def _pair_frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["key", "a", "b", "differ", "n", "bits"])
-    out["b"] = out["b"].astype("Int64")
-    return out
+    key, a, b, differ, n, bits = zip(*rows)
+    return pd.DataFrame({"key": key, "a": a, "b": pd.array(b, dtype="Int64"), "differ": differ, "n": n, "bits": pd.Series(bits, dtype=object)})
 
 
 def candidate_pairs(classes: DataFrame, percent: int) -> DataFrame:
