@@ -16,9 +16,8 @@ def test_permutation_and_inverse():
     assert (a != b).mean() > 0.9 and abs(np.corrcoef(np.arange(1000), a)[0, 1]) < 0.15
 
 
-def test_shards_hold_every_sequence_once(odd_docs, no_docs, monkeypatch):
-    monkeypatch.setattr(order, "SHARD_SLOTS", 16)
-    written = order.shards(odd_docs, tokenizer_path(), END)
+def test_shards_hold_every_sequence_once(odd_docs, no_docs):
+    written = order.shards(odd_docs, tokenizer_path(), END, shard_slots=16)
     rows = written.orderBy("shard").collect()
     records = np.frombuffer(b"".join(r["records"] for r in rows), dtype=order.RECORD)
     assert [r["first_slot"] for r in rows] == [16 * k for k in range(len(rows))] and all(r["n"] == 16 for r in rows[:-1])
@@ -30,7 +29,7 @@ def test_shards_hold_every_sequence_once(odd_docs, no_docs, monkeypatch):
             want.append((r["doc_id"] or 0, r["doc_id"] is None, k // order.LENGTH, ids[k:k + order.LENGTH].tolist()))
     got = [(int(x["doc_id"]), bool(x["flags"] & 1), int(x["part"]), x["ids"][:x["n_tokens"]].tolist()) for x in records]
     assert sorted(got) == sorted(want)
-    some = order.read_slots(written, 10, 40).orderBy("slot").collect()
+    some = order.read_slots(written, 10, 40, 16).orderBy("slot").collect()
     assert [r["slot"] for r in some] == list(range(10, 40))
     assert b"".join(r["record"] for r in some) == records[10:40].tobytes()
     listed = order.manifest(written).orderBy("slot").collect()

@@ -118,7 +118,7 @@ def sequences(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(run, "record binary")
 
 
-def shards(docs: DataFrame, path: str, end_id: int, key: str = "epoch-0") -> DataFrame:
+def shards(docs: DataFrame, path: str, end_id: int, key: str = "epoch-0", shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """Written shards: (shard, first_slot, n, records), records being n * STRIDE bytes in slot order."""
     spark = docs.sparkSession
     table = materialise(sequences(docs, path, end_id), "order-sequences")
@@ -139,33 +139,33 @@ def shards(docs: DataFrame, path: str, end_id: int, key: str = "epoch-0") -> Dat
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_shard, held = None, []
         for batch in batches:
-            shard = batch["slot"].to_numpy(np.int64) // SHARD_SLOTS
+            shard = batch["slot"].to_numpy(np.int64) // shard_slots
             cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])).tolist() if len(shard) else []
             for a, b in zip(cut, [*cut[1:], len(shard)]):
                 if shard[a] != open_shard:
                     if held:
-                        yield _shard_row(open_shard, held)
+                        yield _shard_row(open_shard, held, shard_slots)
                     open_shard, held = int(shard[a]), []
                 held += batch["record"].iloc[a:b].tolist()
         if held:
-            yield _shard_row(open_shard, held)
+            yield _shard_row(open_shard, held, shard_slots)
 
-    n_shards = -(-total // SHARD_SLOTS)
+    n_shards = -(-total // shard_slots)
     parts = max(1, min(n_shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     dealt = placed.mapInPandas(deal, "slot long, record binary").withColumn(
-        "range", F.floor(F.floor(F.col("slot") / SHARD_SLOTS) * parts / F.lit(max(1, n_shards))).cast("int"))
+        "range", F.floor(F.floor(F.col("slot") / shard_slots) * parts / F.lit(max(1, n_shards))).cast("int"))
     # dense slots: equal ranges of shards are equal shares of rows, whatever the documents
     return materialise(dealt.repartitionByRange(parts, "range").sortWithinPartitions("slot").select("slot", "record").mapInPandas(
         fill, "shard long, first_slot long, n int, records binary"), "order-shards")
 
 
-def _shard_row(shard: int, held: list[bytes]) -> pd.DataFrame:
-    return pd.DataFrame({"shard": [shard], "first_slot": [shard * SHARD_SLOTS], "n": [len(held)], "records": [b"".join(held)]})
+def _shard_row(shard: int, held: list[bytes], shard_slots: int) -> pd.DataFrame:
+    return pd.DataFrame({"shard": [shard], "first_slot": [shard * shard_slots], "n": [len(held)], "records": [b"".join(held)]})
 
 
-def read_slots(written: DataFrame, start: int, stop: int) -> DataFrame:
+def read_slots(written: DataFrame, start: int, stop: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """(slot, record) of the slots start .. stop - 1: only the shards that hold them are read."""
-    rows = written.where(F.col("shard").between(start // SHARD_SLOTS, max(start, stop - 1) // SHARD_SLOTS))
+    rows = written.where(F.col("shard").between(start // shard_slots, max(start, stop - 1) // shard_slots))
     return _records(rows).where((F.col("slot") >= start) & (F.col("slot") < stop))
 
 
