@@ -72,7 +72,7 @@ def char_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         owners.append(owner[n - 1:][inside])
     found, owners = np.concatenate(found or [np.zeros(0, np.int64)]), np.concatenate(owners or [np.zeros(0, np.int64)])
     order = np.argsort(owners, kind="stable")
-    return found[order], owners[order]
+    return found[order].astype(np.int32), owners[order].astype(np.int32)
 
 
 def word_bucket(word: str) -> int:
@@ -136,7 +136,11 @@ class Network:
         top = np.zeros((n, WIDTH), np.float32)
         if len(owner):
             starts = np.flatnonzero(np.diff(owner, prepend=-1))
-            top[owner[starts]] = np.maximum.reduceat(self.p["char"][chars], starts, axis=0)
+            ends = np.append(starts[1:], len(owner))
+            for a in range(0, len(starts), 16_384):  # bounds the gathered vectors
+                own = starts[a:a + 16_384]
+                part = chars[own[0]:ends[a + len(own) - 1]]
+                top[owner[own]] = np.maximum.reduceat(self.p["char"][part], own - own[0], axis=0)
         return top
 
     def project(self, x: np.ndarray) -> np.ndarray:
@@ -304,7 +308,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Network:
             w, mask = all_word[use[part]].T, np.ascontiguousarray(all_mask[use[part]].T)
             own, at = np.unique(w, return_inverse=True)
             at = at.reshape(w.shape)
-            chosen = np.zeros(len(word), np.int64) - 1
+            chosen = np.full(len(word), -1, np.int32)
             chosen[own] = np.arange(len(own))
             near = chosen[owner] >= 0
             own_chars, own_owner = chars[near], chosen[owner[near]]
