@@ -1,11 +1,11 @@
 from __future__ import annotations
 
 import numpy as np
+import public_tokenizers
 
-from tianguis.llm import bpe, order
-from tianguis.llm.queries import tokenizer_path
+from tianguis.llm import common, order
 
-END = 49407
+END, RANKS = 50_256, public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def test_permutation_and_inverse():
@@ -17,14 +17,14 @@ def test_permutation_and_inverse():
 
 
 def test_shards_hold_every_sequence_once(odd_docs, no_docs):
-    written = order.shards(odd_docs, tokenizer_path(), END, shard_slots=16)
+    odd_docs = common.materialise(odd_docs.repartition(3), "test-order")
+    written = order.shards(odd_docs, RANKS, END, shard_slots=16)
     rows = written.orderBy("shard").collect()
     records = np.frombuffer(b"".join(r["records"] for r in rows), dtype=order.RECORD)
     assert [r["first_slot"] for r in rows] == [16 * k for k in range(len(rows))] and all(r["n"] == 16 for r in rows[:-1])
-    encoder = bpe.Encoder(tokenizer_path())
     want = []
     for r in odd_docs.select("doc_id", "text").collect():
-        ids = np.append(encoder.encode([r["text"]])[0], END)
+        ids = np.append(order.encoded(RANKS, [r["text"]])[0], END).astype(int)
         for k in range(0, len(ids), order.LENGTH):
             want.append((r["doc_id"] or 0, r["doc_id"] is None, k // order.LENGTH, ids[k:k + order.LENGTH].tolist()))
     got = [(int(x["doc_id"]), bool(x["flags"] & 1), int(x["part"]), x["ids"][:x["n_tokens"]].tolist()) for x in records]
@@ -35,4 +35,4 @@ def test_shards_hold_every_sequence_once(odd_docs, no_docs):
     listed = order.manifest(written).orderBy("slot").collect()
     assert [r["slot"] for r in listed] == list(range(len(records)))
     assert all(r["byte_offset"] == (r["slot"] % 16) * order.STRIDE for r in listed)
-    assert order.shards(no_docs, tokenizer_path(), END).count() == 0
+    assert order.shards(common.materialise(no_docs, "test-order"), RANKS, END).count() == 0

@@ -201,7 +201,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+# The same words in texts of ASCII and of Latin letters (below U+0250), without property lookups;
+# no contraction starts with a letter, so letters may be tried first.
+ASCII_WORD = re.compile(r"[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r a-z0-9]+")
+_LATIN = "a-zªµºß-öø-ÿĀ-ɏ"
+LATIN_WORD = re.compile(rf"[{_LATIN}]+|[0-9²³¹¼-¾]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r \x85\xa0{_LATIN}0-9²³¹¼-¾]+")
+BEYOND_LATIN = re.compile("[^\x00-ɏ]")
 ANY_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 # Capitals whose lower case the tokenizer knows and this Python's
 # tables do not (first, last, distance to the lower-case letter).
@@ -233,9 +238,12 @@ def words_of(text: str) -> list[str]:
     if text.isascii():
         return ASCII_WORD.findall(text.lower())
     text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+    lower = text.lower()
+    if not BEYOND_LATIN.search(lower):
+        return LATIN_WORD.findall(lower)
     rare, pattern = _newer()
-    if max(text) < "Ԁ" or not rare.search(text):
-        return ANY_WORD.findall(text.lower())
+    if not rare.search(text):
+        return ANY_WORD.findall(lower)
     return pattern.findall(text.translate(LOWER).lower())
 
 

@@ -1,17 +1,21 @@
 """Training-order materialisation: token sequences in a keyed random order, as fixed-stride shards.
 
-1. Texts are encoded (see bpe), closed with an end mark and cut into sequences of
-   LENGTH ids; the last of a document is padded. All sequences are written once.
-2. A sequence's number is the count of sequences in the files before its own plus its place in
-   its file: dense, without a global sort (one small row per file goes through the driver).
+1. Texts are encoded (a public byte-level vocabulary), closed with an end mark and cut into
+   sequences of LENGTH ids; the last of a document is padded. A first pass only counts them.
+2. A sequence's number is the count of sequences in the scan's partitions before its own plus
+   its place in its partition: dense, without a sort (one small row per partition goes
+   through the driver).
 3. A keyed Feistel network over the smallest even-bit domain that holds n numbers, with
    cycle-walking, maps numbers to slots: a permutation of 0 .. n - 1 that any task computes
-   by itself. Key and n define the order.
+   by itself. Key and n define the order. The second pass writes each sequence under its slot.
 4. Slots are dealt by ranges of shards; a shard holds SHARD_SLOTS records of a fixed stride in
    slot order, so the record of a slot is at a known place, and a reader resumes anywhere.
 
 A shard is one row (shard, first_slot, records) of a Parquet table, in files of ascending
 shards: any store Spark writes to can hold it, and a lost task's output is replaced as a whole.
+The two passes rely on the input giving a partition the same rows each time, as a scan of files
+does also after an executor is lost; other inputs are written first (``common.materialise``).
+The total is checked at the end.
 
 Record, little-endian: doc_id (8 bytes, signed), sequence in its document (4), number
 of ids that are not padding (2), flags (2; 1: no doc_id), ids (2 bytes each).
@@ -23,15 +27,18 @@ other columns are not looked at; a long text gives as many sequences as it needs
 
 from __future__ import annotations
 
+import base64
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, slices
+from .bpe import slices
 from .common import materialise
 
 LENGTH, SHARD_SLOTS, ROUNDS = 256, 2048, 6
@@ -87,54 +94,76 @@ def numbers_of(slot: np.ndarray, n: int, key: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """One row per sequence: its whole record."""
+@functools.cache
+def encoding(path: str):
+    """The encoder of a file of byte-level ranks."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def encoded(path: str, texts: list[str | None]) -> list[list[int]]:
+    encode = encoding(path).encode_ordinary
+    return [encode(t) if isinstance(t, str) else [] for t in texts]
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
+
+
+def partition_counts(docs: DataFrame, path: str) -> dict[int, int]:
+    """Sequences by partition of the scan."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder.shared(path)
+        total = 0
         for batch in batches:
-            at = 0
             for part in slices(batch["text"].tolist(), 2_000_000):
-                own = batch.iloc[at:at + len(part)]
-                at += len(part)
-                ids = encoder.encode(part)
-                n = np.array([len(x) + 1 for x in ids])
-                parts = -(-n // LENGTH)
-                flat = np.zeros(int(parts.sum()) * LENGTH, dtype="<u2")
-                first = np.concatenate([[0], np.cumsum(parts)[:-1]]) * LENGTH
-                for x, a in zip(ids, first.tolist()):
-                    flat[a:a + len(x)] = x
-                flat[first + n - 1] = end_id
-                record = np.zeros(len(flat) // LENGTH, dtype=RECORD)
-                record["ids"] = flat.reshape(-1, LENGTH)
-                doc = np.repeat(np.arange(len(part)), parts)
-                place = np.arange(len(doc)) - np.repeat(first // LENGTH, parts)
-                record["part"] = place
-                record["n_tokens"] = np.minimum(n[doc] - place * LENGTH, LENGTH)
-                missing = own["doc_id"].isna().to_numpy()
-                record["doc_id"] = own["doc_id"].fillna("0").astype("int64").to_numpy()[doc]
-                record["flags"] = missing[doc]
-                raw = record.tobytes()
-                yield pd.DataFrame({"record": [raw[k:k + STRIDE] for k in range(0, len(raw), STRIDE)]})
-    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(run, "record binary")
+                total += sum(-(-(len(x) + 1) // LENGTH) for x in encoded(path, part))
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [total]})
+    return {r["part"]: r["n"] for r in _rows(docs).mapInPandas(run, "part int, n long").collect()}  # a row per partition
+
+
+def records(own: pd.DataFrame, ids: list[list[int]], end_id: int) -> np.ndarray:
+    """The records of some documents, in order."""
+    n = np.fromiter((len(x) + 1 for x in ids), dtype=np.int64, count=len(ids))
+    parts = -(-n // LENGTH)
+    flat = np.zeros(int(parts.sum()) * LENGTH, dtype="<u2")
+    first = np.concatenate([[0], np.cumsum(parts)[:-1]]) * LENGTH
+    for x, a in zip(ids, first.tolist()):
+        flat[a:a + len(x)] = x
+    flat[first + n - 1] = end_id
+    out = np.zeros(len(flat) // LENGTH, dtype=RECORD)
+    out["ids"] = flat.reshape(-1, LENGTH)
+    doc = np.repeat(np.arange(len(ids)), parts)
+    place = np.arange(len(doc)) - np.repeat(first // LENGTH, parts)
+    out["part"] = place
+    out["n_tokens"] = np.minimum(n[doc] - place * LENGTH, LENGTH)
+    out["flags"] = own["doc_id"].isna().to_numpy()[doc]
+    out["doc_id"] = own["doc_id"].fillna("0").astype("int64").to_numpy()[doc]
+    return out
 
 
 def shards(docs: DataFrame, path: str, end_id: int, key: str = "epoch-0", shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """Written shards: (shard, first_slot, n, records), records being n * STRIDE bytes in slot order."""
     spark = docs.sparkSession
-    table = materialise(sequences(docs, path, end_id), "order-sequences")
-    placed = table.select("record", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    counts = table.select(F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.count("*").alias("n")).orderBy("file").collect()  # a row per written file
     before, total = {}, 0
-    for file, n in counts:
-        before[file] = total
+    for part, n in sorted(partition_counts(docs, path).items()):
+        before[part] = total
         total += n
-    shared = spark.sparkContext.broadcast((before, total))
+    shared = spark.sparkContext.broadcast(before)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        offsets, n = shared.value
+        number = shared.value[TaskContext.get().partitionId()]
         for batch in batches:
-            slot = slots(batch["file"].map(offsets).to_numpy(np.int64) + batch["row"].to_numpy(np.int64), n, key)
-            yield pd.DataFrame({"slot": slot, "record": batch["record"]})
+            at = 0
+            for part in slices(batch["text"].tolist(), 2_000_000):
+                out = records(batch.iloc[at:at + len(part)], encoded(path, part), end_id)
+                at += len(part)
+                raw = out.tobytes()
+                yield pd.DataFrame({"slot": slots(np.arange(number, number + len(out)), total, key), "record": [raw[k:k + STRIDE] for k in range(0, len(raw), STRIDE)]})
+                number += len(out)
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_shard, held = None, []
@@ -152,11 +181,15 @@ def shards(docs: DataFrame, path: str, end_id: int, key: str = "epoch-0", shard_
 
     n_shards = -(-total // shard_slots)
     parts = max(1, min(n_shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = placed.mapInPandas(deal, "slot long, record binary").withColumn(
+    dealt = _rows(docs).mapInPandas(deal, "slot long, record binary").withColumn(
         "range", F.floor(F.floor(F.col("slot") / shard_slots) * parts / F.lit(max(1, n_shards))).cast("int"))
     # dense slots: equal ranges of shards are equal shares of rows, whatever the documents
-    return materialise(dealt.repartitionByRange(parts, "range").sortWithinPartitions("slot").select("slot", "record").mapInPandas(
+    written = materialise(dealt.repartitionById(parts, "range").sortWithinPartitions("slot").select("slot", "record").mapInPandas(
         fill, "shard long, first_slot long, n int, records binary"), "order-shards")
+    found = written.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_distinct("shard").alias("shards")).first()
+    if (found["n"], found["shards"]) != (total, n_shards):
+        raise RuntimeError(f"the input changed between the passes: {found} instead of {total} sequences in {n_shards} shards")
+    return written
 
 
 def _shard_row(shard: int, held: list[bytes], shard_slots: int) -> pd.DataFrame:

@@ -13,6 +13,9 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("text_key")
 
 
+ORDER_END_ID = 50_256  # the end mark of the byte-level vocabulary
+
+
 def tokenizer_path() -> str:
     """The public word-BPE file of the driver's contract."""
     import public_tokenizers
@@ -32,9 +35,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sequences in training order, read back from the written shards."""
-    path = tokenizer_path()
-    end_id = bpe.vocabulary(path).special["<|endoftext|>"]
-    return order.manifest(order.shards(read_table(spark, sf_dir, "documents"), path, end_id))
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return order.manifest(order.shards(read_table(spark, sf_dir, "documents"), path, ORDER_END_ID))
 
 
 def op5_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
