@@ -207,14 +207,20 @@ def test_filter_context_slices_every_table(t):
     assert measures.m06_total_revenue(sp).first()[0] == D("250.00")      # 100 + 50 + 80 + 20
     assert sp.order_payments.count() == 5 and sp.order_reviews.count() == 4
     beleza = filter_context(t, products=F.col("product_category_name") == "beleza")
-    # only orders holding a 'beleza' item, and only those items
+    # a product slicer reaches the items alone ...
     assert measures.m06_total_revenue(beleza).first()[0] == D("130.00")  # o1 p1 100 + o2 p1 30
-    assert measures.m07_total_orders(beleza).first()[0] == 2
+    assert measures.m07_total_orders(beleza).first()[0] == 5
+    assert beleza.order_payments.count() == t.order_payments.count()
+    # ... unless both directions are asked for: then only orders that hold such an item
+    both = filter_context(t, products=F.col("product_category_name") == "beleza", both_directions=True)
+    assert measures.m06_total_revenue(both).first()[0] == D("130.00")
+    assert measures.m07_total_orders(both).first()[0] == 2
 
 
 def test_kpi_strips_by_hand(t):
     from tianguis.plans import dashboard
-    kpi = lambda df: {r["kpi"]: r["valor"] for r in df.collect()}
+    kpi = lambda df: {r["kpi"]: float(r["valor"]) for r in df.collect()}
+    assert all(isinstance(r["valor"], D) for r in dashboard.v01_kpis_overview(t).collect())
     assert kpi(dashboard.v01_kpis_overview(t)) == {
         "total_ingresos": 310.0, "total_pedidos": 5.0, "ticket_promedio": 77.5,
         "score_promedio": 3.13,          # (2.5 + 1 + 5 + 4) / 4 = 3.125, half-up
