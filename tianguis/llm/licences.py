@@ -1,8 +1,10 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences at line breaks and at ``. ; ! ?`` before a blank, each
-sentence normalised (A-Z lowered, everything but letters a-z and digits a blank).
-Sentences that a licence is known by have an identifier, all others none. The
+A text is cut into sentences at ``. ; ! ?`` before a blank and at blank lines (lines without
+letters a-z and digits, such as bare comment marks), each sentence normalised (A-Z lowered,
+everything but letters a-z and digits a blank, which also drops comment marks). A sentence
+may run over several lines: one that a licence is known by has an identifier where it starts with
+a line and ends with that or a later line of the sentence, the longest first; all others have none. The
 identifiers of a text, in order, form its sequence; the rules are tried in their order, a
 rule matches where its identifiers stand next to each other in the sequence, and what a
 rule matched is taken out before later rules, so a full licence wins over its parts.
@@ -98,16 +100,33 @@ def _tables() -> tuple[dict[str, int], list[tuple[str, tuple[int, ...]]]]:
         for notice in NOTICES:
             rules += [(name, seq(notice.format(x))) for x in spoken]
         rules.append((name, seq(f"SPDX-License-Identifier: {name}")))
+    for name in NAMES:
+        if "GPL" in name:
+            rules += [(name, seq(f"SPDX-License-Identifier: {name}-{x}")) for x in ("only", "or-later")]
+    rules += [(name, seq(f"SPDX-License-Identifier: {name}")) for name in ("ISC", "Unlicense")]
     return ids, rules
 
 
 SENTENCE_IDS, RULES = _tables()
+# A lowered text has no capitals, so H can stand for the end of a sentence and L for a line
+# break within one (LL: the end of a line and the start of the next).
+CUTS = ((r"\r\n?", "\n"), (r"\n[^a-z0-9\n]+", "\n"), (r"[.;!?][^a-z0-9\t-\r ]*[\t-\r ]+", "H"), (r"\n\n+", "H"), (r"\n", "L"), ("[^a-z0-9HL]+", " "),
+        ("[ L]*H[ HL]*", "H"), (" ?L ?", "LL"), ("^[ HL]+|[ HL]+$", ""))
+OF_LINES = "L(" + "|".join(x.replace(" ", "(?: |LL)") for x in sorted(SENTENCE_IDS, key=lambda x: (-len(x), x))) + ")L"
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order."""
-    lower = F.translate(F.regexp_replace(text, r"([.;!?])[^A-Za-z0-9\s]*\s+", "$1\n"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.transform(F.split(lower, r"[\n\r]+"), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    """Normalised sentences of a text, in order, with LL for line breaks."""
+    cut = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for pattern, by in CUTS:
+        cut = F.regexp_replace(cut, pattern, by)
+    return F.split(cut, "H")
+
+
+def candidates(text: Column) -> Column:
+    """Sentences of one line, and known sentences that are lines of a longer one, in order."""
+    return F.flatten(F.transform(sentences(text), lambda s: F.when(s.contains("L"), F.transform(
+        F.regexp_extract_all(F.concat(F.lit("L"), s, F.lit("L")), F.lit(OF_LINES), F.lit(1)), lambda m: F.replace(m, F.lit("LL"), F.lit(" ")))).otherwise(F.array(s))))
 
 
 def sequence(text: Column) -> Column:
@@ -118,7 +137,7 @@ def sequence(text: Column) -> Column:
     for c in CUES[1:]:
         # a cue of two words may stand around any separator
         cued = cued | (lower.rlike(c.replace(" ", "[^a-z0-9]+")) if " " in c else lower.contains(c))
-    found = F.filter(F.transform(F.filter(sentences(text), lambda s: F.array_contains(F.array(*[F.lit(x) for x in SENTENCE_IDS]), s)),
+    found = F.filter(F.transform(F.filter(candidates(text), lambda s: F.array_contains(F.array(*[F.lit(x) for x in SENTENCE_IDS]), s)),
                                  lambda s: known[s]), lambda i: i.isNotNull())
     return F.when(cued, found).otherwise(F.array().cast("array<int>"))
 
@@ -145,21 +164,24 @@ def scan(docs: DataFrame) -> DataFrame:
 def oracle() -> str:
     """The same result as DuckDB SQL: sentences unnested, joined with a table of known
     sentences, and the rules applied one after another by a recursive query."""
+    cut = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    for pattern, by in CUTS:
+        cut = f"regexp_replace({cut}, '{pattern}', {'chr(10)' if by == chr(10) else repr(by)}, 'g')"
     known = ", ".join(f"('{s}', {i})" for s, i in SENTENCE_IDS.items())
     rules = ", ".join(f"({k}, '{name}', '{''.join(f'<{i}>' for i in ids)}')" for k, (name, ids) in enumerate(RULES))
     return rf"""
 WITH RECURSIVE known(sentence, id) AS (VALUES {known}),
 rules(k, name, ids) AS (VALUES {rules}),
 docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-cut AS (
-  SELECT r, unnest(regexp_split_to_array(regexp_replace(text, '([.;!?])[^A-Za-z0-9\s]*\s+', E'\\1\n', 'g'), '[\n\r]+')) AS s,
-         generate_subscripts(regexp_split_to_array(regexp_replace(text, '([.;!?])[^A-Za-z0-9\s]*\s+', E'\\1\n', 'g'), '[\n\r]+'), 1) AS pos
-  FROM docs WHERE regexp_matches(text, '(?i)licen|copyright|warrant|permission|redistribut|liab|public|spdx|released|distributed')),
-hit AS (
-  SELECT cut.r, cut.pos, known.id FROM cut
-  JOIN known ON trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) = known.sentence),
+parted AS (
+  SELECT r, string_split({cut}, 'H') AS parts FROM docs
+  WHERE regexp_matches(text, '(?i)licen|copyright|warrant|permission|redistribut|liab|public|spdx|released|distributed')),
+cut AS (SELECT r, unnest(parts) AS s, generate_subscripts(parts, 1) AS part FROM parted),
+matched AS (SELECT r, part, CASE WHEN contains(s, 'L') THEN regexp_extract_all('L' || s || 'L', '{OF_LINES}', 1) ELSE [s] END AS found FROM cut),
+lines AS (SELECT r, part, unnest(found) AS s, generate_subscripts(found, 1) AS line FROM matched),
+hit AS (SELECT lines.r, part, line, known.id FROM lines JOIN known ON replace(s, 'LL', ' ') = known.sentence),
 seqs AS (
-  SELECT r, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY pos) AS ids, string_agg('<' || id || '>', '' ORDER BY pos) AS marks FROM hit GROUP BY r),
+  SELECT r, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY part, line) AS ids, string_agg('<' || id || '>', '' ORDER BY part, line) AS marks FROM hit GROUP BY r),
 run AS (
   SELECT r, 0 AS k, marks AS rest, ''::VARCHAR AS names, 0::BIGINT AS n FROM seqs
   UNION ALL
