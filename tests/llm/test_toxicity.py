@@ -79,6 +79,35 @@ def test_score_is_that_of_the_highest_window():
     assert abs(whole - max(parts)) < 1e-5
 
 
+def test_pieces_cover_a_long_run():
+    rng = random.Random(4)
+    for n in (1, 63, 64, 65, 95, 96, 97, 128, 129, 1000):
+        run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        found = X.words_of(f"one {run} two")
+        assert found[0] == "one" and found[-1] == "two" and all(len(p) <= X.PIECE for p in found)
+        assert n > X.PIECE or found[1:-1] == [run]
+        assert all(any(run[a:a + 32] in p for p in found[1:-1]) for a in range(max(1, n - 31)))
+
+
+def test_a_passage_deep_in_text_without_blanks_raises_the_score(monkeypatch):
+    texts, toxic = corpus(5, 600)
+    scorer = X.Scorer(X.train(texts, np.array(toxic)))
+    glued = ["".join(t.split()) for t, y in zip(texts, toxic) if not y]
+    glued = [g for g in glued if len(g) > 400][:30]
+    deep = [g[:300] + "vilezor" + g[300:] for g in glued]
+    high = scorer(deep)
+    assert np.mean(high > scorer(glued)) > 0.9 and high.min() > 0.7
+    # words taken up in small parts score the same
+    monkeypatch.setattr(X, "PART", 7)
+    assert np.allclose(X.Scorer(scorer.net)(deep), high, atol=1e-5)
+
+
+def test_long_runs_count_by_pieces_in_the_sample(shipped):
+    docs = shipped.createDataFrame([(1, "ab" * 100), (2, "ab" * 40_000), (3, "a b c")], "doc_id long, text string")
+    labels = shipped.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    assert sorted(X.training_sample(docs, labels)["text"].str.len()) == [n for n, k in ((5, 3), (200, 1)) if zlib.crc32(str(k).encode()) % 5]
+
+
 def test_odd_rows(odd_docs, no_docs, labels):
     rows = X.scored(odd_docs, labels).collect()
     assert len(rows) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in rows)

@@ -1,6 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-A text is its words; each word enters as the sum of a learned word vector (hashed) and the
+A text is its words, which are runs of letters; a run of more than PIECE letters (text without
+blanks) enters as pieces of PIECE letters that overlap by half, each as a word. Each word enters as the sum of a learned word vector (hashed) and the
 maximum, by component, of learned vectors of its character n-grams (3 to 5 bytes, and 6 to
 8 from the word's start; with edge marks, hashed). Two
 gated recurrent layers read a window of WINDOW words from both ends, attention pools
@@ -8,7 +9,7 @@ their states, and a logistic unit scores the window. Windows overlap by half and
 every whole text; a document's score is that of its highest window.
 
 The network is trained in numpy on a bounded sample of labelled documents: at most
-TRAIN_EACH of either class in hash order, none of more than TRAIN_WORDS words, and only rows with
+TRAIN_EACH of either class in hash order, none of more than TRAIN_WORDS words or pieces, and only rows with
 crc32(doc_id) mod 5 <> 0. Training alternates between finding the highest windows of the
 sample and descending on them. The vectors start from smoothed log-odds of their bucket in
 the sample, less 1.5 standard errors. Label, language, source and id are never inputs.
@@ -38,12 +39,22 @@ BUCKETS, WIDTH, HIDDEN = 131_072, 8, 8
 TRAIN_EACH, TRAIN_WORDS = 2_500, 1_500
 EPOCHS, STEPS, BATCH, RATE, SEED = 5, 120, 256, 0.01, 5  # at least so many epochs and steps
 REMEMBER = 200_000  # words whose projections a task keeps
+PIECE = 64  # letters of a run that enter as one word
+PART = 4_096  # words whose n-grams are held at a time
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORDS.findall(text.lower()) if isinstance(text, str) else []
+    words = _WORDS.findall(text.lower()) if isinstance(text, str) else []
+    if max(map(len, words), default=0) > PIECE:
+        words = [p for w in words for p in pieces(w)]
+    return words
+
+
+def pieces(word: str) -> list[str]:
+    """Overlapping pieces that cover a long word; any half a piece of it is whole in one of them."""
+    return [word] if len(word) <= PIECE else [word[a:a + PIECE] for a in range(0, len(word) - PIECE // 2, PIECE // 2)]
 
 
 _MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09], dtype=np.uint64)
@@ -52,7 +63,7 @@ _MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD
 def char_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, word) of the n-grams of 3 to 5 bytes of the words with edge marks and of
     their first 6 to 8 bytes, by word."""
-    blobs = [b"<" + w[:64].encode("utf-8", "surrogatepass") + b">" for w in words]
+    blobs = [b"<" + w.encode("utf-8", "surrogatepass") + b">" for w in words]
     sizes = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs))
     raw = np.frombuffer(b"".join(blobs), dtype=np.uint8).astype(np.uint64)
     owner = np.repeat(np.arange(len(blobs)), sizes)
@@ -95,9 +106,10 @@ class WordTable:
         get = self.index.__getitem__
         return [np.fromiter(map(get, w), dtype=np.int64, count=len(w)) for w in split]
 
-    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word buckets, character buckets, word of each of those) of the fresh words."""
-        new, self.fresh = self.fresh, []
+    def flat(self, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word buckets, character buckets, word of each of those) of the fresh words, or the first of them."""
+        most = len(self.fresh) if most is None else most
+        new, self.fresh = self.fresh[:most], self.fresh[most:]
         return (np.fromiter(map(word_bucket, new), dtype=np.int64, count=len(new)), *char_buckets(new))
 
 
@@ -349,8 +361,11 @@ class Scorer:
         if len(self.table.index) > REMEMBER:
             self.table, self.gates = WordTable(), np.zeros((0, 2, 3 * HIDDEN), np.float32)
         rows = self.table.rows(texts)
-        if self.table.fresh:
-            self.gates = np.concatenate([self.gates, self.net.project(self.net.inputs(*self.table.flat()))])
+        new = []
+        while self.table.fresh:
+            new.append(self.net.project(self.net.inputs(*self.table.flat(PART))))
+        if new:
+            self.gates = np.concatenate([self.gates, *new])
         best = scores_of(self.net, self.gates, rows)[0].astype(np.float64)
         return np.where(np.isfinite(best), 1 / (1 + np.exp(-np.clip(best, -40, 40))), self.net.base)
 
@@ -365,7 +380,10 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
     parts = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_EACH) for y in (0, 1)]
     ids = parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic"))
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).where(F.size(F.split("text", r"\s+")) <= TRAIN_WORDS)
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(4 * TRAIN_EACH).select("text", F.col("__toxic").alias("toxic")).toPandas()
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(4 * TRAIN_EACH)
+    # long runs count by their pieces; after the limit, so that only the sample is looked at
+    rows = rows.where(F.expr(rf"aggregate(regexp_extract_all(text, '\\p{{L}}{{{PIECE + 1},}}', 0), cast(size(split(text, '\\s+')) as bigint), (n, w) -> n + length(w) div {PIECE // 2})") <= TRAIN_WORDS)
+    return rows.select("text", F.col("__toxic").alias("toxic")).toPandas()
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
