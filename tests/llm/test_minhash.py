@@ -109,3 +109,13 @@ def test_components_of_a_graph(shipped, monkeypatch, finish):
     got = {r["node"]: r["root"] for r in common.components(df).collect()}
     assert got == {**{k: 100 for k in range(100, 131)}, **{k: 400 for k in [*range(400, 440), 500]}, 6: 6, 7: 6}
     assert common.components(df.limit(0)).count() == 0
+
+
+def test_every_class_of_a_split_bucket_is_listed(shipped, monkeypatch):
+    monkeypatch.setattr(minhash, "HOT", 8)
+    rng = random.Random(12)
+    rows = [(k, 50, [rng.getrandbits(63) for _ in range(4)], [7]) for k in range(40)]
+    rows += [(100 + k, 50, rows[k][2], [7]) for k in range(20)]
+    classes = shipped.createDataFrame(rows, "node long, n int, bits array<long>, bands array<long>")
+    listed = minhash.candidate_pairs(classes, 80).where("key = 7").collect()
+    assert {r["a"] for r in listed} == {r[0] for r in rows}

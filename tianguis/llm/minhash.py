@@ -301,7 +301,8 @@ def _pair_frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def candidate_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """(key, a, b, differ): class a is near leader b of bucket key."""
+    """(key, a, b, differ): class a is near leader b of bucket key. Leaders of the parts of a split
+    bucket are listed too, without b: they met no class of another part that is not a leader."""
     bands = classes.select(F.explode("bands").alias("key"), "node", "n", "bits")
     hot = materialise(bands.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > HOT), "mh-hot")
     if hot.isEmpty():
@@ -311,7 +312,7 @@ def candidate_pairs(classes: DataFrame, percent: int) -> DataFrame:
     first = materialise(bucket_pairs(salted, percent, True), "mh-split")
     again = first.where("b is null").select("key", F.lit(0).alias("salt"), F.col("a").alias("node"), "n", "bits")
     second = bucket_pairs(again, percent, False).select("key", "a", "b", "differ")
-    return materialise(first.where("b is not null").select("key", "a", "b", "differ").unionByName(second), "mh-pairs")
+    return materialise(first.select("key", "a", "b", "differ").unionByName(second), "mh-pairs")
 
 
 def _rooted(df: DataFrame, roots: DataFrame | None, column: str, name: str) -> DataFrame:
@@ -330,9 +331,9 @@ def linked_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame
             F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.min("text_key").alias("text_key")), "mh-classes")
     near = candidate_pairs(classes, percent)
     best = Window.partitionBy("a").orderBy("differ", "b")
-    pairs = materialise(near.groupBy("a", "b").agg(F.min("differ").alias("differ"))
+    pairs = materialise(near.where("b is not null").groupBy("a", "b").agg(F.min("differ").alias("differ"))
                         .withColumn("place", F.row_number().over(best)).select("a", "b", "place"), "mh-ranked")
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    need = near.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = materialise(classes.select("node", "text_key").join(need, "node"), "mh-wanted")
     sets = materialise(full_sets(docs, width, wanted.select("text_key")).join(wanted.select("node"), "node")
                        .groupBy("node").agg(F.first("hashes").alias("hashes")), "mh-sets")
@@ -350,7 +351,8 @@ def linked_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame
 
 
 def _between_members(inner: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links between classes of a bucket that are not leaders and lie in different components."""
+    """Links between classes of a bucket that are not leaders, or lead a part of a split
+    bucket, and lie in different components."""
     placed = materialise(_rooted(inner.select("key", "node"), roots, "node", "root"), "mh-placed")
     by_root = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
     main = materialise(by_root.groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("roots"))
