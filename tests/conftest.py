@@ -1,9 +1,7 @@
 from __future__ import annotations
 
-import datetime as dt
 import os
 import sys
-from decimal import Decimal
 
 import pytest
 
@@ -14,9 +12,6 @@ from tianguis.session import local_session  # noqa: E402
 from tianguis.sources import schemas as S  # noqa: E402
 from tianguis.sources.tables import Tables  # noqa: E402
 
-SF_SMALL = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(scope="session")
 def spark():
     s = local_session(cores="*", shuffle_partitions=8, app="tianguis-tests")
@@ -24,14 +19,6 @@ def spark():
     s.stop()
 
 
-def ts(s: str | None):
-    return None if s is None else dt.datetime.fromisoformat(s)
-
-
-def money(x) -> Decimal | None:
-    return None if x is None else Decimal(str(x))
-
-
 @pytest.fixture()
 def make_tables(spark):
     """Build a ``Tables`` bundle from row lists (missing tables are empty)."""

@@ -8,7 +8,7 @@ from decimal import Decimal
 
 import pytest
 
-from conftest import money, ts
+from tests_support import money, ts
 from tianguis.functions.exprs import NO_SELLER, SINGLE_SELLER, SPLIT_SHIPMENT
 from tianguis.plans import eda, findings, measures, star
 

@@ -6,7 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from conftest import ts
+from tests_support import ts
 from tianguis.functions import exprs as X
 
 

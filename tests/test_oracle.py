@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_mod
-from conftest import SF_SMALL
+from tests_support import SF_SMALL
 from tianguis import registry
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",

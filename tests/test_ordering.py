@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF_SMALL
+from tests_support import SF_SMALL
 
 from tianguis.registry import builders, tables_for
 

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from tests_support import SF_SMALL
 from tianguis.functions.exprs import ratio
 from tianguis.plans import eda, measures, star
 from tianguis.registry import tables_for

@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from conftest import SF_SMALL
+from tests_support import SF_SMALL
 from tianguis.plans import findings, star
 from tianguis.registry import tables_for
 

@@ -1,8 +1,19 @@
-"""Small shared fixtures for tests that need a minimal but complete model."""
+"""What several test modules share: the small tables' path, literals, a minimal complete model."""
 
 from __future__ import annotations
 
-from conftest import money, ts
+import datetime as dt
+from decimal import Decimal
+
+SF_SMALL = "/root/testdata/sf0.001"
+
+
+def ts(s: str | None):
+    return None if s is None else dt.datetime.fromisoformat(s)
+
+
+def money(x) -> Decimal | None:
+    return None if x is None else Decimal(str(x))
 
 
 def tiny_tables(make_tables):
