@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licences, masked_lm, minhash, order, pii, pq, quality, toxicity
+from . import bpe, decontaminate, divergence, importance, licences, masked_lm, minhash, order, pii, pq, quality, toxicity
 from .common import read_table
 
 
@@ -72,6 +72,16 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=2).drop("text_key")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and draw of every whole text, by nearness to the benchmark's texts."""
+    return importance.resampled(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of all sources of each language, and the terms that set them apart."""
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over documents."""
     import corpus_pipeline  # at the repository top; it imports this module
@@ -90,9 +100,13 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
     "op10_minhash": op10_minhash,
+    "op11_importance": op11_importance,
+    "op13_divergence": op13_divergence,
     "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_licences": licences.oracle(),
+    "op11_importance": importance.oracle(),
+    "op13_divergence": divergence.oracle(),
 }
