@@ -77,7 +77,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def hand_on():
         rows = [(lang, source, t.decode("utf-8", "replace"), n, docs[lang, source][t]) for (lang, source), c in held.items() for t, n in c.items()]
-        return pd.DataFrame(rows, columns=["lang", "source", "term", "n", "docs"])
+        return pd.DataFrame(rows, columns=["lang", "source", "term", "n", "docs"]).astype({c: object for c in ("lang", "source", "term")})
 
     for batch in batches:
         for lang, source, text in zip(batch["lang"], batch["source"], batch["text"]):
@@ -209,7 +209,9 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, best: int = BEST) -> Da
         n, of = len(left), int(left["slices"].iloc[0])
         rows = range(n * part // of, n * (part + 1) // of)
         out = list(_block(left, right, lang, block, rows, best))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang": [], "source": [], "part": [], "item": [], "value": []})
+        if not out:
+            return pd.DataFrame({c: [] for c in ("lang", "source", "part", "item", "value")})
+        return pd.concat(out, ignore_index=True).astype({c: object for c in ("lang", "source", "part", "item")})
 
     found = peers.groupBy("lang", "block", "slice").cogroup(dealt.groupBy("lang", "block", "slice")).applyInPandas(
         work, "lang string, source string, part string, item string, value long")
