@@ -208,10 +208,9 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, best: int = BEST) -> Da
         lang, block, part = key
         n, of = len(left), int(left["slices"].iloc[0])
         rows = range(n * part // of, n * (part + 1) // of)
-        out = list(_block(left, right, lang, block, rows, best))
-        if not out:
-            return pd.DataFrame({c: [] for c in ("lang", "source", "part", "item", "value")})
-        return pd.concat(out, ignore_index=True).astype({c: object for c in ("lang", "source", "part", "item")})
+        nothing = pd.DataFrame({"lang": [], "source": [], "part": [], "item": [], "value": np.zeros(0, dtype=np.int64)})
+        out = pd.concat([nothing, *_block(left, right, lang, block, rows, best)], ignore_index=True)
+        return out.astype({c: object for c in ("lang", "source", "part", "item")} | {"value": np.int64})
 
     found = peers.groupBy("lang", "block", "slice").cogroup(dealt.groupBy("lang", "block", "slice")).applyInPandas(
         work, "lang string, source string, part string, item string, value long")
