@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, divergence, importance, licences, masked_lm, minhash, order, pii, pq, quality, toxicity
+from . import bpe, decontaminate, divergence, importance, licences, masked_lm, minhash, order, pii, pq, quality, suffixes, toxicity
 from .common import read_table
 
 
@@ -77,6 +77,11 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resampled(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every whole text that a repeated string of 200 bytes covers, as digests of the rest."""
+    return suffixes.deduplicated(read_table(spark, sf_dir, "documents")).drop("text_key", "spans", "kept")
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances of all sources of each language, and the terms that set them apart."""
     return divergence.audit(read_table(spark, sf_dir, "documents"))
@@ -101,6 +106,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_minhash": op10_minhash,
     "op11_importance": op11_importance,
+    "op12_suffixes": op12_suffixes,
     "op13_divergence": op13_divergence,
     "pipeline": pipeline,
 }
@@ -108,5 +114,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op7_licences": licences.oracle(),
     "op11_importance": importance.oracle(),
+    "op12_suffixes": suffixes.oracle(),
     "op13_divergence": divergence.oracle(),
 }
