@@ -236,10 +236,11 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10)
     noise = F.floor(F.lit(-1000.0) * F.log(-F.log((h.cast("double") + 0.5) / 4294967296.0)))
     order = [(F.col("n_words") < least_words).asc(), F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("text_key").asc()]
-    scored = (w.withColumnsRenamed({"__words": "n_words", "__features": "n_features", "__weight": "weight"})
-              .withColumn("score", F.col("weight") + noise))
+    # written first: finding the ranges reads the rows once more
+    scored = materialise(w.withColumnsRenamed({"__words": "n_words", "__features": "n_features", "__weight": "weight"})
+                         .withColumn("score", F.col("weight") + noise), "importance-weights")
     # the range a row fell in is written with it, so that a lost task cannot change it
-    laid = materialise(scored.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "importance-scores")
+    laid = materialise(scored.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "importance-ranges")
     parts = laid.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_words") >= least_words).alias("fit"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     parts = parts.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"),
