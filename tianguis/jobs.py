@@ -3,9 +3,9 @@
     spark-submit -m tianguis.jobs --landing s3://bucket/landing/2026-12-03 --out s3://bucket/out
     python -m tianguis.jobs --sf-dir /root/testdata/sf0.01 --out /tmp/run-x --reports q01_orders_by_status
 
-Every output is a Parquet folder written in overwrite mode, so re-running the
-job (or a retried stage after an executor loss) converges to the same result.
-Nothing is collected to the driver.
+Reports are Parquet folders written in overwrite mode, so re-running the job (or a
+retried stage after an executor loss) converges to the same result; the mart gets a new
+version (``--months`` refreshes only these purchase months), which readers see when it is whole.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import SparkSession
 
 from .operators.quality import domain_report, fk_report, pk_report, row_counts
 from .registry import builders
+from .sources import mart as mart_store
 from .sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS, VARCHAR_LIMITS
-from .sources.sinks import publish_mart, write_mart
 from .sources.tables import Tables
 
 
@@ -42,8 +42,8 @@ def write_reports(t: Tables, out: str, names: list[str] | None = None) -> list[s
 
 
 def run(spark: SparkSession, out: str, landing: str | None = None, sf_dir: str | None = None,
-        reports: list[str] | None = None, mart: bool = True,
-        publish: str | None = None) -> None:
+        reports: list[str] | None = None, mart: bool = True, publish: str | None = None,
+        months: list[tuple[int, int]] | None = None) -> None:
     if landing:
         from .sources.csv_ingest import load_landing
         land = load_landing(spark, landing, staging=os.path.join(out, "staging"))
@@ -57,10 +57,10 @@ def run(spark: SparkSession, out: str, landing: str | None = None, sf_dir: str |
         raise ValueError("give --landing or --sf-dir")
     write_quality(t, out)
     if mart:
-        paths = write_mart(spark, t, root=os.path.join(out, "mart"))
+        root = os.path.join(out, "mart")
+        version = mart_store.publish(spark, t, root=root, months=months)
         if publish:
-            publish_mart(spark, paths, database=publish,
-                         location=os.path.join(out, f"{publish}.db"))
+            mart_store.register(spark, root, database=publish, version=version)
     write_reports(t, out, reports)
 
 
@@ -73,11 +73,13 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--reports", nargs="*", help="report names (default: all)")
     ap.add_argument("--no-mart", action="store_true")
     ap.add_argument("--publish", metavar="DATABASE",
-                    help="register the mart as external tables in this catalog database")
+                    help="point views of this catalog database at the new version of the mart")
+    ap.add_argument("--months", nargs="*", metavar="YYYY-MM",
+                    help="refresh only these purchase months of the mart (0000-00: orders without a date)")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName("tianguis").getOrCreate()
     run(spark, a.out, landing=a.landing, sf_dir=a.sf_dir, reports=a.reports, mart=not a.no_mart,
-        publish=a.publish)
+        publish=a.publish, months=[tuple(map(int, m.split("-"))) for m in a.months] if a.months else None)
 
 
 if __name__ == "__main__":

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from .plans.dashboard import DASHBOARD
 from .plans.eda import EDA
+from .plans.mart_reports import MART_REPORTS
 from .plans.measures import MEASURES
 from .plans.quality_reports import MODEL_REPORTS, RAW_REPORTS
 from .plans.findings import FINDINGS
@@ -91,7 +92,7 @@ def builders() -> dict[str, Callable[[Tables], DataFrame]]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _table_query(b) for name, b in builders().items()}
-    for name, fn in RAW_REPORTS.items():
+    for name, fn in (RAW_REPORTS | MART_REPORTS).items():
         out[name] = _raw_query(fn)
     return out
 

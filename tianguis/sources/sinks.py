@@ -1,81 +1,10 @@
-"""Sinks: CSV export (S4) and the published star-schema mart (S8).
-
-The mart is written once and then read by every report: facts are
-partitioned by purchase year/month (time filters prune directories) and
-sorted by ``order_id`` inside each file, so order-grain aggregates and
-fact-to-order joins read clustered data and Parquet min/max statistics skip
-row groups on ``order_id`` lookups. Writes use overwrite
-mode into the shared folder named by ``spark.checkpoint.dir`` unless a path is
-given, so a retried job (e.g. after an executor loss) simply rewrites them.
-"""
+"""Sinks: CSV export (S4). The published star-schema mart (S8) is in ``sources.mart``."""
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..plans.star import STAR_BUILDERS
-from ..session import shared_dir
-from .tables import Tables
-
-FACTS = ("fact_order_items", "fact_order_payments", "fact_order_reviews")
+from pyspark.sql import DataFrame
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Header CSV, one directory of part files (what ``to_csv(index=False)`` produced)."""
     df.write.mode(mode).option("header", True).option("encoding", "UTF-8").csv(path)
-
-
-def write_mart(spark: SparkSession, t: Tables, root: str | None = None,
-               partitions: int | None = None) -> dict[str, str]:
-    """Materialise dimensions and facts as Parquet; returns name -> path.
-
-    Facts are range-partitioned on (purchase year, month, order_id): every task
-    receives one contiguous slice, so a month larger than a task is split over
-    several tasks, each task writes files for only one or two months (file count
-    ~ tasks + months, not tasks x months), and rows inside a file are sorted by
-    ``order_id``. ``partitions`` defaults to ``spark.sql.shuffle.partitions``.
-    """
-    root = root or shared_dir(spark, "mart")
-    keys = ["purchase_year", "purchase_month", "order_id"]
-    paths = {}
-    for name, build in STAR_BUILDERS.items():
-        df = build(t)
-        path = os.path.join(root, name)
-        if name in FACTS:
-            w = df.withColumns({"purchase_year": F.year("purchase_date"),
-                                "purchase_month": F.month("purchase_date")})
-            w = (w.repartitionByRange(partitions, *keys) if partitions
-                 else w.repartitionByRange(*keys)).sortWithinPartitions(*keys)
-            w.write.mode("overwrite").partitionBy("purchase_year", "purchase_month").parquet(path)
-        else:
-            df.write.mode("overwrite").parquet(path)
-        paths[name] = path
-    return paths
-
-
-def read_mart(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(p) for name, p in paths.items()}
-
-
-def publish_mart(spark: SparkSession, paths: dict[str, str], database: str = "analytics",
-                 location: str | None = None) -> list[str]:
-    """Register the written mart as external Parquet tables ``database.name``.
-
-    The database lives in the shared folder (never a machine-local warehouse
-    directory); partitioned facts get their year/month partitions recovered so
-    that partition pruning works through the catalog.
-    """
-    location = location or shared_dir(spark, f"{database}.db")
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{location}'")
-    names = []
-    for name, path in paths.items():
-        full = f"`{database}`.`{name}`"
-        spark.sql(f"DROP TABLE IF EXISTS {full}")  # external: the files stay
-        spark.catalog.createTable(f"{database}.{name}", path=path, source="parquet")
-        if name in FACTS:
-            spark.catalog.recoverPartitions(f"{database}.{name}")
-        names.append(f"{database}.{name}")
-    return names
