@@ -5,7 +5,16 @@ from __future__ import annotations
 from ..plans.mart_reports import SLICER_DAYS
 from .sql import big, dbl, xr
 
+_PERIOD = "year(order_purchase_timestamp) AS anio, quarter(order_purchase_timestamp) AS trimestre, month(order_purchase_timestamp) AS mes"
+
 MART_SQL = {
+    "a3_distinct_by_period": f"""
+WITH p AS (SELECT order_id, customer_unique_id, {_PERIOD} FROM a_orders LEFT JOIN a_customers USING (customer_id))
+SELECT 'mes' AS nivel, anio, trimestre, mes, count(DISTINCT customer_unique_id) AS clientes, count(DISTINCT order_id) AS pedidos FROM p GROUP BY ALL
+UNION ALL
+SELECT 'trimestre', anio, trimestre, NULL, count(DISTINCT customer_unique_id), count(DISTINCT order_id) FROM p GROUP BY ALL
+UNION ALL
+SELECT 'anio', anio, NULL, NULL, count(DISTINCT customer_unique_id), count(DISTINCT order_id) FROM p GROUP BY ALL""",
     "s8_mart_rows_by_month": f"""
 SELECT year(order_purchase_timestamp) AS anio, month(order_purchase_timestamp) AS mes, COUNT(*) AS filas,
        COUNT(order_item_id) AS items, {dbl('SUM(price)')} AS ingreso

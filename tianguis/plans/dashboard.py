@@ -1,10 +1,7 @@
 """Dashboard datasets V1-V17: one DataFrame per visual.
 
-KPI strips are returned in long format (``kpi``, ``valor``). Each strip is
-computed in one pass - the child tables are collapsed to order grain, joined
-1:1 to the orders on the shared ``order_id`` partitioning, and reduced by one
-global aggregate whose columns are then exploded into rows - so a strip scans
-each table once and no single-row frames are ever cross-joined.
+KPI strips are returned in long format (``kpi``, ``valor``), each from one aggregate
+of the measure algebra (``plans.algebra``): a strip scans each table once.
 """
 
 from __future__ import annotations
@@ -14,10 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (CREDIT_CARD, DELIVERED, INSTALLMENT_RANGES, NEGATIVE_SCORE_MAX,
-                               ratio, share_pct, yes_no)
+from ..functions.exprs import (DELIVERED, INSTALLMENT_RANGES, NEGATIVE_SCORE_MAX, ratio,
+                               share_pct, yes_no)
 from ..sources.tables import Tables
-from .common import item_totals_by_order, order_logistics, purchase_month, review_stats_by_order
+from .algebra import kpi_strip
+from .common import order_logistics, purchase_month, review_stats_by_order
 from .findings import (b1_score_by_category, b4_revenue_by_category, h3_transit_days_by_lateness,
                        h4_sellers_by_late_rate, h5_ticket_by_installments, order_mean_score)
 from .star import dim_customer, dim_seller
@@ -27,41 +25,10 @@ STAGE_SELLER = "Vendedor → Courier"
 STAGE_COURIER = "Courier → Cliente"
 
 
-def kpi_rows(agg: DataFrame, items: Sequence[tuple[str, str]]) -> DataFrame:
-    """Long format of a one-row aggregate: one (kpi, valor) row per column."""
-    return agg.select(F.explode(F.array(*[
-        F.struct(F.lit(label).alias("kpi"), F.col(c).cast("decimal(38,6)").alias("valor"))
-        for label, c in items])).alias("k")).select("k.*")
-
-
 def v01_kpis_overview(t: Tables) -> DataFrame:
-    """M6-M10 and M1 in one pass: orders LEFT JOIN per-order item totals and
-    per-order review stats (both 1:1 on the already-partitioned order_id),
-    then a single global aggregate."""
-    items = item_totals_by_order(t).select("order_id", "n_items", "sum_price")
-    reviews = review_stats_by_order(t).select("order_id", "sum_score", "n_scored")
-    j = (t.orders.select("order_id", "order_status")
-         .join(items, "order_id", "left").join(reviews, "order_id", "left"))
-    mean = ratio("sum_score", "n_scored", 6)  # per-order mean, NULL when unscored
-    scored = F.coalesce(F.col("n_scored") > 0, F.lit(False))
-    low = scored & (F.col("sum_score") <= F.col("n_scored") * NEGATIVE_SCORE_MAX)
-    a = j.agg(
-        F.sum("sum_price").alias("total_ingresos"),
-        F.count_distinct("order_id").alias("total_pedidos"),
-        F.count_distinct(F.when(F.col("n_items").isNotNull(), F.col("order_id"))).alias("_ci"),
-        F.sum(mean).alias("_ms"), F.count(mean).alias("_mn"),
-        F.count_if(low).alias("_low"), F.count_if(scored).alias("_scored"),
-        F.count_if(F.col("order_status") == DELIVERED).alias("_del"),
-        F.count(F.lit(1)).alias("_all"))
-    a = a.select(
-        "total_ingresos", "total_pedidos",
-        ratio("total_ingresos", "_ci", 2, num_scale=2).alias("ticket_promedio"),
-        ratio("_ms", "_mn", 2, num_scale=6).alias("score_promedio"),
-        share_pct("_low", "_scored").alias("tasa_insatisfaccion"),
-        share_pct("_del", "_all").alias("tasa_entrega"))
-    return kpi_rows(a, [(c, c) for c in ("total_ingresos", "total_pedidos", "ticket_promedio",
-                                         "score_promedio", "tasa_insatisfaccion",
-                                         "tasa_entrega")])
+    """M6-M10 and M1: six measures of the algebra from one aggregate at order grain."""
+    return kpi_strip(t, ["total_ingresos", "total_pedidos", "ticket_promedio", "score_promedio",
+                         "tasa_insatisfaccion", "tasa_entrega"])
 
 
 def v02_monthly_revenue(t: Tables) -> DataFrame:
@@ -142,23 +109,8 @@ def v08_category_detail(t: Tables) -> DataFrame:
 
 def v09_kpis_logistics(t: Tables) -> DataFrame:
     """M11 and M2 in one pass over the orders."""
-    o = order_logistics(t)
-
-    def avg(c, cond=None):
-        x = c if cond is None else f"CASE WHEN {cond} THEN {c} END"
-        return ratio(f"sum({x})", f"count({x})", 2)
-
-    late_n = F.count_distinct(F.when(F.col("late"), F.col("order_id")))
-    deliv_n = F.count_distinct(F.when(F.col("delivery_days").isNotNull(), F.col("order_id")))
-    a = o.agg(
-        avg("seller_to_courier_delivery_days").alias("dias_vendedor_courier"),
-        avg("courier_to_customer_delivery_days").alias("dias_courier_cliente"),
-        avg("delivery_days").alias("dias_entrega"),
-        avg("delay_days", "late").alias("dias_retraso"),
-        F.coalesce(share_pct(late_n, deliv_n), F.lit(0).cast("decimal(38,2)"))
-        .alias("tasa_retraso"))
-    return kpi_rows(a, [(c, c) for c in ("dias_vendedor_courier", "dias_courier_cliente",
-                                         "dias_entrega", "dias_retraso", "tasa_retraso")])
+    return kpi_strip(t, ["dias_vendedor_courier", "dias_courier_cliente", "dias_entrega",
+                         "dias_retraso", "tasa_retraso"])
 
 
 def v10_transit_stages(t: Tables) -> DataFrame:
@@ -192,33 +144,9 @@ def v12_worst_sellers(t: Tables) -> DataFrame:
 
 
 def v13_kpis_payments(t: Tables) -> DataFrame:
-    """M12, M3 and the credit-card share of payment rows in one pass: payments
-    collapsed per order, flagged by the existence of the order, one aggregate."""
-    p = t.order_payments
-    cc = F.col("payment_type") == CREDIT_CARD
-    per = p.groupBy("order_id").agg(
-        F.sum("payment_value").alias("pv"),
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(cc).alias("cc_rows"),
-        F.sum(F.when(cc, F.col("payment_installments") * F.col("payment_value"))).alias("cc_w"),
-        F.sum(F.when(cc, F.col("payment_value"))).alias("cc_v"))
-    known = t.orders.select("order_id", F.lit(True).alias("_o"))
-    j = per.join(known, "order_id", "left")
-    o = F.coalesce(F.col("_o"), F.lit(False))
-    has_cc = o & (F.col("cc_rows") > 0)
-    cuotas = F.coalesce(ratio("cc_w", "cc_v", 6, num_scale=2, den_scale=2),
-                        F.lit(0).cast("decimal(38,6)"))
-    a = j.agg(
-        F.sum(F.when(o, F.col("pv"))).alias("total_pagado"),
-        F.count_if(o).alias("_paid"),
-        F.sum(F.when(has_cc, cuotas)).alias("_cs"), F.count_if(has_cc).alias("_cn"),
-        F.sum("cc_rows").alias("_cc"), F.sum("n_rows").alias("_rows"))
-    a = a.select("total_pagado",
-                 ratio("_cs", "_cn", 2, num_scale=6).alias("cuotas_promedio"),
-                 ratio("total_pagado", "_paid", 2, num_scale=2).alias("pago_promedio"),
-                 share_pct("_cc", "_rows").alias("participacion_tarjeta"))
-    return kpi_rows(a, [(c, c) for c in ("total_pagado", "cuotas_promedio", "pago_promedio",
-                                         "participacion_tarjeta")])
+    """M12, M3 and the credit-card share of payment rows (those without an order
+    included) from one pass over the payments at order grain."""
+    return kpi_strip(t, ["total_pagado", "cuotas_promedio", "pago_promedio", "participacion_tarjeta"])
 
 
 def v14_payment_donut(t: Tables) -> DataFrame:

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from ..functions.exprs import (CREDIT_CARD, DELIVERED, NEGATIVE_SCORE_MAX, dec, ratio,
                                share_pct)
 from ..sources.tables import Tables, shared_plan
+from .algebra import evaluate, previous_month, timeline, year_to_date
 from .common import order_logistics, review_stats_by_order
-from .findings import h3_transit_days_by_lateness, order_mean_score
+from .findings import order_mean_score
 from .star import dim_calendar
 
 
@@ -93,24 +94,31 @@ def monthly_revenue_calendar(t: Tables) -> DataFrame:
     return months.join(rev, ["anio", "mes"], "left")
 
 
-def m04_mom_growth(t: Tables) -> DataFrame:
+def m04_mom_growth(t: Tables, by: Sequence[str] | None = None) -> DataFrame:
     """(current - previous calendar month) / previous, 0 when the previous month
-    is blank or zero; a blank current month counts as 0."""
-    m = monthly_revenue_calendar(t)
-    prev = F.lag("ingreso").over(Window.orderBy("anio", "mes"))
-    m = m.withColumn("ingreso_mes_anterior", prev)
+    is blank or zero; a blank current month counts as 0. ``by`` names axes of the
+    algebra (e.g. ``["estado"]``): each of their values has its own gap-free months."""
+    by = list(by or [])
+    m = _revenue_months(t, by)
+    m = previous_month(m, "ingreso", by, "ingreso_mes_anterior")
     cur0 = F.coalesce(F.col("ingreso"), F.lit(0))
     growth = ratio(cur0 - F.col("ingreso_mes_anterior"), "ingreso_mes_anterior", 4,
                    num_scale=2, den_scale=2)
-    return m.select("anio", "mes", "ingreso", "ingreso_mes_anterior",
+    return m.select(*by, "anio", "mes", "ingreso", "ingreso_mes_anterior",
                     F.coalesce(growth, F.lit(0).cast(dec(38, 4))).alias("crecimiento_mom"))
 
 
-def m05_revenue_ytd(t: Tables) -> DataFrame:
-    """Calendar-year running revenue; months without sales carry the total forward."""
-    m = monthly_revenue_calendar(t)
-    w = Window.partitionBy("anio").orderBy("mes").rowsBetween(Window.unboundedPreceding, 0)
-    return m.select("anio", "mes", "ingreso", F.sum("ingreso").over(w).alias("ingreso_acumulado_ytd"))
+def m05_revenue_ytd(t: Tables, by: Sequence[str] | None = None) -> DataFrame:
+    """Calendar-year running revenue; months without sales carry the total forward.
+    ``by`` as in ``m04_mom_growth``."""
+    by = list(by or [])
+    return year_to_date(_revenue_months(t, by), "ingreso", by, "ingreso_acumulado_ytd")
+
+
+def _revenue_months(t: Tables, by: list[str]) -> DataFrame:
+    if not by:
+        return monthly_revenue_calendar(t)
+    return timeline(t, "total_ingresos", by).withColumnRenamed("total_ingresos", "ingreso")
 
 
 def m06_total_revenue(t: Tables, by: Slicer = None) -> DataFrame:
@@ -175,13 +183,21 @@ def m12_payments(t: Tables, by: Slicer = None) -> DataFrame:
     return g.withColumn("pago_promedio", ratio("total_pagado", "ordenes_pagadas", 2, num_scale=2))
 
 
-def m13_courier_share_late(t: Tables) -> DataFrame:
-    """Courier share (%) of the late orders' transit time, from the H3 averages."""
-    h = h3_transit_days_by_lateness(t).where(F.col("is_late") == "Sí")
-    s, c = F.col("avg_seller_to_courier"), F.col("avg_courier_to_customer")
-    return h.select(s.alias("dias_vendedor_courier"), c.alias("dias_courier_cliente"),
-                    (s + c).alias("dias_totales"),
-                    share_pct(c, s + c, 2, num_scale=2, den_scale=2).alias("participacion_courier"))
+def m13_courier_share_late(t: Tables, by: Slicer = None) -> DataFrame:
+    """Courier share (%) of the late orders' transit time, from the H3 averages
+    (delivered orders); ``by`` as in every measure."""
+    o = order_logistics(t).where((F.col("order_status") == DELIVERED) & F.col("late"))
+
+    def avg(c):
+        return ratio(f"sum({c})", f"count({c})", 2)
+
+    g = _measure(o.select("order_id", "seller_to_courier_delivery_days", "courier_to_customer_delivery_days"), t, by,
+                 avg("seller_to_courier_delivery_days").alias("dias_vendedor_courier"),
+                 avg("courier_to_customer_delivery_days").alias("dias_courier_cliente"),
+                 F.count(F.lit(1)).alias("_n"), orders_only=False).where("_n > 0").drop("_n")
+    s, c = F.col("dias_vendedor_courier"), F.col("dias_courier_cliente")
+    return g.withColumns({"dias_totales": s + c,
+                          "participacion_courier": share_pct(c, s + c, 2, num_scale=2, den_scale=2)})
 
 
 def m14_group_gaps(t: Tables) -> DataFrame:
@@ -202,12 +218,39 @@ def m14_group_gaps(t: Tables) -> DataFrame:
                     (F.col("score_promedio") - base).alias("diferencia"))
 
 
-def m15_commission(t: Tables, rate: Decimal = Decimal("0.10")) -> DataFrame:
+def m15_commission(t: Tables, rate: Decimal = Decimal("0.10"), by: Slicer = None) -> DataFrame:
     """What-if: platform commission = total item revenue x rate."""
     r = F.lit(rate).cast(dec(5, 4))
-    return m06_total_revenue(t).select(
-        "total_ingresos", r.alias("tasa_comision"),
-        (F.col("total_ingresos") * r).alias("comision"))
+    return m06_total_revenue(t, by).withColumns(
+        {"tasa_comision": r, "comision": F.col("total_ingresos") * r})
+
+
+# The registered instance of the algebra.
+OVERVIEW = ["total_ingresos", "total_pedidos", "ticket_promedio", "score_promedio", "tasa_insatisfaccion", "tasa_entrega"]
+OVERVIEW_SETS = [["estado", "anio", "mes"], ["estado"], ["anio", "mes"], []]
+
+
+def m_overview_by_state_and_month(t: Tables) -> DataFrame:
+    """Six measures by state and month, by state, by month and in total, from one scan of each table."""
+    return evaluate(t, OVERVIEW, ["estado", "anio", "mes"], OVERVIEW_SETS)
+
+
+def m_logistics_and_payments_by_status(t: Tables) -> DataFrame:
+    """Logistics and payment measures by order status and quarter."""
+    return evaluate(t, ["tasa_retraso", "dias_entrega", "dias_retraso", "total_pagado", "pago_promedio", "cuotas_promedio"],
+                    ["estado_de_orden", "anio", "trimestre"], [["estado_de_orden", "anio", "trimestre"], ["anio"]])
+
+
+def m04_mom_growth_by_state(t: Tables) -> DataFrame:
+    return m04_mom_growth(t, ["estado"])
+
+
+def m05_revenue_ytd_by_state(t: Tables) -> DataFrame:
+    return m05_revenue_ytd(t, ["estado"])
+
+
+def m13_courier_share_by_year(t: Tables) -> DataFrame:
+    return m13_courier_share_late(t, [F.year("order_purchase_timestamp").alias("anio")])
 
 
 MEASURES = {
@@ -226,4 +269,9 @@ MEASURES = {
     "m13_courier_share_late": m13_courier_share_late,
     "m14_group_gaps": m14_group_gaps,
     "m15_commission": m15_commission,
+    "m_overview_by_state_and_month": m_overview_by_state_and_month,
+    "m_logistics_and_payments_by_status": m_logistics_and_payments_by_status,
+    "m04_mom_growth_by_state": m04_mom_growth_by_state,
+    "m05_revenue_ytd_by_state": m05_revenue_ytd_by_state,
+    "m13_courier_share_by_year": m13_courier_share_by_year,
 }
