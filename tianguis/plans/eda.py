@@ -122,22 +122,17 @@ def q08_monthly_delivered_revenue(t: Tables) -> DataFrame:
 def q09_dissatisfied_categories(t: Tables, min_reviews: int = 50) -> DataFrame:
     """Review x item fan-out per category, computed without materialising it.
 
-    A review counts once per item of its order. Per order the review stats are
-    multiplied by the item count of each product, summed per Portuguese
-    category, then FULL OUTER joined to the translation; products without a
+    A review counts once per item of its order. Items meet the review stats of
+    their order (one row each), are summed per product, then per Portuguese category, then FULL OUTER joined to the translation; products without a
     category or translation fall into one NULL group, and translation rows no
     product uses form one-row groups that the HAVING clause cuts.
     """
-    items = t.order_items.groupBy("order_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
-    r = review_stats_by_order(t)
-    per = (r.join(t.orders.select("order_id"), "order_id")
-           .join(items, "order_id"))
-    n = F.col("n")
-    by_product = per.groupBy("product_id").agg(
-        F.sum(n * F.col("n_reviews")).alias("rows"),
-        F.sum(n * F.col("n_scored")).alias("scored"),
-        F.sum(n * F.col("sum_score")).alias("score_sum"),
-        F.sum(n * F.col("n_negative")).alias("neg"))
+    r = review_stats_by_order(t).join(t.orders.select("order_id").distinct(), "order_id", "left_semi")
+    by_product = t.order_items.select("order_id", "product_id").join(r, "order_id").groupBy("product_id").agg(
+        F.sum("n_reviews").alias("rows"),
+        F.sum("n_scored").alias("scored"),
+        F.sum("sum_score").alias("score_sum"),
+        F.sum("n_negative").alias("neg"))
     by_cat = (by_product.join(t.products.select("product_id", "product_category_name"), "product_id")
               .groupBy("product_category_name").agg(
                   *[F.sum(c).alias(c) for c in ("rows", "scored", "score_sum", "neg")]))

@@ -105,12 +105,12 @@ def _translated_products(t: Tables) -> DataFrame:
 
 
 def b1_score_by_category(t: Tables) -> DataFrame:
-    """Order mean score repeated per item, averaged per English category."""
-    items = (t.order_items.groupBy("order_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
-             .join(t.orders.select("order_id"), "order_id"))
-    per = (items.join(order_mean_score(t).where(F.col("avg_review_score").isNotNull()), "order_id")
-           .groupBy("product_id").agg(
-               F.sum(F.col("n") * F.col("avg_review_score")).alias("_s"), F.sum("n").alias("_n"))
+    """Order mean score repeated per item, averaged per English category. Items are shuffled
+    once, by order, and on the left, where a hot order is split; sums per product follow."""
+    scored = (order_mean_score(t).where(F.col("avg_review_score").isNotNull())
+              .join(t.orders.select("order_id").distinct(), "order_id", "left_semi"))
+    per = (t.order_items.select("order_id", "product_id").join(scored, "order_id")
+           .groupBy("product_id").agg(F.sum("avg_review_score").alias("_s"), F.count(F.lit(1)).alias("_n"))
            .join(_translated_products(t), "product_id"))
     g = per.groupBy(F.col("product_category_name_english").alias("categoria")).agg(
         F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
@@ -147,9 +147,9 @@ def b3_late_rate_by_state(t: Tables) -> DataFrame:
 
 def b4_revenue_by_category(t: Tables) -> DataFrame:
     """Item price per English category (no freight, uncategorised dropped)."""
-    per_pair = t.order_items.groupBy("order_id", "product_id").agg(F.sum("price").alias("sp"))
-    per_product = (per_pair.join(t.orders.select("order_id"), "order_id")
-                   .groupBy("product_id").agg(F.sum("sp").alias("sp")))
+    known = t.order_items.select("order_id", "product_id", "price").join(
+        t.orders.select("order_id").distinct(), "order_id", "left_semi")
+    per_product = known.groupBy("product_id").agg(F.sum("price").alias("sp"))
     j = per_product.join(_translated_products(t), "product_id")
     return (j.groupBy(F.col("product_category_name_english").alias("categoria"))
             .agg(F.sum("sp").alias("ingreso")).orderBy(F.desc("ingreso")))
