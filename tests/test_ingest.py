@@ -203,3 +203,48 @@ def test_batch_job_writes_outputs(spark):
     assert spark.read.parquet(os.path.join(out, "quality", "row_counts")).count() == 9  # incl. geolocation
     assert spark.read.parquet(os.path.join(out, "mart", "fact_order_items")).count() == 1
     assert os.path.isdir(os.path.join(out, "quarantine", "sellers"))
+
+
+def test_observed_checks_equal_the_reports(spark):
+    from tianguis.operators.quality import domain_report, expected_counts, numeric_report, row_counts
+    d = _scratch()
+    _landing(d)
+    with open(os.path.join(d, "order_payments.csv"), "a") as f:
+        f.write("o9,1,credit_card,2,1234.56\no9,2,credit_card,two,1.00\no9,3,a_long_kind_of_payment,1,5.00\n")
+    widths = {"order_payments": {"payment_type": 11, "order_id": None}, "customers": {"customer_id": 1, "customer_city": 3}}
+    rules = {"order_payments": {"payment_value": (5, 2), "payment_installments": (1, 0)}, "order_items": {"price": (10, 0)}}
+    land = load_landing(spark, d, staging=_scratch(), widths=widths, rules=rules)
+    t = land.tables.as_dict()
+
+    def rows(df, *cols):
+        return sorted(map(str, df.select(*cols).collect()))
+
+    assert rows(land.checks["row_counts"], "tabla", "registros") == rows(row_counts(t), "tabla", "registros")
+    bad = {r["tabla"]: r["cuarentena"] for r in land.checks["row_counts"].collect()}
+    assert bad["order_payments"] == 1 and all(bad[n] == len(q.collect()) for n, q in land.quarantine.items())
+    cols = domain_report(t, widths).columns
+    assert rows(land.checks["domain_report"], *cols) == rows(domain_report(t, widths), *cols)
+    found = {r["columna"]: r for r in land.checks["numeric_report"].collect()}
+    want = {r["columna"]: r for r in numeric_report(t, rules).collect()}
+    assert found.keys() == want.keys() and all(found[c].asDict() == want[c].asDict() for c in want)
+    assert found["payment_value"]["fuera_de_rango"] == 1
+    rep = {r["tabla"]: r["coincide"] for r in expected_counts(land.checks["row_counts"].select("tabla", "registros"), {"customers": 1, "orders": 99}).collect()}
+    assert not rep["orders"]
+
+
+def test_job_takes_expected_counts_and_months(spark):
+    from tianguis import jobs
+    from tianguis.sources import mart
+    d = _scratch()
+    os.makedirs(os.path.join(d, "landing"))
+    _landing(os.path.join(d, "landing"))
+    out = os.path.join(d, "out")
+    jobs.run(spark, out, landing=os.path.join(d, "landing"), reports=["q02_time_range"], expected={"orders": 1}, publish="tianguis_job")
+    first = mart.manifest(spark, os.path.join(out, "mart"))
+    jobs.run(spark, out, landing=os.path.join(d, "landing"), reports=["q02_time_range"], months=[(1999, 1)], publish="tianguis_job")
+    second = mart.manifest(spark, os.path.join(out, "mart"))
+    assert mart.versions(spark, os.path.join(out, "mart")) == [1, 2]
+    assert {r["path"] for r in first if r["purchase_year"]} == {r["path"] for r in second if r["purchase_year"]}
+    assert spark.read.parquet(os.path.join(out, "quality", "expected_counts")).where("tabla = 'orders'").count() == 1
+    assert spark.read.parquet(os.path.join(out, "quality", "numeric_report")).count() > 5
+    assert spark.table("tianguis_job.fact_order_items").count() == 1

@@ -113,7 +113,11 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def row_count_check(tables: Mapping[str, DataFrame], expected: Mapping[str, int]) -> DataFrame:
     """Row counts next to the expected counts of the load verification box."""
-    counts = row_counts(tables)
+    return expected_counts(row_counts(tables), expected)
+
+
+def expected_counts(counts: DataFrame, expected: Mapping[str, int]) -> DataFrame:
+    """(tabla, registros) of a report or a load next to the expected counts."""
     exp = counts.sparkSession.createDataFrame(
         [(k, int(v)) for k, v in expected.items()], "tabla string, esperado long")
     return (counts.join(exp, "tabla", "full")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..plans.quality_reports import (EXPECTED_COUNTS, LABEL_EDGES, NUMERIC_RULES, RAW_WIDTHS,
+from ..plans.quality_reports import (EXPECTED_COUNTS, LABEL_EDGES, LOAD_RULES, LOAD_WIDTHS,
+                                     NUMERIC_RULES, RAW_WIDTHS, SELLERS_WITH_COMMA,
                                      SLICER_CATEGORY)
 from ..sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS, VARCHAR_LIMITS
 
@@ -86,7 +87,28 @@ def _expected_counts() -> str:
 
 
 # Raw-table reports do not need the model prefix.
+def _load_checks() -> str:
+    """Every observed number by a scan of its own over the base relations."""
+    parts = [f"SELECT '{n}' AS tabla, '{rule}' AS regla, '' AS columna, {value} AS valor FROM {rel}" for n, rel in _ALIAS.items()
+             for rule, value in (("registros", "COUNT(*)"), ("cuarentena", "COUNT(*) FILTER (false)"))]
+    parts += [f"SELECT '{n}', 'ancho', '{c}', COUNT(*) FILTER (length({c}) > {w}) FROM {_ALIAS[n]}" for n, ws in LOAD_WIDTHS.items() for c, w in ws.items()]
+    for n, rules in LOAD_RULES.items():
+        for c, (digits, decimals) in rules.items():
+            parts.append(f"SELECT '{n}', 'rango', '{c}', COUNT(*) FILTER (abs({c}) >= {10 ** (digits - decimals)}) FROM {_ALIAS[n]}")
+            parts.append(f"SELECT '{n}', 'decimales', '{c}', COUNT(*) FILTER ({c} * {10 ** decimals} % 1 <> 0) FROM {_ALIAS[n]}")
+    return " UNION ALL ".join(parts)
+
+
 RAW_SQL = {
+    "s1b_raw_split": f"""
+SELECT 'tabla' AS destino, s_suppkey::VARCHAR AS clave, lower(s_name) AS seller_city FROM supplier WHERE s_suppkey % {SELLERS_WITH_COMMA} <> 0
+UNION ALL
+SELECT 'cuarentena', '"' || s_suppkey || '","' || s_nationkey || '","' || lower(s_name) || ', norte","XX"', NULL
+FROM supplier WHERE s_suppkey % {SELLERS_WITH_COMMA} = 0""",
+    "s2_multiline_insert": """
+SELECT doc_id::VARCHAR AS review_id, source AS order_id, doc_id % 5 + 1 AS review_score, lang AS review_comment_title,
+       length(text) AS largo, md5(text) AS md5 FROM documents""",
+    "c1_stored_update": "SELECT event_id, array_to_string(string_split(props, chr(34)), '') AS props FROM events",
     "c5b_label_orphans": _label_orphans(),
     "c6_text_widths": _raw_widths(),
     "c6_numeric_rules": _numeric_rules(),
@@ -103,6 +125,7 @@ FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1""",
 }
 
 MODEL_SQL = {
+    "c6_load_checks": _load_checks(),
     "c5_pk_report": _pk_report(),
     "c5b_fk_orphans": _fk_report(),
     "c6_domain_violations": _domain_report(),

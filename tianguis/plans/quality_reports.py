@@ -16,9 +16,10 @@ from ..operators.clean import replace_commas, strip_quotes
 from ..operators.quality import (comma_report, domain_report, fk_report, numeric_report,
                                  pk_report, pk_violations, row_count_check, row_counts,
                                  untranslated_categories)
-from ..sources.adapter import order_payments, read_driver
-from ..sources.csv_ingest import read_csv_table
-from ..sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, VARCHAR_LIMITS
+from ..sources import stored
+from ..sources.adapter import load_tables, order_payments, read_driver
+from ..sources.csv_ingest import load_landing, read_csv_table, split_quarantine, stage
+from ..sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, SOURCE_FILES, VARCHAR_LIMITS
 from ..sources.sinks import write_csv
 from ..session import shared_dir
 from ..sources.tables import Tables
@@ -90,6 +91,74 @@ def s1_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv_table(spark, path, "order_payments").drop("_corrupt")
 
 
+def s1b_raw_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sellers loaded without regard to quotes: rows whose city holds a comma go to quarantine
+    with their raw line, the others lose their literal quotes."""
+    import uuid
+
+    key = F.col("s_suppkey")
+    city = F.when(key % SELLERS_WITH_COMMA == 0, F.concat(F.lower("s_name"), F.lit(", norte"))).otherwise(F.lower("s_name"))
+    rows = read_driver(spark, sf_dir, "supplier").select(
+        key.cast("string").alias("seller_id"), F.col("s_nationkey").cast("string").alias("seller_zip_code_prefix"),
+        city.alias("seller_city"), F.lit("XX").alias("seller_state"))
+    root = shared_dir(spark, f"csv/sellers-{uuid.uuid4().hex}")
+    write_csv(rows, f"{root}/in", quote_all=True)
+    staged, _ = stage(spark, read_csv_table(spark, f"{root}/in", "sellers", raw_compat=True), f"{root}/staged")
+    good, bad = split_quarantine(staged)
+    good = strip_quotes(good, ["seller_id", "seller_city"])
+    return (good.select(F.lit("tabla").alias("destino"), F.col("seller_id").alias("clave"), "seller_city")
+            .unionByName(bad.select(F.lit("cuarentena").alias("destino"), F.col("_corrupt").alias("clave"),
+                                    F.lit(None).cast("string").alias("seller_city"))))
+
+
+def s2_multiline_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with line breaks, quotes and commas as a review file: read by byte ranges into a staging
+    relation, its seven columns inserted into a stored table, twice by the same name."""
+    import uuid
+
+    docs = read_driver(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("review_id"), F.col("source").alias("order_id"), (F.col("doc_id") % 5 + 1).cast("int").alias("review_score"),
+        F.col("lang").alias("review_comment_title"), F.col("text").alias("review_comment_message"),
+        F.lit("2020-01-01 00:00:00").alias("review_creation_date"), F.lit(None).cast("string").alias("review_answer_timestamp"))
+    root = shared_dir(spark, f"csv/reviews-{uuid.uuid4().hex}")
+    write_csv(docs, f"{root}/in")
+    schema = SCHEMAS["order_reviews"]
+    good, _ = split_quarantine(read_csv_table(spark, f"{root}/in", "order_reviews", split=True))
+    stored.create(spark.createDataFrame([], schema), f"{root}/table")
+    for _ in range(2):
+        stored.insert(good, f"{root}/table", schema.names, operation="reviews")
+    return stored.read(spark, f"{root}/table").select(
+        "review_id", "order_id", "review_score", "review_comment_title", F.length("review_comment_message").alias("largo"),
+        F.md5("review_comment_message").alias("md5"))
+
+
+def c1_stored_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal quotes stripped in a stored table by copy-on-write; the second run finds nothing to do."""
+    import uuid
+
+    root = shared_dir(spark, f"stored/events-{uuid.uuid4().hex}")
+    stored.create(read_driver(spark, sf_dir, "events").select("event_id", "props"), root)
+    for _ in range(2):
+        stored.update(spark, root, {"props": F.replace(F.col("props"), F.lit('"'), F.lit(""))})
+    return stored.read(spark, root)
+
+
+def c6_load_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, widths and number rules of a landing load, observed while its files are parsed."""
+    import uuid
+
+    root = shared_dir(spark, f"landing-{uuid.uuid4().hex}")
+    for name, df in load_tables(spark, sf_dir).as_dict().items():
+        write_csv(df.select(*SCHEMAS[name].names), f"{root}/{SOURCE_FILES[name]}")
+    checks = load_landing(spark, root, staging=f"{root}/staging", split=True, widths=LOAD_WIDTHS, rules=LOAD_RULES).checks
+    counts = checks["row_counts"].selectExpr(
+        "tabla", "stack(2, 'registros', registros, 'cuarentena', cuarentena) AS (regla, valor)").withColumn("columna", F.lit(""))
+    widths = checks["domain_report"].selectExpr("tabla", "'ancho' AS regla", "columna", "valores_excedidos AS valor")
+    numbers = checks["numeric_report"].selectExpr(
+        "tabla", "columna", "stack(2, 'rango', fuera_de_rango, 'decimales', exceso_decimales) AS (regla, valor)")
+    return counts.unionByName(widths).unionByName(numbers)
+
+
 def c6_domain_violations(t: Tables) -> DataFrame:
     return domain_report(t.as_dict(), VARCHAR_LIMITS)
 
@@ -168,9 +237,16 @@ LABEL_EDGES = [("documents", "doc_id", "labels", "doc_id"), ("labels", "doc_id",
 RAW_WIDTHS = {"documents": {"text": 4000, "lang": 2}, "benchmark": {"text": 200}, "conversations": {"role": 4, "text": 255}}
 NUMERIC_RULES = {"lineitem": {"l_extendedprice": (6, 2), "l_quantity": (1, 0), "l_discount": (3, 1)},
                  "orders": {"o_totalprice": (10, 2), "o_orderkey": (4, 0)}}
+SELLERS_WITH_COMMA = 7
+LOAD_WIDTHS = {"customers": {"customer_city": 9, "customer_state": 8}, "orders": {"order_status": 9}, "sellers": {"seller_zip_code_prefix": 4}}
+LOAD_RULES = {"order_items": {"price": (6, 2), "freight_value": (10, 1), "order_item_id": (1, 0)}, "order_payments": {"payment_value": (7, 2)}}
 EXPECTED_COUNTS = {"region": 5, "nation": 25, "supplier": 100, "customer": 1000, "benchmark": 40}
 
 RAW_REPORTS = {
+    "s1b_raw_split": s1b_raw_split,
+    "s2_multiline_insert": s2_multiline_insert,
+    "c1_stored_update": c1_stored_update,
+    "c6_load_checks": c6_load_checks,
     "c5b_label_orphans": c5b_label_orphans,
     "c6_text_widths": c6_text_widths,
     "c6_numeric_rules": c6_numeric_rules,

@@ -108,5 +108,11 @@ VARCHAR_LIMITS = {
                     "geolocation_state": 10},
 }
 
+# Digits and decimals of the declared number columns (an INT has up to ten digits and no decimals).
+NUMERIC_LIMITS = {
+    name: {f.name: (f.dataType.precision, f.dataType.scale) if isinstance(f.dataType, T.DecimalType) else (10, 0)
+           for f in schema.fields if isinstance(f.dataType, (T.DecimalType, T.IntegerType))}
+    for name, schema in SCHEMAS.items()}
+
 # Default file name of each table inside a landing folder (overridable).
 SOURCE_FILES = {name: f"{name}.csv" for name in SCHEMAS}
