@@ -72,6 +72,18 @@ WITH {_STATE_MONTHS.strip()}
 SELECT estado, anio, mes, {dbl('ingreso')} AS ingreso,
        {dbl('(SELECT sum(x.ingreso) FROM serie x WHERE x.estado IS NOT DISTINCT FROM s.estado AND x.anio = s.anio AND x.mes <= s.mes)')} AS ingreso_acumulado_ytd
 FROM serie s""",
+    "m14_group_gaps_by_year": f"""
+WITH grupos AS (
+  SELECT year(order_purchase_timestamp) AS anio, 'H1' AS hallazgo, if(tarde, 'Entregas con Retraso', 'Entregas sin Retraso') AS grupo,
+         {xq('SUM(u)', 'COUNT(u) * 1000000', 2)} AS q, NOT tarde AS base
+  FROM pedidos LEFT JOIN nota USING (order_id) GROUP BY ALL
+  UNION ALL
+  SELECT year(order_purchase_timestamp), 'H2', if(varios, 'Envío Dividido (+ de 1 Vendedor)', 'Envío Simple (1 Vendedor)'),
+         {xq('SUM(review_score)', 'COUNT(review_score)', 2)}, NOT varios
+  FROM variedad JOIN a_orders USING (order_id) LEFT JOIN a_reviews USING (order_id) GROUP BY ALL)
+SELECT g.anio, g.hallazgo, g.grupo, CAST(g.q AS DOUBLE) / 100 AS score_promedio, CAST(b.q AS DOUBLE) / 100 AS score_base,
+       CAST(g.q - b.q AS DOUBLE) / 100 AS diferencia
+FROM grupos g LEFT JOIN grupos b ON b.anio = g.anio AND b.hallazgo = g.hallazgo AND b.base""",
     "m13_courier_share_by_year": f"""
 WITH e AS (
   SELECT year(order_purchase_timestamp) AS anio, {xq('SUM(d_vendedor)', 'COUNT(d_vendedor)', 2)} AS v,

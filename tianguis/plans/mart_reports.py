@@ -1,6 +1,6 @@
 """Reports over the published mart: versions, co-located facts, calendar slicer.
 
-``mart_for`` publishes the mart of a driver folder once per session, in two steps as in
+``mart_root`` publishes the mart of a driver folder once per session, in two steps as in
 daily use: first everything, with one month's items not yet delivered, then that month
 again, whole. All reports read the newest version through the catalog.
 """
@@ -28,8 +28,8 @@ SLICER_DAYS = "quarter = 2 AND day_of_week >= 6"
 _MARTS: dict[tuple[str, str], str] = {}
 
 
-def mart_for(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The published mart of ``sf_dir``; written by the first report that asks for it."""
+def mart_root(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the published mart of ``sf_dir``; written by the first report that asks for it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MARTS:
         t = load_tables(spark, sf_dir)
@@ -38,12 +38,19 @@ def mart_for(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         mart.publish(spark, replace(t, order_items=t.order_items.join(late, "order_id", "left_anti")), root, buckets=BUCKETS)
         mart.publish(spark, t, root, months=[LATE_MONTH], buckets=BUCKETS)
         _MARTS[key] = root
-    return mart.open_mart(spark, _MARTS[key])
+    return _MARTS[key]
+
+
+def mart_for(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return mart.open_mart(spark, mart_root(spark, sf_dir))
 
 
 def s8_mart_rows_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and revenue of the item fact by month, after one month was published again."""
-    f = mart_for(spark, sf_dir)["fact_order_items"]
+    """Rows and revenue of the item fact by month, after one month was published again; read
+    by its name in the catalog, as the dashboard does."""
+    root = mart_root(spark, sf_dir)
+    mart.register(spark, root)
+    f = spark.table(f"{mart.database_of(root)}.fact_order_items")
     return (f.groupBy(F.col("purchase_year").alias("anio"), F.col("purchase_month").alias("mes"))
             .agg(F.count(F.lit(1)).alias("filas"), F.count("order_item_id").alias("items"), F.sum("price").alias("ingreso")))
 

@@ -200,24 +200,50 @@ def m13_courier_share_late(t: Tables, by: Slicer = None) -> DataFrame:
                           "participacion_courier": share_pct(c, s + c, 2, num_scale=2, den_scale=2)})
 
 
-def m14_group_gaps(t: Tables) -> DataFrame:
-    """Score gap of each finding group against its base group (H1 and H2)."""
+def m14_group_gaps(t: Tables, by: Slicer = None) -> DataFrame:
+    """Score gap of each finding group against its base group (H1 and H2). With ``by`` every
+    axis value has its own groups and bases; groups without orders are not listed there."""
     from .findings import h1_score_by_lateness, h2_score_by_shipment_type
     from ..functions.exprs import ON_TIME_DELIVERY, SINGLE_SELLER
 
-    h1 = h1_score_by_lateness(t).select(
-        F.lit("H1").alias("hallazgo"), F.col("tipo_entrega").alias("grupo"), "score_promedio",
+    by = list(by or [])
+    h1, h2 = (h1_score_by_lateness(t), h2_score_by_shipment_type(t)) if not by else _group_scores(t, by)
+    names = [c for c in h1.columns if c not in ("tipo_entrega", "score_promedio")]
+    h1 = h1.select(
+        *names, F.lit("H1").alias("hallazgo"), F.col("tipo_entrega").alias("grupo"), "score_promedio",
         (F.col("tipo_entrega") == ON_TIME_DELIVERY).alias("_base"))
-    h2 = h2_score_by_shipment_type(t).select(
-        F.lit("H2").alias("hallazgo"), F.col("tipo_logistica").alias("grupo"), "score_promedio",
+    h2 = h2.select(
+        *names, F.lit("H2").alias("hallazgo"), F.col("tipo_logistica").alias("grupo"), "score_promedio",
         (F.col("tipo_logistica") == SINGLE_SELLER).alias("_base"))
     u = h1.unionByName(h2)
     base = F.max(F.when(F.col("_base"), F.col("score_promedio"))).over(
-        Window.partitionBy("hallazgo"))
-    return u.select("hallazgo", "grupo", "score_promedio", base.alias("score_base"),
+        Window.partitionBy(*names, "hallazgo"))
+    return u.select(*names, "hallazgo", "grupo", "score_promedio", base.alias("score_base"),
                     (F.col("score_promedio") - base).alias("diferencia"))
 
 
+def _group_scores(t: Tables, by: list) -> tuple[DataFrame, DataFrame]:
+    """H1 (order means) and H2 (review rows) by axes, both from order-grain rows."""
+    from ..functions.exprs import LATE_DELIVERY, ON_TIME_DELIVERY, SINGLE_SELLER, SPLIT_SHIPMENT
+
+    keys = t.orders.select("order_id", *by)
+    sellers = t.order_items.groupBy("order_id").agg(F.min("seller_id").alias("_lo"), F.max("seller_id").alias("_hi"))
+    rows = (keys.join(order_logistics(t).select("order_id", "late"), "order_id")
+            .join(review_stats_by_order(t).select("order_id", "sum_score", "n_scored"), "order_id", "left")
+            .join(sellers, "order_id", "left").withColumn("_mean", ratio("sum_score", "n_scored", 6)))
+    names = keys.columns[1:]
+    h1 = rows.groupBy(*names, F.when(F.col("late"), LATE_DELIVERY).otherwise(ON_TIME_DELIVERY).alias("tipo_entrega")).agg(
+        ratio("sum(_mean)", "count(_mean)", 2, num_scale=6).alias("score_promedio"))
+    h2 = rows.where("_lo IS NOT NULL").groupBy(
+        *names, F.when(F.col("_lo") == F.col("_hi"), SINGLE_SELLER).otherwise(SPLIT_SHIPMENT).alias("tipo_logistica")).agg(
+        ratio("sum(sum_score)", "sum(n_scored)", 2).alias("score_promedio"))
+    return h1, h2
+
+
+def m14_group_gaps_by_year(t: Tables) -> DataFrame:
+    return m14_group_gaps(t, [F.year("order_purchase_timestamp").alias("anio")])
+
+
 def m15_commission(t: Tables, rate: Decimal = Decimal("0.10"), by: Slicer = None) -> DataFrame:
     """What-if: platform commission = total item revenue x rate."""
     r = F.lit(rate).cast(dec(5, 4))
@@ -274,4 +300,5 @@ MEASURES = {
     "m04_mom_growth_by_state": m04_mom_growth_by_state,
     "m05_revenue_ytd_by_state": m05_revenue_ytd_by_state,
     "m13_courier_share_by_year": m13_courier_share_by_year,
+    "m14_group_gaps_by_year": m14_group_gaps_by_year,
 }
