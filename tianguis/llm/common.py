@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from ..session import shared_dir
 
@@ -19,17 +21,72 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+_SCOPES: list[list[str]] = []
+
+
+def materialise(df: DataFrame, tag: str, lasting: bool = False, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
     Cuts the lineage with files every executor can read, so a lost executor
-    costs a re-read and not a recomputation. Each call has a folder of its own."""
+    costs a re-read and not a recomputation. Each call has a folder of its own;
+    within ``spent`` it is removed at the end, unless it is ``lasting``."""
     spark = df.sparkSession
     path = shared_dir(spark, f"llm/{tag}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    if _SCOPES and not lasting:
+        _SCOPES[-1].append(path)
+    writer = df.write.option("compression", compression) if compression else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def spent(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside, but for lasting ones, are removed at the end: what
+    is returned must not read them."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _SCOPES.pop():
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
+def packed_text(docs: DataFrame) -> DataFrame:
+    """``docs`` with the text column compressed (binary), for exchanges of whole rows."""
+    def pack(batches):
+        import pyarrow as pa
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            column = pa.array([None if t is None else compress(t) for t in batch.column(at).cast(pa.large_binary()).to_pylist()], pa.binary())
+            yield batch.set_column(at, "text", column)
+    return docs.mapInArrow(pack, _with_text(docs, "binary"))
+
+
+def unpacked_text(docs: DataFrame) -> DataFrame:
+    """The inverse of ``packed_text``, a few rows at a time."""
+    def unpack(batches):
+        import pyarrow as pa
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                column = pa.array([None if t is None else expand(t).decode() for t in part.column(at).to_pylist()], pa.string())
+                yield part.set_column(at, "text", column)
+    return docs.mapInArrow(unpack, _with_text(docs, "string"))
+
+
+def _with_text(docs: DataFrame, kind: str) -> StructType:
+    return StructType([StructField(f.name, BinaryType() if kind == "binary" else StringType(), True) if f.name == "text" else f for f in docs.schema])
+
+
 def text_key(text_col: str = "text"):
     """Hash of a text (null counts as empty), the second half of a row's identity:
     rows that agree in doc_id and text are the same row to every operator."""
