@@ -1,9 +1,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 
-from tianguis.llm import common, order
+from tianguis.llm import order
 
 END, RANKS = 50_256, public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -17,7 +18,7 @@ def test_permutation_and_inverse():
 
 
 def test_shards_hold_every_sequence_once(odd_docs, no_docs):
-    odd_docs = common.materialise(odd_docs.repartition(3), "test-order")
+    odd_docs = odd_docs.repartition(3)
     written = order.shards(odd_docs, RANKS, END, shard_slots=16)
     rows = written.orderBy("shard").collect()
     records = np.frombuffer(b"".join(r["records"] for r in rows), dtype=order.RECORD)
@@ -35,4 +36,17 @@ def test_shards_hold_every_sequence_once(odd_docs, no_docs):
     listed = order.manifest(written).orderBy("slot").collect()
     assert [r["slot"] for r in listed] == list(range(len(records)))
     assert all(r["byte_offset"] == (r["slot"] % 16) * order.STRIDE for r in listed)
-    assert order.shards(common.materialise(no_docs, "test-order"), RANKS, END).count() == 0
+    assert order.shards(no_docs, RANKS, END).count() == 0
+
+
+def test_packed_records_come_back():
+    own = pd.DataFrame({"doc_id": ["5", None, "-7"]})
+    out = order.records(own, [[1, 2, 3], [], list(range(600))], END)
+    assert (order.unpacked(order.packed(out), len(out)) == out).all() and len(out) == 5
+
+
+def test_split_and_repeated_second_passes_give_the_same_shards(shipped):
+    docs = shipped.createDataFrame([(i, f"text {i} " * (i % 90)) for i in range(400)], "doc_id long, text string").repartition(5)
+    written = order.sequences(docs, RANKS, END)
+    rows = [sorted(map(tuple, order.dealt(w, "k", 32).collect())) for w in (written, written.repartition(7), written.coalesce(1))]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) > 10

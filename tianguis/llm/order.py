@@ -1,21 +1,20 @@
 """Training-order materialisation: token sequences in a keyed random order, as fixed-stride shards.
 
-1. Texts are encoded (a public byte-level vocabulary), closed with an end mark and cut into
-   sequences of LENGTH ids; the last of a document is padded. A first pass only counts them.
-2. A sequence's number is the count of sequences in the scan's partitions before its own plus
-   its place in its partition: dense, without a sort (one small row per partition goes
-   through the driver).
+1. Texts are encoded once (a public byte-level vocabulary), closed with an end mark and cut into
+   sequences of LENGTH ids; the last of a document is padded. The ids are written, compressed,
+   in rows of some documents each, with their task and place in it.
+2. A sequence's number is the count of sequences of the tasks before its own plus its place:
+   dense, without a sort (one small row per task goes through the driver).
 3. A keyed Feistel network over the smallest even-bit domain that holds n numbers, with
    cycle-walking, maps numbers to slots: a permutation of 0 .. n - 1 that any task computes
-   by itself. Key and n define the order. The second pass writes each sequence under its slot.
+   by itself. Key and n define the order. A second pass over the written ids deals each sequence by its slot.
 4. Slots are dealt by ranges of shards; a shard holds SHARD_SLOTS records of a fixed stride in
    slot order, so the record of a slot is at a known place, and a reader resumes anywhere.
 
 A shard is one row (shard, first_slot, records) of a Parquet table, in files of ascending
 shards: any store Spark writes to can hold it, and a lost task's output is replaced as a whole.
-The two passes rely on the input giving a partition the same rows each time, as a scan of files
-does also after an executor is lost; other inputs are written first (``common.materialise``).
-The total is checked at the end.
+The numbers are those written in the first pass, so it does not matter how the second one is
+split or how often a task is run again. The total is checked at the end.
 
 Record, little-endian: doc_id (8 bytes, signed), sequence in its document (4), number
 of ids that are not padding (2), flags (2; 1: no doc_id), ids (2 bytes each).
@@ -39,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import materialise
+from .common import materialise, ship_package, spent
 
 LENGTH, SHARD_SLOTS, ROUNDS = 256, 2048, 6
 HEADER = np.dtype([("doc_id", "<i8"), ("part", "<u4"), ("n_tokens", "<u2"), ("flags", "<u2")])
@@ -114,17 +113,6 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
 
 
-def partition_counts(docs: DataFrame, path: str) -> dict[int, int]:
-    """Sequences by partition of the scan."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = 0
-        for batch in batches:
-            for part in slices(batch["text"].tolist(), 2_000_000):
-                total += sum(-(-(len(x) + 1) // LENGTH) for x in encoded(path, part))
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [total]})
-    return {r["part"]: r["n"] for r in _rows(docs).mapInPandas(run, "part int, n long").collect()}  # a row per partition
-
-
 def records(own: pd.DataFrame, ids: list[list[int]], end_id: int) -> np.ndarray:
     """The records of some documents, in order."""
     n = np.fromiter((len(x) + 1 for x in ids), dtype=np.int64, count=len(ids))
@@ -145,25 +133,68 @@ def records(own: pd.DataFrame, ids: list[list[int]], end_id: int) -> np.ndarray:
     return out
 
 
+def packed(out: np.ndarray) -> bytes:
+    """Records without their padding, compressed."""
+    import zstandard
+
+    head = np.empty(len(out), dtype=HEADER)
+    for name in HEADER.names:
+        head[name] = out[name]
+    own = np.arange(LENGTH)[None, :] < out["n_tokens"][:, None]
+    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + out["ids"][own].tobytes())
+
+
+def unpacked(blob: bytes, n: int) -> np.ndarray:
+    """The inverse of ``packed`` for n records."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    head = np.frombuffer(raw, dtype=HEADER, count=n)
+    out = np.zeros(n, dtype=RECORD)
+    for name in HEADER.names:
+        out[name] = head[name]
+    ids = np.zeros((n, LENGTH), dtype="<u2")
+    ids[np.arange(LENGTH)[None, :] < head["n_tokens"][:, None]] = np.frombuffer(raw, dtype="<u2", offset=n * HEADER.itemsize)
+    out["ids"] = ids
+    return out
+
+
+def sequences(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """Written: (part, first, n, blob), the packed records of some documents, which are those from ``first`` on of task ``part``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, first = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            at = 0
+            for part in slices(batch["text"].tolist(), 1_000_000):
+                out = records(batch.iloc[at:at + len(part)], encoded(path, part), end_id)
+                at += len(part)
+                yield pd.DataFrame({"part": [task], "first": [first], "n": [len(out)], "blob": [packed(out)]})
+                first += len(out)
+    return materialise(_rows(docs).mapInPandas(run, "part int, first long, n int, blob binary"), "order-sequences", compression="none")
+
+
 def shards(docs: DataFrame, path: str, end_id: int, key: str = "epoch-0", shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """Written shards: (shard, first_slot, n, records), records being n * STRIDE bytes in slot order."""
-    spark = docs.sparkSession
+    ship_package(docs.sparkSession)
+    with spent(docs.sparkSession):
+        return dealt(sequences(docs, path, end_id), key, shard_slots)
+
+
+def dealt(written: DataFrame, key: str, shard_slots: int) -> DataFrame:
+    """The shards of written ``sequences``."""
+    spark = written.sparkSession
     before, total = {}, 0
-    for part, n in sorted(partition_counts(docs, path).items()):
-        before[part] = total
-        total += n
+    for r in written.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row per task
+        before[r["part"]] = total
+        total += r["n"]
     shared = spark.sparkContext.broadcast(before)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = shared.value[TaskContext.get().partitionId()]
         for batch in batches:
-            at = 0
-            for part in slices(batch["text"].tolist(), 2_000_000):
-                out = records(batch.iloc[at:at + len(part)], encoded(path, part), end_id)
-                at += len(part)
-                raw = out.tobytes()
-                yield pd.DataFrame({"slot": slots(np.arange(number, number + len(out)), total, key), "record": [raw[k:k + STRIDE] for k in range(0, len(raw), STRIDE)]})
-                number += len(out)
+            for part, first, n, blob in zip(batch["part"].tolist(), batch["first"].tolist(), batch["n"].tolist(), batch["blob"]):
+                number = shared.value[part] + first
+                raw = unpacked(blob, n).tobytes()
+                yield pd.DataFrame({"slot": slots(np.arange(number, number + n), total, key), "record": [raw[k:k + STRIDE] for k in range(0, len(raw), STRIDE)]})
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_shard, held = None, []
@@ -181,15 +212,15 @@ def shards(docs: DataFrame, path: str, end_id: int, key: str = "epoch-0", shard_
 
     n_shards = -(-total // shard_slots)
     parts = max(1, min(n_shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = _rows(docs).mapInPandas(deal, "slot long, record binary").withColumn(
+    rows = written.mapInPandas(deal, "slot long, record binary").withColumn(
         "range", F.floor(F.floor(F.col("slot") / shard_slots) * parts / F.lit(max(1, n_shards))).cast("int"))
     # dense slots: equal ranges of shards are equal shares of rows, whatever the documents
-    written = materialise(dealt.repartitionById(parts, "range").sortWithinPartitions("slot").select("slot", "record").mapInPandas(
-        fill, "shard long, first_slot long, n int, records binary"), "order-shards")
-    found = written.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_distinct("shard").alias("shards")).first()
+    out = materialise(rows.repartitionById(parts, "range").sortWithinPartitions("slot").select("slot", "record").mapInPandas(
+        fill, "shard long, first_slot long, n int, records binary"), "order-shards", lasting=True, compression="zstd")
+    found = out.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_distinct("shard").alias("shards")).first()
     if (found["n"], found["shards"]) != (total, n_shards):
-        raise RuntimeError(f"the input changed between the passes: {found} instead of {total} sequences in {n_shards} shards")
-    return written
+        raise RuntimeError(f"{found} instead of {total} sequences in {n_shards} shards")
+    return out
 
 
 def _shard_row(shard: int, held: list[bytes], shard_slots: int) -> pd.DataFrame:
