@@ -56,12 +56,43 @@ def test_hits_equal_brute_force(shipped, monkeypatch, block):
         docs.append((k, t))
     want = {}
     for i, t in docs:
-        c = D.canonical(t)
-        want[i] = sorted(j for j, x in items if D.canonical(x) and distance(D.canonical(x), c) <= len(D.canonical(x)) // D.CHARS_PER_EDIT)
+        c = f" {D.canonical(t)} "
+        want[i] = sorted(j for j, x in items if D.canonical(x) and distance(f" {D.canonical(x)} ", c) <= len(D.canonical(x)) // D.CHARS_PER_EDIT)
     out = D.contamination(shipped.createDataFrame(docs, "doc_id long, text string"), shipped.createDataFrame(items, "item_id long, text string"))
     assert {r["doc_id"]: r["item_ids"] for r in out.collect()} == want
 
 
+def test_items_start_and_end_where_words_do():
+    block = D.ItemBlock([(1, "art"), (2, "state of the art in parsing of long texts")])
+    assert block.find("we went to a party") == {} and block.find("Art!") == {1: (0, 3)}
+    assert block.find("the state of the art in parsing of long texts") == {1: (0, 20), 2: (0, 45)}
+    assert block.find("my estate of the art in parsing of long textsy")[2][0] == 2
+
+
+def test_blocks_do_not_show(shipped, monkeypatch):
+    """One id in several blocks, and items of many blocks, give the rows of one block."""
+    rng = random.Random(3)
+    items = [(k % 5, sentence(rng, 4)) for k in range(30)]
+    docs = [(k, None if k == 7 else " ".join(rng.choice(items)[1] for _ in range(rng.randint(0, 4)))) for k in range(40)] + [(None, items[0][1])] * 2
+    d, b = shipped.createDataFrame(docs, "doc_id long, text string"), shipped.createDataFrame(items, "item_id long, text string")
+    got, kept = [], []
+    for size in (40, 4_000_000):
+        monkeypatch.setattr(D, "BLOCK_CHARS", size)
+        got.append(sorted(map(str, D.contamination(d, b).collect())))
+        kept.append(sorted(map(str, D.clean(d, b).collect())))
+    assert got[0] == got[1] and kept[0] == kept[1] and 0 < len(kept[0]) < len(docs)
+    assert all(len(set(r["item_ids"])) == len(r["item_ids"]) for r in D.contamination(d, b).collect())
+
+
+def test_a_worker_builds_a_block_once(monkeypatch):
+    built = []
+    monkeypatch.setattr(D, "ItemBlock", lambda items: built.append(items) or items)
+    monkeypatch.setattr(D, "_OPEN", None)
+    for name in ("a", "a", "a", "b", "b"):
+        D._opened(name, [name])
+    assert built == [["a"], ["b"]]
+
+
 def test_odd_rows(odd_docs, no_docs, shipped):
     bench = shipped.createDataFrame([(1, "another text under the same id"), (1, "another text under the same id"), (None, "a text without an id"), (2, None)], "item_id long, text string")
     rows = D.contamination(odd_docs, bench).collect()
