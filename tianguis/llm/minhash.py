@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import slices
-from .common import components, materialise, mix64, text_key
+from .common import components, materialise, mix64, packed_text, ship_package, spent, text_key, unpacked_text
 
 BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
@@ -405,18 +405,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group: the row with the smallest doc_id (of rows
     that share it the smallest text key, of equal rows one). Texts without words stay all;
-    a group without any doc_id keeps the smallest text key."""
+    a group without any doc_id keeps the smallest text key. Texts meet the decisions packed,
+    in one exchange; only rows with an equal one are exchanged again."""
+    ship_package(docs.sparkSession)
+    with spent(docs.sparkSession):
+        pick = materialise(_chosen(docs, width, percent), "mh-chosen", lasting=True)
+    key = "__text_key"
+    right = pick.withColumnsRenamed({"doc_id": "__id", "text_key": "__k"}).hint("shuffle_hash")
+    joined = packed_text(docs.withColumn(key, text_key())).join(
+        right, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(key) == F.col("__k"))).drop("__id", "__k")
+    if not pick.where("__copies > 1").isEmpty():
+        joined = materialise(joined, "mh-kept", lasting=True)
+        once = joined.where("__copies > 1").dropDuplicates(["doc_id", key])
+        joined = joined.where("__copies = 1").unionByName(once)
+    return unpacked_text(joined.drop(key, "__copies")).select(*[f"`{c}`" for c in docs.columns])
+
+
+def _chosen(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, text_key, __copies) of the rows that stay; copies is 1 where all equal rows do."""
     rows, classes, roots = linked_classes(docs, width, percent)
     named = rows.where("node is not null").groupBy("node").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_key")).alias("first"))
     names = materialise(_rooted(named, roots, "node", "root"), "mh-named")
-    best = names.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_key")
-    best = materialise(best, "mh-best")
-    key, same = "__text_key", "__same"
-    with_key = docs.withColumn(key, text_key())
-    blank = materialise(rows.where("node is null").select("doc_id", "text_key").distinct(), "mh-blank")
-    pick = best.withColumn(same, F.lit(True)).unionByName(blank.withColumn(same, F.lit(False)))
-    right = pick.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__k"), same)
-    joined = with_key.join(right, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(key) == F.col("__k")))
-    once = joined.where(same).dropDuplicates(["doc_id", key])
-    return once.unionByName(joined.where(~F.col(same))).select(*[f"`{c}`" for c in docs.columns])
+    best = materialise(names.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_key"), "mh-best")
+    copies = (rows.where("node is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("__copies"))
+              .where("__copies > 1").withColumnsRenamed({"doc_id": "__id", "text_key": "__k"}))
+    best = best.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__k")), "left").select(
+        "doc_id", "text_key", F.coalesce("__copies", F.lit(1)).alias("__copies"))
+    blank = rows.where("node is null").select("doc_id", "text_key").distinct().withColumn("__copies", F.lit(1).cast("long"))
+    return best.unionByName(blank)
