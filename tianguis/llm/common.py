@@ -54,7 +54,7 @@ def spent(spark: SparkSession) -> Iterator[None]:
 
 
 def packed_text(docs: DataFrame) -> DataFrame:
-    """``docs`` with the text column compressed (binary), for exchanges of whole rows."""
+    """``docs`` with the text column compressed (binary), for exchanges of whole rows; a few rows at a time."""
     def pack(batches):
         import pyarrow as pa
         import zstandard
@@ -62,8 +62,10 @@ def packed_text(docs: DataFrame) -> DataFrame:
         compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            column = pa.array([None if t is None else compress(t) for t in batch.column(at).cast(pa.large_binary()).to_pylist()], pa.binary())
-            yield batch.set_column(at, "text", column)
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                column = pa.array([None if t is None else compress(t) for t in part.column(at).cast(pa.large_binary()).to_pylist()], pa.binary())
+                yield part.set_column(at, "text", column)
     return docs.mapInArrow(pack, _with_text(docs, "binary"))
 
 
