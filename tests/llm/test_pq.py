@@ -52,7 +52,7 @@ def test_bound_never_drops_a_neighbour():
     x = pq.unit(rng.standard_normal((500, 32)))
     quant = pq.Quantiser(x, 500)
     probes = quant.lists(x)
-    centre = quant.centres[probes[:, 0]]
+    centre = quant.centre(probes[:, 0])
     codes, error = quant.code(x - centre)
     for j in range(0, 500, 50):
         near = np.sqrt(quant.table_distances(x - centre[j], codes[j:j + 1])[:, 0])
@@ -60,6 +60,34 @@ def test_bound_never_drops_a_neighbour():
         assert (near - error[j] <= real + 1e-3).all()
 
 
+@pytest.mark.parametrize("coarse", [8, 64])
+def test_recall_with_many_more_lists_than_probes(shipped, monkeypatch, coarse):
+    """About 1,500 lists of which 32 are probed: links at and above the threshold against brute force."""
+    monkeypatch.setattr(pq, "LIST_SIZE", 2)
+    monkeypatch.setattr(pq, "COARSE", coarse)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((1500, 64))
+    noise = rng.standard_normal((1500, 64)) * rng.choice([0.05, 0.2, 0.32], size=(1500, 1))
+    x = np.concatenate([base, base + noise]).astype(np.float32).astype(np.float64)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    quant = pq.Quantiser(u, len(u))
+    sizes = np.bincount(quant.lists(u)[:, 0])
+    assert len(quant.centres) * len(quant.fine) >= 1400 and sizes.max() < 100
+    table = shipped.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = sum(r["n_links"] for r in pq.near_duplicates(table).collect())
+    print("recall", found / near.sum())
+    assert 0.95 * near.sum() <= found <= near.sum()
+
+
+def test_doubles_stay_doubles(shipped):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 0.0]), (3, [1e-300, 1e-310]), (4, [0.0, 3e200]), (5, [1.0, 1e-9]), (6, [-1.0, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in
+           pq.near_duplicates(shipped.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4), 6: (0, 6)}
+
+
 def test_empty_table_and_null_ids(shipped):
     table = shipped.createDataFrame([(None, [1.0, 0.0]), (4, [1.0, 0.0]), (None, [0.0, 1.0]), (2, None)], "vec_id long, embedding array<float>")
     rows = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in pq.near_duplicates(table).collect())

@@ -1,10 +1,13 @@
 """Embedding near-duplicates by product quantisation.
 
-Equal vectors form a class; all steps below see one vector of each class with the number of
-its rows. Coarse centroids (about one for every LIST_SIZE classes, MOST_LISTS at most) and the
-subspace code books of the residuals are fitted on a sample of SAMPLE classes, chosen by
+Equal vectors form a class; all steps below see one vector of each class, in doubles and scaled
+by a power of two, with the number of its rows. There is about one list for every LIST_SIZE
+classes, however many there are: up to COARSE centroids, and beyond that finer ones that cut every
+coarse cell alike (a list is a coarse and a fine centroid of the residual). They and the subspace
+code books of the residuals are fitted on a sample of SAMPLE classes, chosen by
 hash; every class is indexed: its list, its residual code and the length of the error of
-that code. As a query a class probes the PROBES lists nearest to it. In a list, the
+that code. As a query a class probes the PROBES lists nearest to it among the finer ones of
+its PROBES nearest coarse cells. In a list, the
 table-lookup distance to a code minus the code's own error is a lower bound of the true
 distance, so the filter before the exact cosine loses nothing; only probing can miss a
 link. A link counts for both ends when either end's probes reach the other.
@@ -29,9 +32,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from .common import components, materialise, ship_package
 
-LIST_SIZE, MOST_LISTS, PROBES = 64, 4096, 32
+LIST_SIZE, COARSE, PROBES = 64, 4096, 32
+CELLS = 1 << 22  # distances that are held at a time
 SUBSPACES, CODES = 16, 32
 SAMPLE, BLOCK = 40_000, 4096
 SEED = 11
@@ -41,6 +45,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that squares neither overflow nor vanish; angles stay the same."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Squared distances of all rows of ``x`` to all centres."""
     d = (x * x).sum(axis=1)[:, None] - 2 * (x @ centres.T) + (centres * centres).sum(axis=1)[None]
@@ -58,6 +67,12 @@ def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return centres
 
 
+def _least(d: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k smallest entries of each row, the smallest first."""
+    part = np.argpartition(d, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(part, np.argsort(np.take_along_axis(d, part, axis=1), axis=1, kind="stable"), axis=1)
+
+
 class Quantiser:
     """Centroids and residual code books fitted on a sample of unit vectors."""
 
@@ -65,18 +80,31 @@ class Quantiser:
         rng = np.random.default_rng(SEED)
         sample = sample.astype(np.float32)
         dim = sample.shape[1]
-        self.centres = k_means(sample, max(1, min(MOST_LISTS, n // LIST_SIZE, len(sample))), 6, rng)
-        self.cuts = np.linspace(0, dim, min(SUBSPACES, dim) + 1).astype(int)
+        self.centres = k_means(sample, max(1, min(COARSE, n // LIST_SIZE, len(sample))), 6, rng)
         rest = sample - self.centres[np.concatenate([nearest(sample[a:a + 4096], self.centres).argmin(axis=1) for a in range(0, len(sample), 4096)])]
+        cells = -(-n // (LIST_SIZE * len(self.centres))) if n // LIST_SIZE > len(self.centres) else 1
+        self.fine = k_means(rest, cells, 6, rng) if cells > 1 else np.zeros((1, dim), dtype=np.float32)
+        self.cuts = np.linspace(0, dim, min(SUBSPACES, dim) + 1).astype(int)
+        rest = sample - self.centre(self.lists(sample)[:, 0])
         self.books = [k_means(np.ascontiguousarray(rest[:, a:b]), CODES, 6, rng) for a, b in zip(self.cuts, self.cuts[1:])]
 
+    def centre(self, lists: np.ndarray) -> np.ndarray:
+        return self.centres[lists // len(self.fine)] + self.fine[lists % len(self.fine)]
+
     def lists(self, x: np.ndarray) -> np.ndarray:
         """The PROBES nearest lists of each row, the nearest first."""
-        d = nearest(x.astype(np.float32), self.centres)
-        k = min(PROBES, d.shape[1])
-        part = np.argpartition(d, k - 1, axis=1)[:, :k]
-        order = np.argsort(np.take_along_axis(d, part, axis=1), axis=1, kind="stable")
-        return np.take_along_axis(part, order, axis=1).astype(np.int32)
+        step = max(1, CELLS // (len(self.centres) + PROBES * len(self.fine)))
+        return np.concatenate([self._lists(x[a:a + step].astype(np.float32)) for a in range(0, len(x), step)])
+
+    def _lists(self, x: np.ndarray) -> np.ndarray:
+        d = nearest(x, self.centres)
+        cells = _least(d, min(PROBES, d.shape[1]))
+        if len(self.fine) == 1:
+            return cells.astype(np.int64)
+        rest = (x[:, None, :] - self.centres[cells]).reshape(-1, x.shape[1])
+        d = nearest(rest, self.fine).reshape(len(x), -1)
+        best = _least(d, min(PROBES, d.shape[1]))
+        return np.take_along_axis(cells, best // len(self.fine), axis=1).astype(np.int64) * len(self.fine) + best % len(self.fine)
 
     def code(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(codes, error length) of residuals."""
@@ -101,16 +129,16 @@ class Quantiser:
 def block_links(quantiser: Quantiser, centre: int, members: pd.DataFrame, queries: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """Links of one block: per class the rows linked through this block and a root."""
     dim = quantiser.centres.shape[1]
-    m = np.frombuffer(b"".join(members["vec"]), np.float32).reshape(-1, dim).astype(np.float64)
-    q = np.frombuffer(b"".join(queries["q_vec"]), np.float32).reshape(-1, dim).astype(np.float64)
+    m = np.frombuffer(b"".join(members["vec"]), np.float64).reshape(-1, dim)
+    q = np.frombuffer(b"".join(queries["q_vec"]), np.float64).reshape(-1, dim)
     codes = np.frombuffer(b"".join(members["codes"]), np.uint8).reshape(len(m), -1)
-    own = queries["own"].to_numpy(dtype=np.int32)
-    probes = np.frombuffer(b"".join(members["probes"]), np.int32).reshape(len(m), -1)
+    own = queries["own"].to_numpy(dtype=np.int64)
+    probes = np.frombuffer(b"".join(members["probes"]), np.int64).reshape(len(m), -1)
     mid, qid = members["cid"].to_numpy(dtype=np.int64), queries["q_cid"].to_numpy(dtype=np.int64)
     mw, qw = members["w"].to_numpy(dtype=np.int64), queries["q_w"].to_numpy(dtype=np.int64)
     m_norm, q_norm = np.sqrt((m * m).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
     reach = (np.sqrt(2 - 2 * cosine) + members["error"].to_numpy(dtype=np.float64) + 1e-4) ** 2
-    rest = q / q_norm[:, None] - quantiser.centres[centre]
+    rest = q / q_norm[:, None] - quantiser.centre(np.array([centre]))
     lefts, rights = [], []
     for a in range(0, len(q), 512):
         near = quantiser.table_distances(rest[a:a + 512], codes) <= reach[None]
@@ -150,7 +178,7 @@ def _links_of_length(classes: DataFrame, dim: int, cosine: float) -> DataFrame:
     spark = classes.sparkSession
     n = classes.count()
     sample = classes.orderBy("h1", "h2").limit(SAMPLE).select("vec").toPandas()  # bounded by SAMPLE
-    quantiser = Quantiser(unit(np.stack([np.asarray(v, dtype=np.float64) for v in sample["vec"]])), n)
+    quantiser = Quantiser(unit(scaled(np.stack([np.asarray(v, dtype=np.float64) for v in sample["vec"]]))), n)
     shared = spark.sparkContext.broadcast(quantiser)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,25 +186,25 @@ def _links_of_length(classes: DataFrame, dim: int, cosine: float) -> DataFrame:
         for batch in batches:
             for a in range(0, len(batch), 2000):
                 part = batch.iloc[a:a + 2000]
-                raw = np.stack([np.asarray(v, dtype=np.float32) for v in part["vec"]])
-                x = unit(raw.astype(np.float64))
+                raw = scaled(np.stack([np.asarray(v, dtype=np.float64) for v in part["vec"]]))
+                x = unit(raw)
                 probes = quant.lists(x)
-                codes, error = quant.code(x - quant.centres[probes[:, 0]])
+                codes, error = quant.code(x - quant.centre(probes[:, 0]))
                 yield pd.DataFrame({
                     "cid": part["cid"], "w": part["w"], "vec": [v.tobytes() for v in raw], "own": probes[:, 0],
                     "codes": [c.tobytes() for c in codes], "error": error, "probes": [p.tobytes() for p in probes], "lists": list(probes)})
 
     indexed = materialise(classes.select("cid", "w", "vec").mapInPandas(
-        index, "cid long, w long, vec binary, own int, codes binary, error double, probes binary, lists array<int>"), "pq-index")
-    # at most MOST_LISTS rows each
+        index, "cid long, w long, vec binary, own long, codes binary, error double, probes binary, lists array<long>"), "pq-index")
+    # a row for each list
     m_blocks = indexed.groupBy(F.col("own").alias("list")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("mb"))
     q_blocks = indexed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qb"))
     blocks = materialise(m_blocks.join(q_blocks, "list"), "pq-blocks")
     cut = lambda c, parts: F.pmod(F.xxhash64("cid", F.lit(7)), F.col(parts)).cast("int").alias(c)
     spread = lambda c, parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1)).alias(c)
-    members = indexed.withColumnRenamed("own", "list").join(F.broadcast(blocks), "list").select(
+    members = indexed.withColumnRenamed("own", "list").join(blocks, "list").select(
         "list", cut("mb", "mb"), spread("qb", "qb"), "cid", "w", "vec", "codes", "error", "probes")
-    queries = indexed.select(F.explode("lists").alias("list"), "cid", "w", "vec", "own").join(F.broadcast(blocks), "list").select(
+    queries = indexed.select(F.explode("lists").alias("list"), "cid", "w", "vec", "own").join(blocks, "list").select(
         "list", spread("mb", "mb"), cut("qb", "qb"), "cid", "w", "vec", "own").toDF("list", "mb", "qb", "q_cid", "q_w", "q_vec", "own")
 
     def linked(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -191,7 +219,8 @@ def _links_of_length(classes: DataFrame, dim: int, cosine: float) -> DataFrame:
 
 def near_duplicates(rows: DataFrame, cosine: float = 0.95) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    vec = F.transform(F.col("embedding").cast("array<float>"), lambda x: x + F.lit(0.0).cast("float"))  # -0.0 becomes 0.0
+    ship_package(rows.sparkSession)
+    vec = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))  # -0.0 becomes 0.0
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     flat = rows.select("vec_id", vec.alias("vec")).withColumn(
         "ok", F.coalesce((F.size("vec") > 0) & ~bad & F.exists("vec", lambda x: x != 0), F.lit(False)))
