@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import slices
-from .common import components, materialise, mix64, packed_text, ship_package, spent, text_key, unpacked_text
+from .common import components, materialise, mix64, ship_package, spent, text_key
 
 BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
@@ -405,20 +405,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group: the row with the smallest doc_id (of rows
     that share it the smallest text key, of equal rows one). Texts without words stay all;
-    a group without any doc_id keeps the smallest text key. Texts meet the decisions packed,
-    in one exchange; only rows with an equal one are exchanged again."""
+    a group without any doc_id keeps the smallest text key. Texts meet the decisions in one
+    exchange, of the same form at every size; only rows with an equal one are exchanged again."""
     ship_package(docs.sparkSession)
     with spent(docs.sparkSession):
         pick = materialise(_chosen(docs, width, percent), "mh-chosen", lasting=True)
     key = "__text_key"
     right = pick.withColumnsRenamed({"doc_id": "__id", "text_key": "__k"}).hint("shuffle_hash")
-    joined = packed_text(docs.withColumn(key, text_key())).join(
+    joined = docs.withColumn(key, text_key()).join(
         right, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(key) == F.col("__k"))).drop("__id", "__k")
     if not pick.where("__copies > 1").isEmpty():
         joined = materialise(joined, "mh-kept", lasting=True)
         once = joined.where("__copies > 1").dropDuplicates(["doc_id", key])
         joined = joined.where("__copies = 1").unionByName(once)
-    return unpacked_text(joined.drop(key, "__copies")).select(*[f"`{c}`" for c in docs.columns])
+    return joined.select(*[f"`{c}`" for c in docs.columns])
 
 
 def _chosen(docs: DataFrame, width: int, percent: int) -> DataFrame:
