@@ -47,7 +47,19 @@ def test_wrapped_texts_equal_the_sql(shipped):
         ("we say it is\nreleased under the MIT License\nand more", "MIT", 1), ("we say it is released under the MIT\nLicense", "", 0),
         ("// SPDX-License-Identifier: ISC\n// Copyright X", "ISC", 1), ("# SPDX-License-Identifier: Unlicense", "Unlicense", 1),
         ("/* SPDX-License-Identifier: GPL-2.0-only */\ncode", "GPL-2.0", 1), ("SPDX-License-Identifier: AGPL-3.0-or-later\r\n", "AGPL-3.0", 1),
-        ("SPDX-License-Identifier: LGPL-3.0", "LGPL-3.0", 1)]
+        ("SPDX-License-Identifier: LGPL-3.0", "LGPL-3.0", 1), ("SPDX-License-Identifier: MIT OR Apache-2.0", "MIT,Apache-2.0", 2),
+        ("// x\n// SPDX-License-Identifier: (GPL-2.0-or-later OR EPL-2.0) AND MIT\n// y", "MIT,GPL-2.0,EPL-2.0", 3),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0", 1), ("# SPDX-License-Identifier: LGPL-2.1-or-later\n", "LGPL-2.1", 1),
+        ("SPDX-License-Identifier: EPL-2.0 OR Unheard-1.0\nSPDX-License-Identifier: Zlib", "EPL-2.0,Zlib", 2), ("SPDX-License-Identifier:", "", 0),
+        # titles of full texts, centred over two lines, before other paragraphs
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 X\n Everyone is permitted", "GPL-3.0", 1),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS", "Apache-2.0", 1),
+        ("GNU LESSER GENERAL PUBLIC LICENSE\n   Version 2.1, February 1999", "LGPL-2.1", 1), ("Mozilla Public License Version 2.0\n=====\n\n1. Definitions", "MPL-2.0", 1),
+        ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "AGPL-3.0", 1), ("Eclipse Public License - v 2.0\n\nTHE PROGRAM", "EPL-2.0", 1),
+        # notices and full grants
+        (wrapped([L._LESSER2], 70, " * "), "LGPL-2.1", 1), (wrapped([L._AFFERO], 70, "# "), "AGPL-3.0", 1), (wrapped([f"This program is free software: you can redistribute it and/or modify {L._LESSER3}"], 70), "LGPL-3.0", 1),
+        (wrapped(["Copyright X", " ".join(L._ZLIB[:2]), L._ZLIB[2]], 76, between=""), "Zlib", 1), (wrapped([L._BOOST], 76, "// "), "BSL-1.0", 1),
+        ("// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file", "BSL-1.0", 1)]
     data = [(k, t) for k, (t, _, _) in enumerate(cases)]
     rows = L.scan(shipped.createDataFrame(data, "doc_id long, text string")).orderBy("doc_id").collect()
     assert [(r["licences"], r["n_matches"]) for r in rows] == [(name, n) for _, name, n in cases]

@@ -4,8 +4,9 @@ A text is cut into sentences at ``. ; ! ?`` before a blank and at blank lines (l
 letters a-z and digits, such as bare comment marks), each sentence normalised (A-Z lowered,
 everything but letters a-z and digits a blank, which also drops comment marks). A sentence
 may run over several lines: one that a licence is known by has an identifier where it starts with
-a line and ends with that or a later line of the sentence, the longest first; all others have none. The
-identifiers of a text, in order, form its sequence; the rules are tried in their order, a
+a line and ends with that or a later line of the sentence, the longest first; all others have none. A line
+"SPDX-License-Identifier:" with an expression (A OR B, A AND B, A WITH exception) counts as one sentence
+for each of its terms. The identifiers of a text, in order, form its sequence; the rules are tried in their order, a
 rule matches where its identifiers stand next to each other in the sequence, and what a
 rule matched is taken out before later rules, so a full licence wins over its parts.
 
@@ -55,6 +56,31 @@ _GPL = (
 )
 _GPL2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
 _MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+_LESSER2 = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+_LESSER3 = "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+_AFFERO = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty.",
+    "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+)
+_BOOST = "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"
+# Titles as the full texts have them, maybe over two lines.
+TITLES = {
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "Apache-2.0": "Apache License Version 2.0, January 2004",
+    "MPL-2.0": "Mozilla Public License Version 2.0",
+    "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "EPL-2.0": "Eclipse Public License - v 2.0",
+    "CC-BY-4.0": "Creative Commons Attribution 4.0 International Public License",
+    "CC-BY-SA-4.0": "Creative Commons Attribution-ShareAlike 4.0 International Public License",
+    "CC-BY-NC-4.0": "Creative Commons Attribution-NonCommercial 4.0 International Public License",
+    "CC-BY-ND-4.0": "Creative Commons Attribution-NoDerivatives 4.0 International Public License",
+}
 # Short notices; {} stands for the names below.
 NOTICES = ("Licensed under {}.", "Licensed under the {}.", "Released under {}.", "Released under the {}.", "Distributed under {}.",
            "Distributed under the {}.", "This work is licensed under {}.", "This work is licensed under the {}.",
@@ -66,6 +92,7 @@ NAMES = {
     "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License"),
     "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2.0"),
     "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1"),
     "LGPL-3.0": ("GNU Lesser General Public License, version 3",),
     "AGPL-3.0": ("GNU Affero General Public License, version 3",),
     "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0"),
@@ -74,7 +101,16 @@ NAMES = {
     "CC-BY-SA-4.0": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
     "CC-BY-NC-4.0": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
     "CC-BY-ND-4.0": ("CC BY-ND 4.0",),
+    "CC-BY-NC-SA-4.0": ("CC BY-NC-SA 4.0",),
+    "CC-BY-NC-ND-4.0": ("CC BY-NC-ND 4.0",),
+    "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License v2.0"),
+    "Zlib": ("zlib License",),
 }
+# Further identifiers that stand after "SPDX-License-Identifier:".
+IDENTIFIERS = ("0BSD", "AFL-3.0", "Artistic-2.0", "BSD-4-Clause", "CDDL-1.0", "EPL-1.0", "EUPL-1.2", "GPL-1.0", "ISC", "LGPL-2.0", "MIT-0", "MPL-1.1",
+               "MS-PL", "NCSA", "OFL-1.1", "PostgreSQL", "Unlicense", "UPL-1.0", "WTFPL")
+SPDX = "spdx license identifier "
 
 
 def normal(sentence: str) -> str:
@@ -95,15 +131,17 @@ def _tables() -> tuple[dict[str, int], list[tuple[str, tuple[int, ...]]]]:
     rules = [
         ("MIT", seq(*_MIT)), ("MIT", seq(*_MIT[:2])), ("BSD-3-Clause", seq(*_BSD)), ("BSD-2-Clause", seq(*_BSD[:3])),
         ("Apache-2.0", seq(*_APACHE)), ("Apache-2.0", seq(*_APACHE[:2])), ("GPL-3.0", seq(*_GPL)), ("GPL-3.0", seq(_GPL[0])),
-        ("GPL-2.0", seq(_GPL2)), ("ISC", seq(_ISC)), ("MPL-2.0", seq(_MPL)), ("Unlicense", seq(_UNLICENSE))]
+        ("GPL-2.0", seq(_GPL2)), ("ISC", seq(_ISC)), ("MPL-2.0", seq(_MPL)), ("Unlicense", seq(_UNLICENSE)),
+        ("LGPL-2.1", seq(_LESSER2)), ("AGPL-3.0", seq(_AFFERO)), ("Zlib", seq(*_ZLIB)), ("BSL-1.0", seq(_BOOST))]
+    rules += [("LGPL-3.0", seq(f"This {what} is free software: you can redistribute it and/or modify {_LESSER3}")) for what in ("library", "program")]
+    rules += [(name, seq(title)) for name, title in TITLES.items()]
     for name, spoken in NAMES.items():
         for notice in NOTICES:
             rules += [(name, seq(notice.format(x))) for x in spoken]
+    for name in (*NAMES, *IDENTIFIERS):
         rules.append((name, seq(f"SPDX-License-Identifier: {name}")))
-    for name in NAMES:
         if "GPL" in name:
-            rules += [(name, seq(f"SPDX-License-Identifier: {name}-{x}")) for x in ("only", "or-later")]
-    rules += [(name, seq(f"SPDX-License-Identifier: {name}")) for name in ("ISC", "Unlicense")]
+            rules += [(name, seq(f"SPDX-License-Identifier: {name}-{x}")) for x in ("only", "orlater")]
     return ids, rules
 
 
@@ -112,7 +150,8 @@ SENTENCE_IDS, RULES = _tables()
 # break within one (LL: the end of a line and the start of the next).
 CUTS = ((r"\r\n?", "\n"), (r"\n[^a-z0-9\n]+", "\n"), (r"[.;!?][^a-z0-9\t-\r ]*[\t-\r ]+", "H"), (r"\n\n+", "H"), (r"\n", "L"), ("[^a-z0-9HL]+", " "),
         ("[ L]*H[ HL]*", "H"), (" ?L ?", "LL"), ("^[ HL]+|[ HL]+$", ""))
-OF_LINES = "L(" + "|".join(x.replace(" ", "(?: |LL)") for x in sorted(SENTENCE_IDS, key=lambda x: (-len(x), x))) + ")L"
+OF_LINES = f"L({SPDX}[^L]+|" + "|".join(
+    x.replace(" ", "(?: |LL)") for x in sorted(SENTENCE_IDS, key=lambda x: (-len(x), x)) if not x.startswith(SPDX)) + ")L"
 
 
 def sentences(text: Column) -> Column:
@@ -125,8 +164,11 @@ def sentences(text: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Sentences of one line, and known sentences that are lines of a longer one, in order."""
-    return F.flatten(F.transform(sentences(text), lambda s: F.when(s.contains("L"), F.transform(
+    lines = F.flatten(F.transform(sentences(text), lambda s: F.when(s.contains("L"), F.transform(
         F.regexp_extract_all(F.concat(F.lit("L"), s, F.lit("L")), F.lit(OF_LINES), F.lit(1)), lambda m: F.replace(m, F.lit("LL"), F.lit(" ")))).otherwise(F.array(s))))
+    # an expression of identifiers is one such sentence for each of them
+    return F.flatten(F.transform(lines, lambda s: F.when(s.startswith(SPDX), F.split(F.regexp_replace(
+        F.replace(s, F.lit(" or later"), F.lit(" orlater")), " (or|and|with) ", f"H{SPDX}"), "H")).otherwise(F.array(s))))
 
 
 def sequence(text: Column) -> Column:
@@ -178,10 +220,15 @@ parted AS (
   WHERE regexp_matches(text, '(?i)licen|copyright|warrant|permission|redistribut|liab|public|spdx|released|distributed')),
 cut AS (SELECT r, unnest(parts) AS s, generate_subscripts(parts, 1) AS part FROM parted),
 matched AS (SELECT r, part, CASE WHEN contains(s, 'L') THEN regexp_extract_all('L' || s || 'L', '{OF_LINES}', 1) ELSE [s] END AS found FROM cut),
-lines AS (SELECT r, part, unnest(found) AS s, generate_subscripts(found, 1) AS line FROM matched),
-hit AS (SELECT lines.r, part, line, known.id FROM lines JOIN known ON replace(s, 'LL', ' ') = known.sentence),
+lines AS (SELECT r, part, replace(unnest(found), 'LL', ' ') AS s, generate_subscripts(found, 1) AS line FROM matched),
+named AS (SELECT r, part, line, s, 0 AS term FROM lines WHERE NOT starts_with(s, '{SPDX}')
+  UNION ALL
+  SELECT r, part, line, '{SPDX}' || unnest(terms), generate_subscripts(terms, 1) FROM (
+    SELECT r, part, line, regexp_split_to_array(replace(substr(s, {len(SPDX) + 1}), ' or later', ' orlater'), ' (?:or|and|with) ') AS terms
+    FROM lines WHERE starts_with(s, '{SPDX}'))),
+hit AS (SELECT r, part, line, term, known.id FROM named JOIN known ON s = known.sentence),
 seqs AS (
-  SELECT r, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY part, line) AS ids, string_agg('<' || id || '>', '' ORDER BY part, line) AS marks FROM hit GROUP BY r),
+  SELECT r, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY part, line, term) AS ids, string_agg('<' || id || '>', '' ORDER BY part, line, term) AS marks FROM hit GROUP BY r),
 run AS (
   SELECT r, 0 AS k, marks AS rest, ''::VARCHAR AS names, 0::BIGINT AS n FROM seqs
   UNION ALL
