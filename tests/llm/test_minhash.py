@@ -119,3 +119,16 @@ def test_every_class_of_a_split_bucket_is_listed(shipped, monkeypatch):
     classes = shipped.createDataFrame(rows, "node long, n int, bits array<long>, bands array<long>")
     listed = minhash.candidate_pairs(classes, 80).where("key = 7").collect()
     assert {r["a"] for r in listed} == {r[0] for r in rows}
+
+
+def test_a_worker_holds_little_text_at_a_time(shipped, monkeypatch):
+    """Texts are cut into small slices, a longer one is a slice of its own; links stay the same."""
+    assert minhash.SLICE <= 200_000
+    words = [f"w{k}" for k in range(400)]
+    docs = shipped.createDataFrame([(k, " ".join(words[k % 5:] + words[:k % 3]) if k % 4 else None) for k in range(40)], "doc_id long, text string")
+    whole = sorted(map(str, minhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(minhash, "SLICE", 10)
+    assert whole == sorted(map(str, minhash.near_duplicates(docs).collect()))
+    for n in (5, 70_000, 10):
+        assert len(minhash._powers(n)[0]) >= n
+    assert len(minhash._POWERS) == 2  # one table, whatever lengths were asked for

@@ -50,6 +50,7 @@ LONGS = (HASHES + 63) // 64
 SIGMAS = 5
 HOT = 4096       # classes of a bucket that one task holds
 BLOOM_BITS = 26  # of the filter over texts that need their full set (8 MB)
+SLICE = 200_000  # characters of text whose words and shingles a worker holds at a time
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,15 +66,20 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[32, *range(9, 14)]] = True
 
 
-@functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    base = 0x5851F42D4C957F2D
-    inverse = pow(base, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        up, down = np.ones(n, dtype=np.uint64), np.ones(n, dtype=np.uint64)
-        up[1:], down[1:] = np.uint64(base), np.uint64(inverse)
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, ``n`` or more; a worker keeps one table."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        base = 0x5851F42D4C957F2D
+        _POWERS.clear()
+        for factor in (base, pow(base, -1, 1 << 64)):
+            table = np.full(1 << max(16, (n - 1).bit_length()), factor, dtype=np.uint64)
+            table[0] = 1
+            with np.errstate(over="ignore"):
+                _POWERS.append(np.multiply.accumulate(table, out=table))
+    return _POWERS
 
 
 def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,8 +88,7 @@ def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blank = IS_SPACE[low]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
-    size = 1 << max(16, int(len(raw) + 1).bit_length())
-    up, down = _powers(size)
+    up, down = _powers(len(raw) + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:len(raw)], out=total[1:])
@@ -157,7 +162,7 @@ def described(docs: DataFrame, width: int) -> DataFrame:
         known: set[int] = set()
         for batch in batches:
             at = 0
-            for part in slices(batch["text"].tolist(), 1_000_000):
+            for part in slices(batch["text"].tolist(), SLICE):
                 rows = []
                 for hashes in shingle_sets(part, width):
                     if not len(hashes):
@@ -198,7 +203,7 @@ def full_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             h = batch["text_key"].to_numpy(dtype=np.int64) & mask
             batch = batch[(bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1]
-            for part in slices(batch["text"].tolist(), 1_000_000):
+            for part in slices(batch["text"].tolist(), SLICE):
                 rows = []
                 for hashes in shingle_sets(part, width):
                     node = class_key(hashes) if len(hashes) else None

@@ -51,6 +51,7 @@ from .minhash import word_hashes
 SYMBOLS, ORDER, SHARDS = 64, 4, 16
 BITS = 6
 BLOCK_BYTES = 128 << 20  # of text; the packed counts of a block and shard are one group of the joins
+SLICE = 500_000  # characters of text that a worker counts at a time
 FENCE, LEAST = 8.0, 200
 BROADCAST_LABELS = 1_000_000  # trusted ids sent to all tasks up to this many, joined by shuffle beyond
 BOUNDARY, BLANK, BREAK, REPEAT, DIGIT, CAPITAL = range(6)
@@ -169,7 +170,7 @@ def trusted_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in slices(batch["text"].tolist(), 1_000_000):
+            for part in slices(batch["text"].tolist(), SLICE):
                 code, n = np.unique(grams(part)[1], return_counts=True)
                 yield pd.DataFrame({"code": code, "n": n})
     return materialise(texts.mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "kn-counts")
@@ -231,7 +232,7 @@ def packed_counts(docs: DataFrame, blocks: int) -> DataFrame:
         names = ["slice", "shard", "blob", "doc_id", "lang", "text_key", "n"]
         for batch in batches:
             at = 0
-            for part in slices(batch["text"].tolist(), 1_000_000):
+            for part in slices(batch["text"].tolist(), SLICE):
                 own = batch.iloc[at:at + len(part)]
                 at += len(part)
                 doc, code = grams(part)
