@@ -116,3 +116,11 @@ def test_calendar_slicer_prunes_folders_and_equals_the_model(spark, small, tmp_p
     assert rows(revenue_by_state(m)) == rows(want) and want.count() > 0
     sp = sliced_mart(mart.open_mart(spark, str(tmp_path)), dates=days, customers=F.col("customer_state") == "NATION_1")
     assert [r["customer_state"] for r in revenue_by_state(sp).collect()] in ([], ["NATION_1"])
+
+
+def test_ids_meet_before_their_bitmap_is_made(spark):
+    """No exchange of partial bitmaps: a block's ids are in one task when its bitmap is made."""
+    df = spark.range(1000).select((F.col("id") % 3).alias("y"), (F.col("id") * 40_000).alias("id"))
+    lines = bitmaps(df, ["y"], {"k": "id"})._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = [k for k, line in enumerate(lines) if "bitmap_construct_agg" in line]
+    assert len(at) == 2 and not any("Exchange" in line for line in lines[at[0]:at[1]])

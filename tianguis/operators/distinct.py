@@ -40,10 +40,14 @@ def dense_ids(keys: DataFrame, key: str, known: DataFrame | None = None, keys_a_
 
 def bitmaps(rows: DataFrame, period: list[str], ids: Mapping[str, str]) -> DataFrame:
     """(period columns, what, block, bits) of ``rows``: one bitmap for each period and block of ids, for
-    every entry ``what -> id column``."""
+    every entry ``what -> id column``.
+
+    Distinct ids meet in their block's task before the bitmap is made: a task that sees some
+    of many blocks would otherwise send a bitmap of 4 KB for each of them."""
     longs = rows.select(*period, F.explode(F.array(*[F.struct(F.lit(what).alias("what"), F.col(c).alias("id")) for what, c in ids.items()])).alias("x"))
-    seen = longs.select(*period, "x.what", "x.id").where("id IS NOT NULL")
-    return seen.groupBy(*period, "what", F.bitmap_bucket_number("id").alias("block")).agg(
+    seen = longs.select(*period, "x.what", "x.id").where("id IS NOT NULL").distinct()
+    group = [*period, "what", "block"]
+    return seen.withColumn("block", F.bitmap_bucket_number("id")).repartition(*group).groupBy(*group).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
 
 
