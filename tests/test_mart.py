@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 from tests_support import money, tiny_tables, ts
 
+from tianguis.operators import joins
+from tianguis.plans import mart_reports
 from tianguis.plans.star import STAR_BUILDERS
 from tianguis.sources import mart
 
@@ -136,3 +140,41 @@ def test_uneven_buckets_are_seen(spark):
     hot = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("order_id"))
     assert not mart.even_buckets(hot, 16)
     assert mart.even_buckets(spark.range(40_000).select(F.col("id").cast("string").alias("order_id")), 16)
+
+
+def test_buckets_follow_the_rows(spark, make_tables, monkeypatch):
+    more = make_tables(orders=[(f"p{k}", "c1", "delivered", ts("2018-01-11 10:00:00"), None, None, None, None) for k in range(7)]).orders
+    t = tiny_tables(make_tables)
+    t = replace(t, orders=t.orders.unionByName(more))
+    assert mart.fitting_buckets(t) == 2
+    monkeypatch.setattr(mart, "ROWS_A_BUCKET", 2)
+    assert mart.fitting_buckets(t) == -(-t.orders.count() // 2) > 2
+    monkeypatch.setattr(mart_reports, "load_tables", lambda spark, sf_dir: t)
+    root = mart_reports.mart_root(spark, f"own-rows-{uuid.uuid4().hex}")
+    assert {r["buckets"] for r in mart.manifest(spark, root) if r["name"] in mart.FACTS} == {mart.fitting_buckets(t)}
+    assert rows(mart.open_mart(spark, root)["fact_order_items"].drop(*mart.MONTH)) == rows(STAR_BUILDERS["fact_order_items"](t))
+
+
+def test_rows_are_dealt_into_buckets_before_the_joins(spark, make_tables):
+    t = tiny_tables(make_tables)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in mart.FACTS:
+            df = mart._fact(name, mart._dealt(t, 4))
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            moved = [line for line in plan.splitlines() if "Exchange " in line]
+            assert moved and all(re.search(r"hashpartitioning\(order_id#\d+, 4\)", line) for line in moved), plan
+            assert rows(df.drop(*mart.MONTH)) == rows(STAR_BUILDERS[name](t))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_a_refresh_exchanges_the_named_orders_rows_only(spark, make_tables, monkeypatch, few):
+    monkeypatch.setattr(joins, "BROADCAST_KEYS", few)
+    t = tiny_tables(make_tables)
+    stray = make_tables(order_items=[(None, 1, "p1", "s1", None, money(7), money(1)), ("nowhere", 1, "p1", "s1", None, money(7), money(1))]).order_items
+    t = replace(t, order_items=t.order_items.unionByName(stray), orders=t.orders.unionByName(t.orders.where("order_id = 'o1'")))
+    own = mart._of_orders(replace(t, orders=t.orders.where("order_id = 'o1'")))
+    for child in mart.CHILDREN.values():
+        assert rows(getattr(own, child)) == rows(getattr(t, child).where("order_id = 'o1'")), child

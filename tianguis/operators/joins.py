@@ -20,6 +20,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+BROADCAST_KEYS = 1_000_000  # keys that are sent to all tasks up to this many, joined by shuffle beyond
+
+
+def key_side(keys: DataFrame) -> DataFrame:
+    """``keys`` (one column) as the right side of a semi or anti join: broadcast where few, so that the
+    rows on the left are not exchanged for it."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
 
 def keep_parents_join(parent: DataFrame, child: DataFrame, key: str) -> DataFrame:
     """Rows of ``parent LEFT JOIN child USING (key)``; parent columns first."""

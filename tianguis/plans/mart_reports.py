@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
 from ..operators.distinct import bitmaps, dense_ids, rolled_up
+from ..operators.joins import key_side
 from ..session import shared_dir
 from ..sources import mart
 from ..sources.adapter import load_tables
@@ -35,8 +36,9 @@ def mart_root(spark: SparkSession, sf_dir: str) -> str:
         t = load_tables(spark, sf_dir)
         root = shared_dir(spark, f"mart-{uuid.uuid4().hex}")
         late = t.orders.where(mart.in_months("order_purchase_timestamp", [LATE_MONTH])).select("order_id")
-        mart.publish(spark, replace(t, order_items=t.order_items.join(late, "order_id", "left_anti")), root, buckets=BUCKETS)
-        mart.publish(spark, t, root, months=[LATE_MONTH], buckets=BUCKETS)
+        buckets = mart.fitting_buckets(t, BUCKETS)
+        mart.publish(spark, replace(t, order_items=t.order_items.join(key_side(late), "order_id", "left_anti")), root, buckets=buckets)
+        mart.publish(spark, t, root, months=[LATE_MONTH], buckets=buckets)
         _MARTS[key] = root
     return _MARTS[key]
 

@@ -14,9 +14,11 @@ lost executor) has no manifest, and the version before stays the newest.
 
 Facts are partitioned by purchase year and month and, within a month, bucketed and sorted
 by ``order_id``: order-grain aggregates and joins of facts on the order read co-located
-buckets and need no exchange. A bucket is read by one task, so buckets are only used
-where they come out even (``even_buckets``): facts with an order that holds a large
-share of all rows are laid out by range instead, many files a month. Results are the same.
+buckets and need no exchange. A bucket is read by one task, so their number should follow
+the rows (``fitting_buckets``), and they are only used where they come out even
+(``even_buckets``): facts with an order that holds a large share of all rows are laid out
+by range instead, many files a month. Results are the same. The base relations are dealt
+into the buckets before they are joined, so the wide facts are not exchanged again.
 
 ``register`` declares a version's tables in the session catalog and points the views
 ``<database>.<table>``, with their columns fixed, at them in one statement each: a reader by
@@ -38,16 +40,19 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import key_side
 from ..plans.star import STAR_BUILDERS
 from ..session import shared_dir
 from .tables import Tables
 
-FACTS = ("fact_order_items", "fact_order_payments", "fact_order_reviews")
+CHILDREN = {"fact_order_items": "order_items", "fact_order_payments": "order_payments", "fact_order_reviews": "order_reviews"}
+FACTS = tuple(CHILDREN)
 KEY = "order_id"
 MONTH = ["purchase_year", "purchase_month"]
 MANIFEST = "_versions"
 _MANIFEST_SCHEMA = "name string, purchase_year int, purchase_month int, path string, buckets int"
 EVEN = 4  # a bucket may hold so many times the mean
+ROWS_A_BUCKET = 1_000_000  # of the largest fact, all months together
 
 
 def _fact(name: str, t: Tables) -> DataFrame:
@@ -76,6 +81,23 @@ def even_buckets(df: DataFrame, buckets: int) -> bool:
     return not r["rows"] or r["most"] * buckets <= EVEN * r["rows"] or r["rows"] < 1000 * buckets
 
 
+def fitting_buckets(t: Tables, least: int = 2) -> int:
+    """Buckets for ``publish``, ``least`` or more: as many as keep a bucket of all months near ROWS_A_BUCKET rows."""
+    rows = max(getattr(t, name).count() for name in ("orders", *CHILDREN.values()))
+    return max(least, -(-rows // ROWS_A_BUCKET))
+
+
+def _of_orders(t: Tables) -> Tables:
+    """``t`` with only those items, payments and reviews whose order it has."""
+    ids = key_side(t.orders.select(KEY).distinct())
+    return replace(t, **{child: getattr(t, child).join(ids, KEY, "left_semi") for child in CHILDREN.values()})
+
+
+def _dealt(t: Tables, buckets: int) -> Tables:
+    """``t`` with the relations of the facts exchanged once by order, a partition for each bucket."""
+    return replace(t, **{name: getattr(t, name).repartition(buckets, KEY) for name in ("orders", *CHILDREN.values())})
+
+
 def versions(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the published versions, in order."""
     try:
@@ -107,7 +129,7 @@ def _write_fact(spark: SparkSession, df: DataFrame, path: str, buckets: int) ->
     database = "tianguis_loads"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{shared_dir(spark, database + '.db')}'")
     table = f"{database}.load_{uuid.uuid4().hex}"
-    (df.hint("rebalance", buckets, KEY).write.format("parquet").partitionBy(*MONTH).bucketBy(buckets, KEY).sortBy(KEY)
+    (df.write.format("parquet").partitionBy(*MONTH).bucketBy(buckets, KEY).sortBy(KEY)
      .option("path", path).saveAsTable(table))
     spark.sql(f"DROP TABLE {table}")
 
@@ -121,7 +143,8 @@ def publish(spark: SparkSession, t: Tables, root: str | None = None, months: Seq
     root = root or shared_dir(spark, "mart")
     known = versions(spark, root)
     before = manifest(spark, root, known[-1]) if known else []
-    part = t if months is None else replace(t, orders=t.orders.where(in_months("order_purchase_timestamp", months)))
+    part = t if months is None else _of_orders(replace(t, orders=t.orders.where(in_months("order_purchase_timestamp", months))))
+    dealt = _dealt(part, buckets) if buckets else part
     load = uuid.uuid4().hex
     rows = []
     for name, build in STAR_BUILDERS.items():
@@ -130,8 +153,10 @@ def publish(spark: SparkSession, t: Tables, root: str | None = None, months: Seq
             build(t).write.parquet(path)
             rows.append((name, None, None, path, 0))
             continue
-        df = _fact(name, part)
-        n = buckets if buckets and even_buckets(df, buckets) else 0
+        # a fact has an order's child rows, or one; counted before the join, which needs no exchange
+        keys = getattr(part, CHILDREN[name]).select(KEY).unionByName(part.orders.select(KEY))
+        n = buckets if buckets and even_buckets(keys, buckets) else 0
+        df = _fact(name, dealt if n else part)
         _write_fact(spark, df, path, n)
         written = spark.read.schema(df.schema).parquet(path).select(*MONTH).distinct().collect()  # folder names only
         rows += [(name, r["purchase_year"], r["purchase_month"], _month_path(path, r), n) for r in written]
