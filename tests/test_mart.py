@@ -160,10 +160,10 @@ def test_rows_are_dealt_into_buckets_before_the_joins(spark, make_tables):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         for name in mart.FACTS:
-            df = mart._fact(name, mart._dealt(t, 4))
+            df = mart._fact(name, mart._dealt(t, 8))
             plan = df._jdf.queryExecution().executedPlan().toString()
             moved = [line for line in plan.splitlines() if "Exchange " in line]
-            assert moved and all(re.search(r"hashpartitioning\(order_id#\d+, 4\)", line) for line in moved), plan
+            assert moved and all(re.search(r"hashpartitioning\(order_id#\d+, 8\)", line) for line in moved), plan
             assert rows(df.drop(*mart.MONTH)) == rows(STAR_BUILDERS[name](t))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -17,8 +17,9 @@ by ``order_id``: order-grain aggregates and joins of facts on the order read co-
 buckets and need no exchange. A bucket is read by one task, so their number should follow
 the rows (``fitting_buckets``), and they are only used where they come out even
 (``even_buckets``): facts with an order that holds a large share of all rows are laid out
-by range instead, many files a month. Results are the same. The base relations are dealt
-into the buckets before they are joined, so the wide facts are not exchanged again.
+by range instead, many files a month. Results are the same. Where there are at least as many
+buckets as the session's shuffle partitions, the base relations are dealt into the buckets
+before they are joined, and the wide facts are not exchanged again.
 
 ``register`` declares a version's tables in the session catalog and points the views
 ``<database>.<table>``, with their columns fixed, at them in one statement each: a reader by
@@ -119,7 +120,7 @@ def manifest(spark: SparkSession, root: str, version: int | None = None) -> list
     return spark.read.schema(_MANIFEST_SCHEMA).parquet(os.path.join(root, MANIFEST, f"version={version}")).collect()
 
 
-def _write_fact(spark: SparkSession, df: DataFrame, path: str, buckets: int) -> None:
+def _write_fact(spark: SparkSession, df: DataFrame, path: str, buckets: int, dealt: bool) -> None:
     if not buckets:
         keys = [*MONTH, KEY]
         df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy(*MONTH).parquet(path)
@@ -129,7 +130,8 @@ def _write_fact(spark: SparkSession, df: DataFrame, path: str, buckets: int) ->
     database = "tianguis_loads"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{shared_dir(spark, database + '.db')}'")
     table = f"{database}.load_{uuid.uuid4().hex}"
-    (df.write.format("parquet").partitionBy(*MONTH).bucketBy(buckets, KEY).sortBy(KEY)
+    placed = df if dealt else df.hint("rebalance", buckets, KEY)
+    (placed.write.format("parquet").partitionBy(*MONTH).bucketBy(buckets, KEY).sortBy(KEY)
      .option("path", path).saveAsTable(table))
     spark.sql(f"DROP TABLE {table}")
 
@@ -144,7 +146,8 @@ def publish(spark: SparkSession, t: Tables, root: str | None = None, months: Seq
     known = versions(spark, root)
     before = manifest(spark, root, known[-1]) if known else []
     part = t if months is None else _of_orders(replace(t, orders=t.orders.where(in_months("order_purchase_timestamp", months))))
-    dealt = _dealt(part, buckets) if buckets else part
+    # with fewer buckets than shuffle partitions a join would spread each bucket over many tasks, and files
+    deal = buckets >= int(spark.conf.get("spark.sql.shuffle.partitions"))
     load = uuid.uuid4().hex
     rows = []
     for name, build in STAR_BUILDERS.items():
@@ -156,8 +159,8 @@ def publish(spark: SparkSession, t: Tables, root: str | None = None, months: Seq
         # a fact has an order's child rows, or one; counted before the join, which needs no exchange
         keys = getattr(part, CHILDREN[name]).select(KEY).unionByName(part.orders.select(KEY))
         n = buckets if buckets and even_buckets(keys, buckets) else 0
-        df = _fact(name, dealt if n else part)
-        _write_fact(spark, df, path, n)
+        df = _fact(name, _dealt(part, n) if n and deal else part)
+        _write_fact(spark, df, path, n, deal)
         written = spark.read.schema(df.schema).parquet(path).select(*MONTH).distinct().collect()  # folder names only
         rows += [(name, r["purchase_year"], r["purchase_month"], _month_path(path, r), n) for r in written]
         if months is not None:
