@@ -23,7 +23,7 @@ from tianguis.llm.queries import tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.accepted(docs, read_table(spark, sf_dir, "labels"))
+    return quality.accepted(docs, read_table(spark, sf_dir, "labels"), quality.BYTES)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

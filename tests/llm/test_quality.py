@@ -191,3 +191,62 @@ def test_odd_rows(odd_docs, no_docs, labels):
     assert out.schema == odd_docs.schema
     assert Q.accepted(odd_docs, labels.limit(0)).count() == odd_docs.count()
     assert Q.classified(no_docs, labels).count() == 0 and Q.accepted(no_docs, labels.limit(0)).count() == 0
+
+
+def byte_texts():
+    rng = random.Random(9)
+    words = ["the", "The", "THE", "of", "end.", "x1", "x2", "né", "nè", "漢字", "漢語", "\x00\x03", "a\tb", "q;", "q:"]
+    return [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None, ""]
+
+
+def byte_symbols(texts, monkeypatch):
+    with monkeypatch.context() as m:
+        m.setattr(Q, "TABLE", Q.BYTES.table)
+        return [plain_symbols(t) for t in texts]
+
+
+def test_every_byte_is_a_symbol_of_its_own():
+    """Texts that differ in one byte have different n-grams: no byte is folded into another."""
+    texts = [f"ab{chr(c)}cd" for c in range(128)] + [f"ab{c}cd" for c in "éèñßÀÿ漢字語人Жя"]
+    doc, code = Q.grams(texts, Q.BYTES)
+    assert len({tuple(code[doc == k].tolist()) for k in range(len(texts))}) == len(texts)
+    used = {b for c in range(0x110000) if c % 97 == 0 or c < 0x900 for b in chr(c).encode("utf-8", "surrogatepass")}
+    assert not used & {254, 255} and len(set(Q.BYTES.table.tolist())) == 254 and Q.BYTES.symbols == 256
+
+
+def test_the_byte_model_equals_the_plain_one_however_it_is_dealt(shipped, monkeypatch):
+    texts = byte_texts()
+    docs = shipped.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    labels = shipped.createDataFrame([(k, 1) for k in range(0, 60, 2)], "doc_id long, quality int")
+    seqs = byte_symbols(texts, monkeypatch)
+    doc, code = Q.grams(texts, Q.BYTES)
+    for k, seq in enumerate(seqs):
+        assert (code[doc == k] & 255).tolist() == seq, texts[k]
+    monkeypatch.setattr(Q, "LEAST", 10)
+    whole = {r["doc_id"]: r["log_perplexity"] for r in Q.classified(docs, labels, Q.BYTES).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(Q, "SYMBOLS", 256)
+        p = plain_model(seqs[:60:2])
+        for k in (0, 1, 7, 30, 59, 60, 61):
+            seq = [0] * (Q.ORDER - 1) + seqs[k]
+            logs = [math.log(p(tuple(seq[j - Q.ORDER + 1:j + 1]))) for j in range(Q.ORDER - 1, len(seq))]
+            assert abs(whole[k] + sum(logs) / len(logs)) < 1e-5
+    # more shards where the model is large, more blocks where the text is
+    assert Q.dealt(0, 0) == (Q.SHARDS, 1) and Q.dealt(0, 5 * Q.SHARDS * Q.SHARD_GRAMS)[0] == 8 * Q.SHARDS
+    monkeypatch.setattr(Q, "SHARD_GRAMS", 10)
+    monkeypatch.setattr(Q, "BLOCK_BYTES", 3000)
+    assert Q.dealt(3000, Q.trusted_counts(docs, labels, Q.BYTES).count())[0] >= 4 * Q.SHARDS
+    assert whole == {r["doc_id"]: r["log_perplexity"] for r in Q.classified(docs, labels, Q.BYTES).collect()}
+
+
+def test_the_registered_query_sees_all_bytes(shipped, tmp_path):
+    """Documents that differ in capitals, digits or bytes beyond ASCII only, which FOLDED scores alike."""
+    from tianguis.llm import queries
+
+    texts = ["year 1811 was", "year 7392 was", "seen ABBA now", "seen QXZW now", "caf\u00e9s", "caf\u00f9s"]
+    docs = shipped.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = shipped.createDataFrame([(k, 1) for k in (0, 2, 4)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    x = {r["doc_id"]: r["log_perplexity"] for r in queries.op1_quality(shipped, str(tmp_path)).collect()}
+    assert x[0] < x[1] and x[2] < x[3] and x[4] < x[5]

@@ -1,9 +1,10 @@
 """Quality classifier: interpolated modified Kneser-Ney n-grams over text symbols.
 
-A text becomes a sequence of SYMBOLS = 64 symbols: small letters, one class each for
-capitals and digits, blank, line break, punctuation, classes of the bytes beyond
-ASCII, a boundary, and one mark for a word that repeats the word before it. The model
-is of order 4, so its counts have at most 64**4 entries whatever the corpus.
+A text becomes a sequence of symbols of an alphabet, a boundary, and one mark for a word that repeats
+the word before it. In BYTES, which the queries use, each byte is a symbol of its own (256 symbols; boundary and
+mark take the places of bytes that no UTF-8 text holds). FOLDED has SYMBOLS = 64: small letters, one class each for
+capitals and digits, blank, line break, punctuation, classes of the bytes beyond ASCII. The model is of order 4;
+with BYTES it grows with the n-grams of the trusted text.
 
 1. The n-grams of trusted text (labelled quality 1) are counted over all of it; lower orders
    count distinct left neighbours. Discounts come from each order's counts of counts (four
@@ -11,9 +12,10 @@ is of order 4, so its counts have at most 64**4 entries whatever the corpus.
    and each order's probabilities from a join of its n-grams with their contexts and with
    the order below: the model is tables of seen n-grams, made by Spark.
 2. One pass over all whole texts packs each document's n-gram counts by shard (shard:
-   leading symbols), dealt into blocks of about BLOCK_BYTES of text.
+   leading symbol, and a hash of all symbols but the last where that is not enough), dealt into blocks. There are as many shards as keep SHARD_GRAMS n-grams
+   of the model in each, SHARDS at least, and as many blocks as keep BLOCK_BYTES / SHARDS of text in each shard of a block.
 3. Order by order, the packed counts meet the model of their shard by a join on (shard, block), the model
-   once per block. An n-gram that is seen gives its log-probability; one that is not gives its context's
+   once per block, so what is joined grows with the text whatever the size of the model. An n-gram that is seen gives its log-probability; one that is not gives its context's
    freed mass, if the context is seen, and goes on to the order below without its first symbol. What a
    document has in all shards and orders is summed to its log-probability.
 4. Thresholds come from exact quantiles of a language's trusted documents. The log
@@ -34,6 +36,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -50,15 +53,28 @@ from .minhash import word_hashes
 
 SYMBOLS, ORDER, SHARDS = 64, 4, 16
 BITS = 6
-BLOCK_BYTES = 128 << 20  # of text; the packed counts of a block and shard are one group of the joins
+BLOCK_BYTES = 128 << 20  # of text with SHARDS shards; the packed counts of a block and shard are one group of the joins
+SHARD_GRAMS = 1 << 19  # n-grams of the highest order of the model in a shard, about
 SLICE = 500_000  # characters of text that a worker counts at a time
 FENCE, LEAST = 8.0, 200
 BROADCAST_LABELS = 1_000_000  # trusted ids sent to all tasks up to this many, joined by shuffle beyond
 BOUNDARY, BLANK, BREAK, REPEAT, DIGIT, CAPITAL = range(6)
+_SPREAD = 0x9E3779B1  # contexts have 24 bits at most, so products stay below 2**56
+
+
+class Alphabet(NamedTuple):
+    """Symbol of each byte, in so many bits."""
+
+    bits: int
+    table: np.ndarray
+
+    @property
+    def symbols(self) -> int:
+        return 1 << self.bits
 
 
 def symbol_table() -> np.ndarray:
-    """Symbol of each byte."""
+    """Symbol of each byte, folded to 64."""
     table = np.full(256, BREAK, dtype=np.uint8)
     table[32] = BLANK
     table[48:58] = DIGIT
@@ -73,16 +89,24 @@ def symbol_table() -> np.ndarray:
     return table
 
 
+def byte_table() -> np.ndarray:
+    """Symbol of each byte, all apart; the bytes 254 and 255 are in no UTF-8 text."""
+    table = np.arange(256, dtype=np.uint8)
+    table[[BOUNDARY, REPEAT]] = 255, 254
+    return table
+
+
 TABLE = symbol_table()
+FOLDED, BYTES = Alphabet(BITS, TABLE), Alphabet(8, byte_table())
 
 
-def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def symbols(texts: list[str | None], alphabet: Alphabet = FOLDED) -> tuple[np.ndarray, np.ndarray]:
     """(symbols of all texts, document of each symbol); every text is followed by
     ORDER - 1 boundaries, of which the first belongs to it."""
     blobs = [(t if isinstance(t, str) else "").encode("utf-8", "surrogatepass") for t in texts]
     at = np.cumsum([0, *(len(b) + ORDER - 1 for b in blobs)])
     raw = np.frombuffer(b"".join(b + b"\n" * (ORDER - 1) for b in blobs), dtype=np.uint8)
-    sym = TABLE[raw]
+    sym = alphabet.table[raw]
     doc = np.repeat(np.arange(len(blobs)), np.diff(at))
     for k in range(1, ORDER):
         sym[at[1:] - k] = BOUNDARY
@@ -101,42 +125,47 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return sym, doc
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def grams(texts: list[str | None], alphabet: Alphabet = FOLDED) -> tuple[np.ndarray, np.ndarray]:
     """(document, n-gram code) of every symbol and the closing boundary of each text."""
-    sym, doc = symbols(texts)
+    sym, doc = symbols(texts, alphabet)
     lead = np.concatenate([np.zeros(ORDER - 1, np.uint8), sym]).astype(np.int64)
     code = lead[ORDER - 1:].copy()
     for k in range(1, ORDER):
-        code |= lead[ORDER - 1 - k:len(lead) - k] << (BITS * k)
-    closing = (code & (SYMBOLS - 1)) == BOUNDARY
+        code |= lead[ORDER - 1 - k:len(lead) - k] << (alphabet.bits * k)
+    closing = (code & (alphabet.symbols - 1)) == BOUNDARY
     before = np.concatenate([[BOUNDARY], sym[:-1]])
     first = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
     keep = ~closing | (before != BOUNDARY) | first
     return doc[keep], code[keep]
 
 
-def shard_of(code: np.ndarray, order: int) -> np.ndarray:
-    """Shard of n-grams: their leading symbol's; single symbols share the empty context and so one shard."""
-    return code * SHARDS >> (BITS * order) if order > 1 else code * 0
+def shard_of(code: np.ndarray, order: int, alphabet: Alphabet = FOLDED, shards: int = SHARDS) -> np.ndarray:
+    """Shard of n-grams: their leading symbol's, beyond SHARDS also their context's; single symbols
+    share the empty context and so one shard."""
+    if order == 1:
+        return code * 0
+    return (code >> alphabet.bits * (order - 1)) % SHARDS + SHARDS * (((code >> alphabet.bits) * _SPREAD >> 16) % (shards // SHARDS))
 
 
-def pack(doc: np.ndarray, code: np.ndarray, n_docs: int, order: int = ORDER, times: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
+def pack(doc: np.ndarray, code: np.ndarray, n_docs: int, order: int = ORDER, times: np.ndarray | None = None,
+         alphabet: Alphabet = FOLDED, shards: int = SHARDS) -> Iterator[tuple[int, bytes]]:
     """(shard, bytes) of the counted n-grams (each ``times`` if given): per document the number of
     entries, then per entry the step from the code before it and the count."""
-    key = doc << (BITS * ORDER) | code
+    width = alphabet.bits * ORDER
+    key = doc << width | code
     if times is None:
         key, count = np.unique(key, return_counts=True)
     else:
         by = np.argsort(key, kind="stable")
         key, first = np.unique(key[by], return_index=True)
         count = np.add.reduceat(times[by], first)
-    d, c = key >> (BITS * ORDER), key & ((1 << BITS * ORDER) - 1)
-    shard = shard_of(c, order)
+    d, c = key >> width, key & ((1 << width) - 1)
+    shard = shard_of(c, order, alphabet, shards)
     squeeze = zstandard.ZstdCompressor(level=1)
-    for s in range(SHARDS):
-        at = np.flatnonzero(shard == s)
+    by = np.argsort(shard, kind="stable")
+    for at in np.split(by, np.flatnonzero(np.diff(shard[by])) + 1):
         if len(at):
-            dd, cc = d[at], c[at]
+            s, dd, cc = int(shard[at[0]]), d[at], c[at]
             first = np.flatnonzero(np.diff(dd, prepend=-1))
             step = np.diff(cc, prepend=0)
             step[first] = cc[first]
@@ -162,7 +191,7 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, total - base[doc], count
 
 
-def trusted_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+def trusted_counts(docs: DataFrame, trusted: DataFrame, alphabet: Alphabet = FOLDED) -> DataFrame:
     """Table (code, n): counts of all n-grams of trusted documents."""
     ids = trusted.select(F.col("doc_id").alias("__trusted")).where("__trusted is not null").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_LABELS else ids
@@ -171,7 +200,7 @@ def trusted_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in slices(batch["text"].tolist(), SLICE):
-                code, n = np.unique(grams(part)[1], return_counts=True)
+                code, n = np.unique(grams(part, alphabet)[1], return_counts=True)
                 yield pd.DataFrame({"code": code, "n": n})
     return materialise(texts.mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "kn-counts")
 
@@ -189,41 +218,44 @@ def discounts(levels: dict[int, DataFrame]) -> dict[int, list[float]]:
     return out
 
 
-def kneser_ney(counts: DataFrame) -> dict[int, DataFrame]:
+def kneser_ney(counts: DataFrame, alphabet: Alphabet = FOLDED) -> dict[int, DataFrame]:
     """The model by order: table (code, p, b) of seen n-grams with their probability and the mass that
     their context frees. An n-gram that is not seen has b times the probability one order below
     (b = 1 if its context is not seen either); below single symbols all are alike.
 
     Highest order: counts; lower orders: numbers of distinct left neighbours."""
-    levels = {ORDER: counts}
+    bits, levels = alphabet.bits, {ORDER: counts}
     for m in range(ORDER - 1, 0, -1):
-        levels[m] = materialise(levels[m + 1].groupBy((F.col("code") % (1 << BITS * m)).alias("code")).agg(F.count("*").alias("n")), "kn-level")
+        levels[m] = materialise(levels[m + 1].groupBy((F.col("code") % (1 << bits * m)).alias("code")).agg(F.count("*").alias("n")), "kn-level")
     cuts, model, below = discounts(levels), {}, None
     for m in range(1, ORDER + 1):
-        rows = levels[m].withColumn("context", F.shiftright("code", BITS))
+        rows = levels[m].withColumn("context", F.shiftright("code", bits))
         d1, d2, d3 = (F.lit(d) for d in cuts[m])
         contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), *(F.count_if(c).alias(k) for k, c in (
             ("k1", F.col("n") == 1), ("k2", F.col("n") == 2), ("k3", F.col("n") > 2)))).select(
             "context", "total", ((F.col("k1") * d1 + F.col("k2") * d2 + F.col("k3") * d3) / F.col("total")).alias("b"))
-        rows = rows.join(contexts, "context").withColumn("suffix", F.col("code") % (1 << BITS * (m - 1)))
-        rows = rows.withColumn("low", F.lit(1.0 / SYMBOLS)) if below is None else rows.join(
+        rows = rows.join(contexts, "context").withColumn("suffix", F.col("code") % (1 << bits * (m - 1)))
+        rows = rows.withColumn("low", F.lit(1.0 / alphabet.symbols)) if below is None else rows.join(
             below.select(F.col("code").alias("suffix"), F.col("p").alias("low")), "suffix")
         cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
         below = model[m] = materialise(rows.select("code", ((F.col("n") - cut) / F.col("total") + F.col("b") * F.col("low")).alias("p"), "b"), "kn-model")
     return model
 
 
-def sharded(level: DataFrame, order: int) -> DataFrame:
-    """(shard, blob): the model's n-grams of a shard, at most SYMBOLS**ORDER / SHARDS of them, in order of code."""
+def sharded(level: DataFrame, order: int, alphabet: Alphabet = FOLDED, shards: int = SHARDS) -> DataFrame:
+    """(shard, blob): the model's n-grams of a shard, in order of code."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("code")
         blob = b"".join(c.to_numpy().tobytes() for c in (rows["code"].astype("<i8"), np.log(rows["p"]).astype("<f8"), np.log(rows["b"]).astype("<f8")))
         return pd.DataFrame({"shard": rows["shard"].iloc[:1], "blob": [zstandard.ZstdCompressor(level=3).compress(blob)]})
-    shard = F.shiftright("code", BITS * order - int(math.log2(SHARDS))) if order > 1 else F.lit(0)
+    shard = F.lit(0)
+    if order > 1:  # as shard_of
+        shard = F.shiftright("code", alphabet.bits * (order - 1)) % SHARDS + SHARDS * (
+            F.shiftright(F.shiftright("code", alphabet.bits) * F.lit(_SPREAD), 16) % (shards // SHARDS))
     return level.withColumn("shard", shard.cast("int")).groupBy("shard").applyInPandas(run, "shard int, blob binary")
 
 
-def packed_counts(docs: DataFrame, blocks: int) -> DataFrame:
+def packed_counts(docs: DataFrame, blocks: int, alphabet: Alphabet = FOLDED, shards: int = SHARDS) -> DataFrame:
     """For each run of documents (slice) one row of facts (shard -1) and one row per shard, dealt into blocks."""
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text", text_key().alias("text_key"))
 
@@ -235,12 +267,12 @@ def packed_counts(docs: DataFrame, blocks: int) -> DataFrame:
             for part in slices(batch["text"].tolist(), SLICE):
                 own = batch.iloc[at:at + len(part)]
                 at += len(part)
-                doc, code = grams(part)
+                doc, code = grams(part, alphabet)
                 slice_id = (task << 32) + number
                 number += 1
                 n = np.bincount(doc, minlength=len(part))
                 out = [(slice_id, -1, None, own["doc_id"].tolist(), own["lang"].tolist(), own["text_key"].tolist(), n.tolist())]
-                out += [(slice_id, s, blob, None, None, None, None) for s, blob in pack(doc, code, len(part))]
+                out += [(slice_id, s, blob, None, None, None, None) for s, blob in pack(doc, code, len(part), alphabet=alphabet, shards=shards)]
                 yield pd.DataFrame(out, columns=names)
     return rows.mapInPandas(run, "slice long, shard int, blob binary, doc_id array<string>, lang array<string>, text_key array<long>, n array<long>").withColumn(
         "block", F.pmod(F.xxhash64("slice"), F.lit(blocks)).cast("int"))
@@ -276,10 +308,12 @@ def chunks(left: pa.Table, order: int) -> Iterator[tuple[np.ndarray, ...]]:
         yield tuple(np.concatenate(c) for c in zip(*held))
 
 
-def met(packed: DataFrame, level: DataFrame, order: int, blocks: int) -> DataFrame:
+def met(packed: DataFrame, level: DataFrame, order: int, blocks: int, alphabet: Alphabet = FOLDED, shards: int = SHARDS) -> DataFrame:
     """Packed counts joined with the model of one order on (shard, block). Rows of sums (of, place:
     the documents, micro: millionths of log-probability), packed counts that go on to the order below
     (shard, blob, with of and place of the blob's documents); rows of facts pass."""
+    bits = alphabet.bits
+
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {name: [] for name in JOINED}
         if key[0].as_py() < 0:
@@ -298,37 +332,45 @@ def met(packed: DataFrame, level: DataFrame, order: int, blocks: int) -> DataFra
             value[seen] = logp[at[seen]]
             miss = np.flatnonzero(~seen)
             if len(miss):
-                context = code[miss] >> BITS
-                first = np.searchsorted(codes, context << BITS)
-                known = codes[first] >> BITS == context
+                context = code[miss] >> bits
+                first = np.searchsorted(codes, context << bits)
+                known = codes[first] >> bits == context
                 value[miss[known]] = logb[first[known]]
                 if order == 1:
-                    value[miss] -= math.log(SYMBOLS)
+                    value[miss] -= math.log(alphabet.symbols)
                 else:
-                    suffix = code[miss] & ((1 << BITS * (order - 1)) - 1)
-                    goes = shard_of(suffix, order - 1)
+                    suffix = code[miss] & ((1 << bits * (order - 1)) - 1)
+                    goes = shard_of(suffix, order - 1, alphabet, shards)
                     for s in np.unique(goes):
                         mine = goes == s
                         own, number = np.unique(doc[miss[mine]], return_inverse=True)
-                        for _, rest in pack(number, suffix[mine], len(own), order - 1, count[miss[mine]]):
+                        for _, rest in pack(number, suffix[mine], len(own), order - 1, count[miss[mine]], alphabet, shards):
                             add(block=key[1].as_py(), shard=int(s), blob=rest, of=of[own], place=place[own])
             total = np.bincount(doc, weights=count * value)
             hit = np.unique(doc)
             add(of=of[hit], place=place[hit], micro=np.rint(total[hit] * 1e6).astype(np.int64))
         return pa.table({name: pa.array(out[name], kind) for name, (_, kind) in JOINED.items()})
-    model = sharded(level, order).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    model = sharded(level, order, alphabet, shards).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ["shard", "block"]
     return packed.groupBy(*keys).cogroup(model.groupBy(*keys)).applyInArrow(run, ", ".join(f"{name} {kind}" for name, (kind, _) in JOINED.items()))
 
 
-def scored(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+def dealt(size: int, n_grams: int) -> tuple[int, int]:
+    """(shards, blocks) for so many bytes of text and so many n-grams of the model."""
+    shards = SHARDS
+    while shards * SHARD_GRAMS < n_grams:
+        shards *= 2
+    return shards, size * SHARDS // (BLOCK_BYTES * shards) + 1
+
+
+def scored(docs: DataFrame, trusted: DataFrame, alphabet: Alphabet = FOLDED) -> DataFrame:
     """One row per document: doc_id, text_key, lang, n (symbols), trusted, log_perplexity."""
-    model = kneser_ney(trusted_counts(docs, trusted))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = size // BLOCK_BYTES + 1
-    rest, facts, sums = packed_counts(docs, blocks), None, None
+    counts = trusted_counts(docs, trusted, alphabet)
+    model = kneser_ney(counts, alphabet)
+    shards, blocks = dealt(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, counts.count())
+    rest, facts, sums = packed_counts(docs, blocks, alphabet, shards), None, None
     for order in range(ORDER, 0, -1):
-        out = materialise(met(rest, model[order], order, blocks), "kn-met")
+        out = materialise(met(rest, model[order], order, blocks, alphabet, shards), "kn-met")
         facts = out.where("shard = -1") if facts is None else facts
         part = out.where("micro is not null").select("of", "place", "micro")
         sums = part if sums is None else sums.unionByName(part)
@@ -381,17 +423,17 @@ def decided(scores: DataFrame) -> DataFrame:
                        threshold.alias("threshold"), F.col("z_of").alias("threshold_of"), kept.alias("kept"))
 
 
-def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def classified(docs: DataFrame, labels: DataFrame, alphabet: Alphabet = FOLDED) -> DataFrame:
     """One row per document with its perplexity, its threshold and the decision."""
-    return decided(scored(docs, labels.where("quality = 1")))
+    return decided(scored(docs, labels.where("quality = 1"), alphabet))
 
 
-def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, alphabet: Alphabet = FOLDED) -> DataFrame:
     """``docs`` without the rejected documents. Texts meet the decisions in one exchange, of the
     same form at every size."""
     ship_package(docs.sparkSession)
     with spent(docs.sparkSession):
-        out = materialise(classified(docs, labels).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__k")).distinct(),
+        out = materialise(classified(docs, labels, alphabet).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__k")).distinct(),
                           "kn-rejected", lasting=True)
     key = "__text_key"
     return docs.withColumn(key, text_key()).join(
