@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from tianguis.llm import common, minhash
+from tianguis.llm import bpe, common, minhash, quality
 
 
 def lower(text):
@@ -132,3 +132,42 @@ def test_a_worker_holds_little_text_at_a_time(shipped, monkeypatch):
     for n in (5, 70_000, 10):
         assert len(minhash._powers(n)[0]) >= n
     assert len(minhash._POWERS) == 2  # one table, whatever lengths were asked for
+
+
+def held_mb():
+    with open("/proc/self/smaps_rollup") as f:
+        return int(re.search(r"Pss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+
+def test_a_task_holds_nothing_of_other_operators(monkeypatch):
+    """A worker serves the tasks of all stages; what the tokenizer learnt there goes when another operator's task begins."""
+    monkeypatch.setitem(bpe._ENCODERS, ("some file", ""), "an encoder")
+    rows = []
+
+    def run(batches):
+        rows.append(len(bpe._ENCODERS))
+        yield from batches
+    assert list(common.lean(run)(iter([1, 2]))) == [1, 2] and rows == [0]
+
+
+def test_a_task_gives_its_memory_back():
+    def run(batches):
+        kept = [[np.zeros(1 << 12) for _ in range(6000)] for _ in range(1)]  # 200 MB in pieces that malloc keeps
+        yield held_mb()
+        tail = np.zeros(1 << 12)  # above them, so that the heap cannot shrink by itself
+        del kept
+        yield tail
+    peak, tail = common.lean(run)(iter([]))
+    assert held_mb() < peak - 100
+
+
+@pytest.mark.parametrize("make", [
+    lambda docs: minhash.described(docs, 5), lambda docs: minhash.full_sets(docs, 5, docs.select(common.text_key().alias("text_key"))),
+    lambda docs: quality.packed_counts(docs, 1)])
+def test_passes_over_texts_are_lean(shipped, monkeypatch, make):
+    """Every pass over whole texts of the two stages goes through ``lean``."""
+    met = []
+    monkeypatch.setattr(minhash, "lean", lambda run: met.append(run) or common.lean(run))
+    monkeypatch.setattr(quality, "lean", lambda run: met.append(run) or common.lean(run))
+    docs = shipped.createDataFrame([(1, "a b c d e f g", "en"), (2, None, None)], "doc_id long, text string, lang string")
+    assert make(docs).count() and len(met) == 1

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import slices
-from .common import components, materialise, mix64, ship_package, spent, text_key
+from .common import components, lean, materialise, mix64, ship_package, spent, text_key
 
 BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
@@ -182,7 +182,7 @@ def described(docs: DataFrame, width: int) -> DataFrame:
                 at += len(part)
                 yield out
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_key().alias("text_key"), "text").mapInPandas(
-        run, "doc_id string, text_key long, n long, node long, bits array<long>, bands array<long>"
+        lean(run), "doc_id string, text_key long, n long, node long, bits array<long>, bands array<long>"
     ).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
@@ -212,7 +212,7 @@ def full_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
                         rows.append((node, hashes.tobytes()))
                 if rows:
                     yield pd.DataFrame(rows, columns=["node", "hashes"])
-    return docs.select(text_key().alias("text_key"), "text").mapInPandas(run, "node long, hashes binary")
+    return docs.select(text_key().alias("text_key"), "text").mapInPandas(lean(run), "node long, hashes binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
@@ -229,7 +229,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> Data
             yield batch.loc[keep, ["a", "b"]]
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return materialise(pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(run, "a long, b long"), tag)
+    return materialise(pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(lean(run), "a long, b long"), tag)
 
 
 def most_differing(percent: int) -> int:
@@ -297,7 +297,7 @@ def bucket_pairs(rows: DataFrame, percent: int, split: bool) -> DataFrame:
                 out = []
         if out:
             yield _pair_frame(out)
-    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInPandas(run, PAIRS)
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInPandas(lean(run), PAIRS)
 
 
 def _pair_frame(rows: list[tuple]) -> pd.DataFrame:
@@ -373,7 +373,7 @@ def _between_members(inner: DataFrame, roots: DataFrame, sets: DataFrame, percen
                 h = np.frombuffer(raw, np.int64)
                 yield pd.DataFrame({"node": np.full(len(h), node), "n": np.full(len(h), len(h)), "token": h})
 
-    each = materialise(side.select("node").join(sets, "node").mapInPandas(tokens, "node long, n long, token long"), "mh-tokens")
+    each = materialise(side.select("node").join(sets, "node").mapInPandas(lean(tokens), "node long, n long, token long"), "mh-tokens")
     shared = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     rare = each.join(shared, "token").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("df", "token")))
     # shingles of one class alone come first in the order; they use up places without matching

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import slices
-from .common import materialise, ship_package, spent, text_key
+from .common import give_back, lean, materialise, ship_package, spent, text_key
 from .minhash import word_hashes
 
 SYMBOLS, ORDER, SHARDS = 64, 4, 16
@@ -202,7 +202,7 @@ def trusted_counts(docs: DataFrame, trusted: DataFrame, alphabet: Alphabet = FOL
             for part in slices(batch["text"].tolist(), SLICE):
                 code, n = np.unique(grams(part, alphabet)[1], return_counts=True)
                 yield pd.DataFrame({"code": code, "n": n})
-    return materialise(texts.mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "kn-counts")
+    return materialise(texts.mapInPandas(lean(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "kn-counts")
 
 
 def discounts(levels: dict[int, DataFrame]) -> dict[int, list[float]]:
@@ -274,7 +274,7 @@ def packed_counts(docs: DataFrame, blocks: int, alphabet: Alphabet = FOLDED, sha
                 out = [(slice_id, -1, None, own["doc_id"].tolist(), own["lang"].tolist(), own["text_key"].tolist(), n.tolist())]
                 out += [(slice_id, s, blob, None, None, None, None) for s, blob in pack(doc, code, len(part), alphabet=alphabet, shards=shards)]
                 yield pd.DataFrame(out, columns=names)
-    return rows.mapInPandas(run, "slice long, shard int, blob binary, doc_id array<string>, lang array<string>, text_key array<long>, n array<long>").withColumn(
+    return rows.mapInPandas(lean(run), "slice long, shard int, blob binary, doc_id array<string>, lang array<string>, text_key array<long>, n array<long>").withColumn(
         "block", F.pmod(F.xxhash64("slice"), F.lit(blocks)).cast("int"))
 
 
@@ -349,6 +349,7 @@ def met(packed: DataFrame, level: DataFrame, order: int, blocks: int, alphabet:
             total = np.bincount(doc, weights=count * value)
             hit = np.unique(doc)
             add(of=of[hit], place=place[hit], micro=np.rint(total[hit] * 1e6).astype(np.int64))
+        give_back()
         return pa.table({name: pa.array(out[name], kind) for name, (_, kind) in JOINED.items()})
     model = sharded(level, order, alphabet, shards).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ["shard", "block"]
